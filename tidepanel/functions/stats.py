@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -49,5 +49,10 @@ def months_with(mask: Column, month: Column) -> Column:
     return F.bit_count(F.coalesce(F.bit_or(shifted), F.lit(0).cast("bigint")))
 
 
+def one_row(df: DataFrame) -> Column:
+    """A one-row table as a single struct value, computed once wherever it is used."""
+    return df.select(F.struct(*df.columns)).scalar()
+
+
 def nan_to_null(c: str) -> Column:
     return F.when(~F.isnan(c), F.col(c)).alias(c)

@@ -127,7 +127,8 @@ def impute_group_median(df: DataFrame, group: Sequence[str], columns: Sequence[s
     filled = df.join(by_group, list(group), "left").withColumns({c: F.coalesce(F.col(c), F.col(f"_g_{c}")) for c in columns})
     filled = filled.drop(*[f"_g_{c}" for c in columns])
     overall = quantile_columns(filled, [], {c: (c, 0.5) for c in columns})
-    return filled.withColumns({c: F.coalesce(F.col(c), overall.select(c).scalar()) for c in columns})
+    row = stats.one_row(overall)
+    return filled.withColumns({c: F.coalesce(F.col(c), row[c]) for c in columns})
 
 
 def column_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:

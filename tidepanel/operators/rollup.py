@@ -198,7 +198,8 @@ def tercile_bands(df: DataFrame, column: str, names: Sequence[str], out: str = "
     from tidepanel.operators.ordered import quantile_columns
 
     cuts = quantile_columns(df, [], {"a": (column, 1 / 3), "b": (column, 2 / 3)})
-    low, high = cuts.select("a").scalar(), cuts.select("b").scalar()
+    row = stats.one_row(cuts)
+    low, high = row["a"], row["b"]
     return df.withColumn(
         out, F.when(F.col(column) <= low, names[0]).when(F.col(column) > high, names[2]).when(F.col(column).isNotNull(), names[1])
     )
