@@ -469,7 +469,7 @@ def station_year_features(spark, d):
 
 
 STRESS_SQL = """os AS (SELECT region, station, year(date) AS year, min(oxygen) AS oxygen_warm_min, quantile_cont(oxygen, 0.1) AS oxygen_warm_p10,
-    avg(CAST(oxygen < 2 AS INT)) AS oxygen_warm_hypoxic_day_share, avg(CAST(oxygen < 5 AS INT)) AS oxygen_warm_below_optimal_day_share
+    avg(CAST(round(oxygen, 9) < 2 AS INT)) AS oxygen_warm_hypoxic_day_share, avg(CAST(round(oxygen, 9) < 5 AS INT)) AS oxygen_warm_below_optimal_day_share
     FROM dw WHERE month(date) BETWEEN 6 AND 9 GROUP BY 1, 2, 3)"""
 
 
@@ -647,7 +647,7 @@ def daily_coverage(spark, d):
 @query(
     "station_year_history",
     f"""WITH {DW_SQL}, {BASE_SQL}, a AS (SELECT region, station, year(date) AS year, avg(air_temp) AS air_temp_mean, avg(water_temp) AS water_temp_abs_annual_mean, avg(oxygen) AS oxygen_abs_annual_mean,
-          min(oxygen) FILTER (WHERE month(date) BETWEEN 6 AND 9) AS oxygen_warm_min_abs, avg(CAST(oxygen < 2 AS INT)) FILTER (WHERE month(date) BETWEEN 6 AND 9) AS share FROM dw GROUP BY 1, 2, 3)
+          min(oxygen) FILTER (WHERE month(date) BETWEEN 6 AND 9) AS oxygen_warm_min_abs, avg(CAST(round(oxygen, 9) < 2 AS INT)) FILTER (WHERE month(date) BETWEEN 6 AND 9) AS share FROM dw GROUP BY 1, 2, 3)
         SELECT a.region, a.station, year, round(air_temp_mean, 6) AS air_temp_mean, round(water_temp_abs_annual_mean, 6) AS water_temp_abs_annual_mean,
           round(oxygen_abs_annual_mean, 6) AS oxygen_abs_annual_mean, round(oxygen_warm_min_abs, 6) AS oxygen_warm_min_abs, round(share, 6) AS oxygen_warm_hypoxic_day_share_abs,
           round(coalesce(oxygen_warm_min_abs, oxygen_abs_annual_mean), 6) AS oxygen_plot_abs, round(depth_baseline, 6) AS depth_baseline
