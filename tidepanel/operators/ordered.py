@@ -131,3 +131,14 @@ def quantile_columns(
         for name, (c, p) in spec.items()
     ]
     return long.groupBy(*keys).agg(*picks) if keys else long.agg(*picks)
+
+
+def cumulative_sum(df: DataFrame, order: Sequence[Column | str], values: Sequence[str], suffix: str = "_before") -> DataFrame:
+    """Sum of each value over all rows before the current one in a total order."""
+    slots = _sorted_slots(df, order)
+    inside = Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
+    out = slots.withColumns({f"{v}{suffix}": F.coalesce(F.sum(v).over(inside), F.lit(0)) for v in values})
+    for v in values:
+        offsets = _offsets(slots, F.sum(v)).withColumnRenamed("_before", "_off")
+        out = out.join(F.broadcast(offsets), "_part").withColumn(f"{v}{suffix}", F.col(f"{v}{suffix}") + F.col("_off")).drop("_off")
+    return out.drop("_part", "_row")
