@@ -9,15 +9,25 @@ from pyspark.sql import functions as F
 
 # The timestamp layouts found in station files.
 TIMESTAMP_FORMATS = ["M/d/yyyy H:mm", "M/d/yyyy H:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm"]
+_EPOCH = "1970-01-01 00:00:00"
 # The warm season runs from June to September.
 WARM_MONTHS = (6, 9)
 
 
 def parse_timestamp(c: Column) -> Column:
     """First layout that reads the text; NULL if none does."""
-    text = F.trim(c)
-    tries = [F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in TIMESTAMP_FORMATS]
-    return F.coalesce(*tries)
+    text = F.concat(F.trim(c), F.lit(" +00:00"))
+    tries = [F.try_to_timestamp(text, F.lit(f"{f} XXX")) for f in TIMESTAMP_FORMATS]
+    return from_utc(F.coalesce(*tries))
+
+
+def as_utc(ts: Column) -> Column:
+    """A zone-less time as the instant it names in UTC, whatever the session zone is."""
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.lit(_EPOCH).cast("timestamp_ntz"), ts))
+
+
+def from_utc(ts: Column) -> Column:
+    return F.timestamp_add("MICROSECOND", F.unix_micros(ts), F.lit(_EPOCH).cast("timestamp_ntz"))
 
 
 def is_full_hour(ts: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.operators.regime import standardise
 from tidepanel.operators.rolling import step_drop
+from tidepanel.session import staged
 
 # Scanned k, and the k that stay interpretable.
 K_SCAN, K_WINDOW, K_DEFAULT = range(2, 11), (3, 6), 4
@@ -60,15 +61,15 @@ def best_k(scan: DataFrame, window: tuple[int, int] = K_WINDOW) -> int:
 
 def kmeans_regimes(df: DataFrame, features: Sequence[str], k: int | None = None) -> DataFrame:
     """Cluster of every complete row."""
-    ready = z_vectors(df, features)
+    ready = staged(z_vectors(df, features))
     k = best_k(k_scan(ready)) if k is None else k
     return fit_kmeans(ready, k).transform(ready).drop("features")
 
 
 def compare_feature_sets(df: DataFrame, full: Sequence[str], reduced: Sequence[str], k: int) -> tuple[DataFrame, dict[str, float]]:
     """Labels of both feature sets at the same k, side by side, and the silhouette of each."""
-    a = z_vectors(df, full, "_full")
-    both = z_vectors(a, reduced, "_reduced")
+    a = staged(z_vectors(df, full, "_full"))
+    both = staged(z_vectors(a, reduced, "_reduced"))
     m1, m2 = fit_kmeans(both, k, "_full"), fit_kmeans(both, k, "_reduced")
     one = m1.transform(both).withColumnRenamed("cluster", "cluster_full")
     two = m2.transform(one).withColumnRenamed("cluster", "cluster_reduced")

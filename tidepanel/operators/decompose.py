@@ -8,6 +8,7 @@ one series runs in numpy.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -25,31 +26,40 @@ PERIOD, MIN_MONTHS, TREND_YEARS, END_YEAR = 12, 84, 10, 2100
 SEASONAL_SPAN, INNER, OUTER = 7, 2, 15
 
 
-def loess(y: np.ndarray, span: int, weights: np.ndarray | None = None, at: np.ndarray | None = None) -> np.ndarray:
-    """Local linear smoother of an evenly spaced series with tricube weights."""
-    n = len(y)
-    x = np.arange(n, dtype=float)
-    at = x if at is None else np.asarray(at, dtype=float)
+@lru_cache(maxsize=256)
+def _windows(n: int, span: int, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Neighbours of each point first..last of an even series of n: index, tricube weight, offset."""
+    at = np.arange(first, last + 1)
     q = min(span, n)
-    left = np.clip(np.floor(at).astype(int) - (q - 1) // 2, 0, n - q)
-    idx = left[:, None] + np.arange(q)[None, :]
-    dist = np.abs(x[idx] - at[:, None])
-    h = dist.max(axis=1) + (max(span - n, 0) // 2)
-    r = dist / np.maximum(h, 1e-12)[:, None]
+    idx = np.clip(at - (q - 1) // 2, 0, n - q)[:, None] + np.arange(q)[None, :]
+    off = (idx - at[:, None]).astype(float)
+    h = np.abs(off).max(axis=1, keepdims=True) + max(span - n, 0) // 2
+    r = np.abs(off) / np.maximum(h, 1e-12)
     w = np.where(r <= 0.001, 1.0, np.where(r <= 0.999, (1 - np.minimum(r, 1) ** 3) ** 3, 0.0))
-    if weights is not None:
-        w = w * weights[idx]
-    total = w.sum(axis=1)
-    safe = np.where(total > 0, total, 1.0)
-    w = w / safe[:, None]
-    mx = (w * x[idx]).sum(axis=1)
-    dx = x[idx] - mx[:, None]
-    sxx = (w * dx * dx).sum(axis=1)
+    return idx, w, off
+
+
+def loess(y: np.ndarray, span: int, weights: np.ndarray | None = None, pad: int = 0) -> np.ndarray:
+    """Local linear smoother of even series (one per row) with tricube weights.
+
+    ``pad`` asks for that many extra points beyond each end.
+    """
+    y2 = np.atleast_2d(y)
+    n = y2.shape[1]
+    idx, w0, off = _windows(n, span, -pad, n - 1 + pad)
+    w = w0[None] if weights is None else w0[None] * np.atleast_2d(weights)[:, idx]
+    total = w.sum(axis=2)
+    w = w / np.where(total > 0, total, 1.0)[:, :, None]
+    mx = (w * off).sum(axis=2)
+    dx = off[None] - mx[:, :, None]
+    sxx = (w * dx * dx).sum(axis=2)
+    near = y2[:, idx]
     wide = np.sqrt(sxx) > 0.001 * max(n - 1, 1)
-    slope = np.where(wide, (w * dx * y[idx]).sum(axis=1) / np.where(wide, sxx, 1.0), 0.0)
-    fit = (w * y[idx]).sum(axis=1) + slope * (at - mx)
-    nearest = y[np.clip(np.round(at).astype(int), 0, n - 1)]
-    return np.where(total > 0, fit, nearest)
+    slope = np.where(wide, (w * dx * near).sum(axis=2) / np.where(wide, sxx, 1.0), 0.0)
+    fit = (w * near).sum(axis=2) - slope * mx
+    at = np.clip(np.arange(-pad, n + pad), 0, n - 1)
+    out = np.where(total > 0, fit, y2[:, at])
+    return out[0] if y.ndim == 1 else out
 
 
 def _moving(y: np.ndarray, n: int) -> np.ndarray:
@@ -57,6 +67,20 @@ def _moving(y: np.ndarray, n: int) -> np.ndarray:
     return (c[n:] - c[:-n]) / n
 
 
+def _smooth_cycle(x: np.ndarray, period: int, weights: np.ndarray | None) -> np.ndarray:
+    """Smooth the values of each calendar position over the cycles, one cycle further at both ends."""
+    n = len(x)
+    out = np.empty(n + 2 * period)
+    cut = n % period or period
+    for rows in (range(cut), range(cut, period)):  # positions with equally many cycles go together
+        if len(rows):
+            sub = np.vstack([x[s::period] for s in rows])
+            rw = None if weights is None else np.vstack([weights[s::period] for s in rows])
+            for s, line in zip(rows, loess(sub, SEASONAL_SPAN, rw, pad=1)):
+                out[s::period][: len(line)] = line
+    return out
+
+
 def stl(y: np.ndarray, period: int = PERIOD, robust: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Trend and seasonal component of one complete series."""
     n = len(y)
@@ -66,13 +90,7 @@ def stl(y: np.ndarray, period: int = PERIOD, robust: bool = True) -> tuple[np.nd
     trend, seasonal, rw = np.zeros(n), np.zeros(n), None
     for outer in range(OUTER + 1 if robust else 1):
         for _ in range(INNER if robust else 5):
-            detrended = y - trend
-            cycle = np.empty(n + 2 * period)
-            for s in range(period):
-                sub = detrended[s::period]
-                m = len(sub)
-                at = np.arange(-1, m + 1, dtype=float)
-                cycle[s :: period][: m + 2] = loess(sub, SEASONAL_SPAN, None if rw is None else rw[s::period], at)
+            cycle = _smooth_cycle(y - trend, period, rw)
             low = loess(_moving(_moving(_moving(cycle, period), period), 3), low_span)
             seasonal = cycle[period : period + n] - low
             trend = loess(y - seasonal, trend_span, rw)
@@ -160,21 +178,21 @@ def extend(parts: DataFrame, keys: Sequence[str] = KEYS, month: str = "month_dat
     return both.join(slopes, group).withColumns({"year": F.year(month), "month_num": F.month(month)})
 
 
-def extension_summary(extended: DataFrame, keys: Sequence[str] = KEYS, late: tuple[int, int] = (2090, 2100), recent_years: int = 5) -> DataFrame:
-    """Mean of the last observed years, of the last decade, their difference and the slope per year."""
+def extension_summary(extended: DataFrame, keys: Sequence[str] = KEYS, late_year: int = 2090, recent_years: int = 5) -> DataFrame:
+    """Mean of the last observed years, of the late forecast, their difference and the slope per year."""
     group = [*keys, "variable"]
-    last = extended.filter(~F.col("is_future")).groupBy(*group).agg(F.max("year").alias("_last"))
-    j = extended.join(last, group)
-    recent = ~F.col("is_future") & (F.col("year") > F.col("_last") - recent_years)
+    seen = ~F.col("is_future") & F.col("observed").isNotNull()
+    last = extended.filter(seen).groupBy(*group).agg(F.max("year").alias("_last"))
+    recent = seen & (F.col("year") > F.col("_last") - recent_years)
     return (
-        j.groupBy(*group)
+        extended.join(last, group)
+        .groupBy(*group)
         .agg(
-            F.avg(F.when(recent, F.col("fitted"))).alias("recent_mean"),
-            F.avg(F.when(F.col("year").between(*late), F.col("fitted"))).alias("late_mean"),
+            F.avg(F.when(recent, F.col("observed"))).alias("recent_mean_5y"),
+            F.avg(F.when(F.col("is_future") & (F.col("year") >= late_year), F.col("fitted"))).alias("forecast_mean_2090s"),
             F.max("trend_slope_per_year").alias("trend_slope_per_year"),
-            F.count_if("is_future").alias("n_future_months"),
         )
-        .withColumn("delta", F.col("late_mean") - F.col("recent_mean"))
+        .withColumn("forecast_delta_2090s", F.col("forecast_mean_2090s") - F.col("recent_mean_5y"))
     )
 
 

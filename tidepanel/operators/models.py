@@ -272,12 +272,13 @@ class FittedResponse:
 def fit_response(df: DataFrame, features: Sequence[str], label: str, fit: Fit = ridge, target: str | None = None, name: str = "ridge", weight: str | None = None, calibrate: bool = False, group: Sequence[str] = KEYS) -> FittedResponse:
     """Fill, fit and, if asked, calibrate on out-of-fold predictions."""
     fills = fill_values(df, features)
-    ready = assemble(df.filter(F.col(label).isNotNull()), fills)
+    ready = assemble(df.filter(F.col(label).isNotNull()), fills).persist()
     out = FittedResponse(fit(ready, label, weight), fills, target, name=name)
     if calibrate:
         oof = oof_predictions(fit, ready, label, group, weight)
         row = linear_calibration(oof, "oof", label, weight).first()
         out.slope, out.intercept = float(row["slope"]), float(row["intercept"])
+    ready.unpersist()
     return out
 
 

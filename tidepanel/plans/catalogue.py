@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepanel.plans import cleaning, modelling, regimes, relations, rollups, scenarios, windows  # noqa: F401
+from tidepanel.plans import cleaning, files, modelling, regimes, relations, rollups, scenarios, streams, windows  # noqa: F401
 from tidepanel.plans.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES", "flagship"]

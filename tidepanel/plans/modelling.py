@@ -14,7 +14,7 @@ from tidepanel.plans.registry import query, tidy
 from tidepanel.plans.regimes import PROFILE, ST_SQL, labelled_stations
 from tidepanel.plans.rollups import DW_SQL, STRESS_SQL, SYQ_LIMITS, SYQ_SQL, daily_water, water_with_deltas
 from tidepanel.plans.windows import event_days
-from tidepanel.session import scratch_path
+from tidepanel.session import scratch_path, staged
 from tidepanel.sources.panels import EV_SQL, LI_SQL, events_panel, table, water_panel
 
 ROUNDS, DEPTH = 8, 4
@@ -216,7 +216,7 @@ AIR_FEATURES = ["air_temp", "air_temp_r1d", "air_temp_r7d", "air_temp_r28d", "wi
 @query("fit_daily_models")
 def fit_daily_models(spark, d):
     """Ridge and boosted trees with linear calibration against two naive rules, scored on holdout stations."""
-    rows = daily_model_rows(spark, d).filter("delta_water_temp is not null").persist()
+    rows = staged(daily_model_rows(spark, d).filter("delta_water_temp is not null"))
     train, hold = rows.filter("cohort = 'train'"), rows.filter("cohort = 'holdout'")
     median = models.fill_values(train, ["delta_water_temp"])["delta_water_temp"]
     hold = rolling.persistence(hold, "delta_water_temp", fallbacks=[F.lit(median)], out="naive_persistence")
@@ -236,7 +236,7 @@ def fit_daily_models(spark, d):
 @query("fit_response_models")
 def fit_response_models(spark, d):
     """Every usable target with plain and weighted, calibrated ridge and trees; best learned model marked."""
-    years = station_years(spark, d).persist()
+    years = staged(station_years(spark, d))
     out = None
     usable = {r["target"] for r in models.target_counts(years, TARGETS).filter("usable").collect()}
     for t in TARGETS:
@@ -286,7 +286,7 @@ def warming_sensitivity(spark, d):
 @query("staged_response")
 def staged_response(spark, d):
     """Climate to water temperature to salinity, oxygen and pH."""
-    rows = daily_model_rows(spark, d).filter("delta_water_temp is not null")
+    rows = staged(daily_model_rows(spark, d).filter("delta_water_temp is not null"))
     stages = [
         ("water_temp_pred", AIR_FEATURES[:6], "delta_water_temp"),
         ("salinity_pred", ["water_temp_pred", "precip", "doy_sin", "doy_cos"], "delta_salinity"),
@@ -409,7 +409,7 @@ def environment_clusters(spark, d):
     return tidy(out.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.avg("oxygen_annual_mean").alias("oxygen_mean")))
 
 
-def nation_months(spark: SparkSession, d: str) -> DataFrame:
+def station_months(spark: SparkSession, d: str) -> DataFrame:
     """Monthly station history of air and water for every station."""
     days = daily_water(spark, d)
     air, water = days.select(*KEYS, "date", "air_temp", "precip"), days.select(*KEYS, "date", "water_temp", "oxygen")
@@ -417,8 +417,8 @@ def nation_months(spark: SparkSession, d: str) -> DataFrame:
 
 
 def components(spark: SparkSession, d: str) -> DataFrame:
-    series = decompose.monthly_series(nation_months(spark, d), ["air_temp", "water_temp"], min_months=72)
-    return decompose.decompose(series)
+    series = decompose.monthly_series(station_months(spark, d), ["air_temp", "water_temp"], min_months=72)
+    return staged(decompose.decompose(series))
 
 
 @query("seasonal_decomposition")
@@ -434,7 +434,7 @@ def decomposition_extension(spark, d):
 
 @query("extension_summary")
 def extension_summary(spark, d):
-    return tidy(decompose.extension_summary(decompose.extend(components(spark, d), end_year=2010), late=(2005, 2010)))
+    return tidy(decompose.extension_summary(decompose.extend(components(spark, d), end_year=2095)))
 
 
 @query(

@@ -10,6 +10,7 @@ from tidepanel.operators import baseline, coverage, density, neighbours, regime
 from tidepanel.plans.registry import query, tidy
 from tidepanel.plans.rollups import BALANCED_SQL, COVER_SQL, MONTHLY_SQL, baseline_panel, covered, daily_water
 from tidepanel.plans.windows import MW_SQL, monthly_water
+from tidepanel.session import staged
 from tidepanel.sources.panels import WATER_MEASURES, events_panel, table, water_panel
 
 FEATURES = ["mean_annual_water_temp", "mean_annual_salinity", "mean_annual_oxygen", "mean_annual_depth"]
@@ -22,9 +23,10 @@ def labelled_stations(spark: SparkSession, d: str) -> DataFrame:
     means = baseline.year_balanced_means(rows, WATER_MEASURES)
     amps = baseline.seasonal_amplitude(baseline.climatology(rows, WATER_MEASURES), WATER_MEASURES)
     deep, rich = F.col("mean_annual_depth") >= 5, F.col("mean_annual_oxygen") >= 6
-    return means.join(amps, ["region", "station"], "left").select(
+    labels = means.join(amps, ["region", "station"], "left").select(
         "region", "station", *PROFILE, F.when(deep & rich, 2).when(deep, 1).when(rich, 3).otherwise(0).alias("cluster")
     )
+    return staged(labels)
 
 
 ST_SQL = (

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "tidepanel", master: str | None = None, **conf: str) -> SparkSession:
@@ -46,3 +46,12 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder for a table or stream output."""
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """A table written to the shared folder and read back: later plans start from it.
+
+    For a result that several jobs use, so that none of them computes it again.
+    """
+    shared_dir(df.sparkSession)
+    return df.checkpoint()

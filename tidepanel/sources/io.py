@@ -185,3 +185,19 @@ def filter_report(df: DataFrame, keep: Column, path: str, fmt: str = "parquet")
 
 def write_tables(tables: Mapping[str, DataFrame], root: str, fmt: str = "parquet") -> dict[str, int]:
     return {name: write_table(df, f"{root}/{name}", fmt) for name, df in tables.items()}
+
+
+def write_named_csv(df: DataFrame, folder: str, stem: str) -> None:
+    """CSV files below ``<folder>/<stem>`` whose names start with the stem, as station files do.
+
+    A file name is what carries the station, so every part is renamed in place.
+    """
+    spark = df.sparkSession
+    target = f"{folder}/{stem}"
+    df.write.mode("overwrite").option("header", True).csv(target)
+    jvm = spark.sparkContext._jvm
+    fs_path = jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    parts = [s.getPath() for s in fs.listStatus(fs_path(target)) if s.getPath().getName().startswith("part-")]
+    for i, part in enumerate(sorted(parts, key=lambda p: p.getName())):
+        fs.rename(part, fs_path(f"{target}/{stem}_{i}.csv"))
