@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from tidepanel import KEYS
 from tidepanel.operators.rolling import lag_matrix
+from tidepanel.session import spread_groups
 
 MAX_LAG = 14
 
@@ -85,4 +86,4 @@ def granger(panel: DataFrame, driver: str, response: str, max_lag: int = MAX_LAG
 
     schema = T.StructType([panel.schema[k] for k in keys])
     schema = schema.add("lag", T.IntegerType()).add("n_rows", T.LongType()).add("f_stat", T.DoubleType()).add("p_value", T.DoubleType())
-    return wide.groupBy(*keys).applyInPandas(run, schema)
+    return spread_groups(wide, keys).groupBy(*keys).applyInPandas(run, schema)

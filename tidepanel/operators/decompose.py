@@ -19,6 +19,7 @@ from pyspark.sql.window import Window
 
 from tidepanel import KEYS
 from tidepanel.operators.rolling import interpolate_time, spine
+from tidepanel.session import spread_groups
 
 # Period, least months of a series, years of trend to extend, last year.
 PERIOD, MIN_MONTHS, TREND_YEARS, END_YEAR = 12, 84, 10, 2100
@@ -132,7 +133,7 @@ def decompose(series: DataFrame, keys: Sequence[str] = KEYS, order: str = "month
     out = T.StructType(list(series.schema.fields))
     for c in ("trend", "seasonal", "fitted"):
         out = out.add(c, T.DoubleType())
-    return series.groupBy(*group).applyInPandas(run, out)
+    return spread_groups(series, group).groupBy(*group).applyInPandas(run, out)
 
 
 def trend_line(parts: DataFrame, keys: Sequence[str] = KEYS, month: str = "month_date", trend_years: int = TREND_YEARS, period: int = PERIOD) -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepanel.plans import cleaning, files, modelling, regimes, relations, rollups, scenarios, streams, windows  # noqa: F401
+from tidepanel.plans import cleaning, files, modelling, regimes, relations, rollups, scenarios, stages, streams, windows  # noqa: F401
 from tidepanel.plans.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["flag_review"](spark, sf_dir)
+    return QUERIES["asof_7d"](spark, sf_dir)

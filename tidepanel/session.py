@@ -55,3 +55,14 @@ def staged(df: DataFrame) -> DataFrame:
     """
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def spread_groups(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash the groups over all shuffle partitions before Python work on them.
+
+    Such groups are few bytes but many cycles, and merging partitions by size would put
+    them in one task. The grouping that follows needs no further shuffle.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
