@@ -25,12 +25,12 @@ MEASURE_NAMES = {
     "m_temp_c": "air_temp",
 }
 
-# Unit conversions, target = source * factor + offset.
+# Unit conversions, target = source * times / over + plus.
 UNIT_RULES = [
-    ("m_era5_air_temp_k", "m_era5_air_temp_c", 1.0, -273.15),
-    ("m_era5_ssrd_j_m2", "m_era5_ssrd_kwh_m2", 1 / 3600000.0, 0.0),
-    ("m_era5_precip_m", "m_precip_mmh", 1000.0, 0.0),
-    ("pr_kg_m2_s", "precip_mm_day", 86400.0, 0.0),
+    ("m_era5_air_temp_k", "m_era5_air_temp_c", 1.0, 1.0, -273.15),
+    ("m_era5_ssrd_j_m2", "m_era5_ssrd_kwh_m2", 1.0, 3600000.0, 0.0),
+    ("m_era5_precip_m", "m_precip_mmh", 1000.0, 1.0, 0.0),
+    ("pr_kg_m2_s", "precip_mm_day", 86400.0, 1.0, 0.0),
 ]
 
 
@@ -92,7 +92,7 @@ def hour_filter(df: DataFrame, ts: str, hours: Sequence[int] = (8, 20)) -> DataF
 def convert_units(df: DataFrame, rules=UNIT_RULES, drop_source: bool = True) -> DataFrame:
     """Apply every rule whose source column exists; a temperature or energy source is dropped."""
     rules = [r for r in rules if r[0] in df.columns]
-    out = df.withColumns({dst: text.number(F.col(src).cast("string")) * k + b for src, dst, k, b in rules})
+    out = df.withColumns({dst: text.number(F.col(src).cast("string")) * k / q + b for src, dst, k, q, b in rules})
     return out.drop(*[r[0] for r in rules]) if drop_source else out
 
 
