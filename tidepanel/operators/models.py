@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tidepanel import KEYS
 from tidepanel.functions.stats import one_row
 from tidepanel.operators.ordered import global_rank, quantile_columns
+from tidepanel.session import staged
 
 # Ridge penalty, learning rate, and rounds x depth of the boosted trees.
 RIDGE_ALPHA, LEARNING_RATE = 1.0, 0.05
@@ -130,7 +131,7 @@ def oof_predictions(fit: Fit, df: DataFrame, label: str, group: Sequence[str] =
     used = [r["fold"] for r in folds.select("fold").distinct().orderBy("fold").collect()]
     if len(used) < 2:
         return _predict(fit(df, label, weight), df, out)
-    marked = df.join(folds.select(*group, "fold"), list(group)).persist()
+    marked = staged(df.join(folds.select(*group, "fold"), list(group)))
     parts = [
         _predict(fit(marked.filter(F.col("fold") != f), label, weight), marked.filter(F.col("fold") == f), out) for f in used
     ]
@@ -269,9 +270,13 @@ class FittedResponse:
         return scored.withColumn(out, value).drop("features", "prediction")
 
 
-def fit_response(df: DataFrame, features: Sequence[str], label: str, fit: Fit = ridge, target: str | None = None, name: str = "ridge", weight: str | None = None, calibrate: bool = False, group: Sequence[str] = KEYS) -> FittedResponse:
-    """Fill, fit and, if asked, calibrate on out-of-fold predictions."""
-    fills = fill_values(df, features)
+def fit_response(df: DataFrame, features: Sequence[str], label: str, fit: Fit = ridge, target: str | None = None, name: str = "ridge", weight: str | None = None, calibrate: bool = False, group: Sequence[str] = KEYS, fills: Mapping[str, float] | None = None) -> FittedResponse:
+    """Fill, fit and, if asked, calibrate on out-of-fold predictions.
+
+    ``df`` is read several times, so it should be a table or staged. ``fills`` saves the
+    medians when they are known from an earlier fit on the same rows.
+    """
+    fills = dict(fills) if fills is not None else fill_values(df, features)
     ready = assemble(df.filter(F.col(label).isNotNull()), fills).persist()
     out = FittedResponse(fit(ready, label, weight), fills, target, name=name)
     if calibrate:

@@ -226,8 +226,10 @@ def fit_daily_models(spark, d):
         "ridge_air_context_calibrated": (models.ridge, AIR_FEATURES, True),
         "gbt_air_context": (models.gbt(ROUNDS, DEPTH), AIR_FEATURES, False),
     }
+    medians = models.fill_values(train, AIR_FEATURES)
     for name, (fit, features, calibrate) in fits.items():
-        hold = models.fit_response(train, features, "delta_water_temp", fit, name=name, calibrate=calibrate).predict(hold, name)
+        fills = {f: medians[f] for f in features if f in medians}
+        hold = models.fit_response(train, features, "delta_water_temp", fit, name=name, calibrate=calibrate, fills=fills).predict(hold, name)
         preds.append(name)
     scores = evaluate.regression_scores(hold, "delta_water_temp", preds)
     return tidy(evaluate.leaderboard(scores.withColumn("target", F.lit("delta_water_temp"))))
@@ -243,7 +245,8 @@ def fit_response_models(spark, d):
         if t.name not in usable:
             continue
         rows = models.target_rows(years, t)
-        train = models.tail_weights(rows.filter("cohort = 'train'"), t.column, t.name)
+        train = staged(models.tail_weights(rows.filter("cohort = 'train'"), t.column, t.name))
+        fills = models.fill_values(train, t.features)
         hold = rows.filter("cohort = 'holdout'")
         median = models.fill_values(train, [t.column])[t.column]
         hold = hold.withColumn("naive_global_median", F.lit(median))
@@ -253,7 +256,7 @@ def fit_response_models(spark, d):
             ("ridge_weighted_calibrated", models.ridge, "weight", True),
             ("gbt_climate", models.gbt(ROUNDS, DEPTH, 20), None, False),
         ]:
-            response = models.fit_response(train, t.features, t.column, fit, t.name, name, weight, calibrate)
+            response = models.fit_response(train, t.features, t.column, fit, t.name, name, weight, calibrate, fills=fills)
             hold = response.predict(hold, name)
             preds.append(name)
         s = evaluate.regression_scores(hold, t.column, preds).withColumns({"target": F.lit(t.name), "target_window": F.lit(t.window)})
@@ -263,7 +266,8 @@ def fit_response_models(spark, d):
 
 @query("oof_predictions")
 def oof_predictions(spark, d):
-    rows = models.assemble(station_years(spark, d).filter("water_temp_annual_mean is not null"), {f: 0.0 for f in FEATURES[:4]})
+    years = staged(station_years(spark, d).filter("water_temp_annual_mean is not null"))
+    rows = models.assemble(years, {f: 0.0 for f in FEATURES[:4]})
     oof = models.oof_predictions(models.ridge, rows, "water_temp_annual_mean")
     return tidy(oof.select("region", "station", "year", "fold", "water_temp_annual_mean", "oof"))
 
@@ -278,6 +282,7 @@ def isotonic_calibration(spark, d):
 @query("warming_sensitivity")
 def warming_sensitivity(spark, d):
     rows = daily_model_rows(spark, d).filter("delta_water_temp is not null").select("region", "station", "date", "delta_water_temp", "cohort", *AIR_FEATURES[:6])
+    rows = staged(rows)
     response = models.fit_response(rows.filter("cohort = 'train'"), AIR_FEATURES[:6], "delta_water_temp")
     shift = models.warming_sensitivity(response, rows.filter("cohort = 'holdout'"))
     return tidy(shift.groupBy("region").agg(F.count(F.lit(1)).alias("n_rows"), F.avg("shift").alias("mean_shift"), F.min("shift").alias("min_shift")))
@@ -308,7 +313,7 @@ def place_comparison(spark, d):
     numeric = ["air_temp", "precip", "wind_speed", "doy_sin", "doy_cos"]
     place_free = models.assemble(encoded, {c: 0.0 for c in numeric}, "free")
     both = models.VectorAssembler(inputCols=["free", "region_hot", "station_code_hot"], outputCol="placed").transform(place_free)
-    both = sets.split_fraction(both, ["region", "station", "date"]).persist()
+    both = staged(sets.split_fraction(both, ["region", "station", "date"]))
     out = None
     for target in ["water_temp", "depth"]:
         rows = both.filter(F.col(target).isNotNull())
@@ -329,7 +334,7 @@ def bloom_classifier(spark, d):
         *[F.avg(F.when(F.col("variable") == v, F.col("value"))).alias(v) for v in EVENT_TYPES], F.count(F.lit(1)).alias("n_events")
     )
     wide = wide.filter("view is not null").withColumn("is_bloom", (F.col("view") >= 100).cast("int"))
-    split = sets.split_stratified(wide, "is_bloom", ["station", "date"])
+    split = staged(sets.split_stratified(wide, "is_bloom", ["station", "date"]))
     features = ["click", "error", "purchase", "signup", "n_events"]
     train, test = split.filter("split = 'train'"), split.filter("split = 'test'")
     fills = models.fill_values(train, features)
@@ -349,7 +354,7 @@ def feature_importance(spark, d):
 @query("batch_scoring")
 def batch_scoring(spark, d):
     """A saved model is loaded again and scores every station-year at once, back to absolute values."""
-    years = station_years(spark, d).filter("water_temp_annual_mean is not null")
+    years = staged(station_years(spark, d).filter("water_temp_annual_mean is not null"))
     overall = years.groupBy("region", "station").agg(F.avg("water_temp_annual_mean").alias("water_temp_baseline"))
     rows = years.join(overall, KEYS).withColumn("delta", F.col("water_temp_annual_mean") - F.col("water_temp_baseline"))
     response = models.fit_response(rows.filter("cohort = 'train'"), FEATURES[:4], "delta")
@@ -361,7 +366,7 @@ def batch_scoring(spark, d):
 
 @query("model_registry")
 def model_registry(spark, d):
-    years = station_years(spark, d).filter("water_temp_annual_mean is not null")
+    years = staged(station_years(spark, d).filter("water_temp_annual_mean is not null"))
     response = models.fit_response(years, FEATURES[:4], "water_temp_annual_mean", name="ridge_water_temp")
     registry = models.save_models(spark, {"water_temp": response}, scratch_path(spark, "models"), "1")
     return registry.select("name", "version", F.size("fills").alias("n_features"), "slope", "intercept")
