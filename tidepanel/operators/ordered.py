@@ -21,7 +21,7 @@ from tidepanel.session import shared_dir
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in the lower 33 bits
 
 
-def _sorted_slots(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
+def sorted_slots(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
     shared_dir(df.sparkSession)
     slot = F.monotonically_increasing_id()
     return (
@@ -42,7 +42,7 @@ def _offsets(slots: DataFrame, total: Column) -> DataFrame:
 
 def global_rank(df: DataFrame, order: Sequence[Column | str], name: str = "rank") -> DataFrame:
     """1-based position of every row in the total order, without a one-task window."""
-    slots = _sorted_slots(df, order)
+    slots = sorted_slots(df, order)
     offsets = _offsets(slots, F.count(F.lit(1)))
     return (
         slots.join(F.broadcast(offsets), "_part")
@@ -85,7 +85,7 @@ def exact_quantiles(
         F.count(F.lit(1)).alias("_count")
     )
     group = [*keys, "variable"]
-    slots = _sorted_slots(counts, [*group, "value"])
+    slots = sorted_slots(counts, [*group, "value"])
     offsets = _offsets(slots, F.sum("_count"))
     inside = Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
     placed = (
@@ -106,6 +106,8 @@ def exact_quantiles(
             (F.col("_pos") - F.floor("_pos")).alias("_frac"),
         )
     )
+    if not keys:  # one row per column and probability
+        wanted = F.broadcast(wanted)
     holds_low = (F.col("_low") >= F.col("_from")) & (F.col("_low") < F.col("_upto"))
     holds_high = (F.col("_high") >= F.col("_from")) & (F.col("_high") < F.col("_upto"))
     condition = holds_low | holds_high
@@ -135,7 +137,7 @@ def quantile_columns(
 
 def cumulative_sum(df: DataFrame, order: Sequence[Column | str], values: Sequence[str], suffix: str = "_before") -> DataFrame:
     """Sum of each value over all rows before the current one in a total order."""
-    slots = _sorted_slots(df, order)
+    slots = sorted_slots(df, order)
     inside = Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
     out = slots.withColumns({f"{v}{suffix}": F.coalesce(F.sum(v).over(inside), F.lit(0)) for v in values})
     for v in values:

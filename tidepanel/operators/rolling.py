@@ -158,15 +158,18 @@ def gap_histogram(df: DataFrame, keys: Sequence[str], ts: str, n: int = 10) -> D
 def order_violations(df: DataFrame, keys: Sequence[str], ts: str, position: str) -> DataFrame:
     """Readings per key that come later in file order but earlier in time.
 
-    A reading is a violation if a reading of an earlier position has a later time. The
-    latest time before each position slice is carried in from a table of slice maxima.
+    A reading is a violation if a reading of an earlier position has a later time. The table
+    is sorted by range into even parts; the latest time of a key before a part comes from a
+    table with one row per key and part.
     """
-    slice_of = F.floor(F.col(position) / 4096)
-    df = df.withColumn("_slot", slice_of)
-    inside = Window.partitionBy(*keys, "_slot").orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
-    across = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    tails = df.groupBy(*keys, "_slot").agg(F.max(ts).alias("_m")).withColumn("_carry", F.max("_m").over(across)).drop("_m")
-    seen = df.withColumn("_in", F.max(ts).over(inside)).join(tails, [*keys, "_slot"])
+    from tidepanel.operators.ordered import sorted_slots
+
+    keys = list(keys)
+    slots = sorted_slots(df.select(*keys, position, ts), [*keys, position])
+    inside = Window.partitionBy(*keys, "_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    tails = slots.groupBy(*keys, "_part").agg(F.max(ts).alias("_m")).withColumn("_carry", F.max("_m").over(across)).drop("_m")
+    seen = slots.withColumn("_in", F.max(ts).over(inside)).join(tails, [*keys, "_part"])
     latest = F.greatest("_in", "_carry")
     return seen.groupBy(*keys).agg(F.count_if(F.coalesce(F.col(ts) < latest, F.lit(False))).alias("n_order_violations"))
 
