@@ -75,7 +75,8 @@ def season_signature(monthly: DataFrame, temp: str = "water_temp_mmean", oxygen:
     """Warm and cold months about the station mean, their intensity and oxygen, and the phase lag.
 
     ``monthly`` has at most twelve rows per station. Months strictly above the mean are warm
-    (the warmest if there is none), strictly below are cold.
+    (the warmest if there is none), strictly below are cold. Of equally warm months, and of
+    equally poor ones, the first is taken.
     """
     w = Window.partitionBy(*keys)
     t, o = F.col(temp), F.col(oxygen)
@@ -90,8 +91,8 @@ def season_signature(monthly: DataFrame, temp: str = "water_temp_mmean", oxygen:
         )
     )
     warm, cold = F.col("_warm"), F.col("_cold")
-    peak = F.max_by("month", F.when(t.isNotNull(), F.struct(t, -F.col("month"))))
-    nadir = F.min_by("month", F.when(o.isNotNull(), F.struct(o, F.col("month"))))
+    peak = F.max_by("month", F.when(t.isNotNull(), F.struct(stats.steady(t), -F.col("month"))))
+    nadir = F.min_by("month", F.when(o.isNotNull(), F.struct(stats.steady(o), F.col("month"))))
     return marked.groupBy(*keys).agg(
         peak.alias("warm_peak_month"),
         nadir.alias("oxygen_nadir_month"),

@@ -156,8 +156,8 @@ SIGNATURE_SQL = """m1 AS (SELECT *, water_temp_mmean AS t, oxygen_mmean AS o, av
      FROM mm WINDOW w AS (PARTITION BY region, station)),
   m2 AS (SELECT *, bool_or(t > tm) OVER (PARTITION BY region, station) AS aw, bool_or(t < tm) OVER (PARTITION BY region, station) AS ac FROM m1),
   m3 AS (SELECT *, coalesce(CASE WHEN aw THEN t > tm ELSE t = tx END, false) AS warm, coalesce(CASE WHEN ac THEN t < tm ELSE t = tn END, false) AS cold FROM m2),
-  sig AS (SELECT region, station, arg_max(month, (t, -month)) FILTER (WHERE t IS NOT NULL) AS warm_peak_month,
-    arg_min(month, (o, month)) FILTER (WHERE o IS NOT NULL) AS oxygen_nadir_month,
+  sig AS (SELECT region, station, arg_max(month, (round(t, 9), -month)) FILTER (WHERE t IS NOT NULL) AS warm_peak_month,
+    arg_min(month, (round(o, 9), month)) FILTER (WHERE o IS NOT NULL) AS oxygen_nadir_month,
     count(*) FILTER (WHERE warm) AS warm_len_months, count(*) FILTER (WHERE cold) AS cold_len_months,
     sum(t - tm) FILTER (WHERE warm) AS warm_intensity_temp, coalesce(sum(tm - t) FILTER (WHERE cold), 0) AS cold_intensity_temp,
     avg(o) FILTER (WHERE warm) AS warm_oxygen_mean, min(o) FILTER (WHERE warm) AS warm_oxygen_min, avg(o) FILTER (WHERE cold) AS cold_oxygen_mean
