@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepanel.llm import bpe, packing, sharding
+from tidepanel.llm import bpe, fingerprints, packing, sharding
 from tidepanel.llm.common import table
 
 
@@ -27,9 +27,14 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.document_fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe": op5_bpe,
     "op6_sharding": op6_sharding,
     "op7_packing": op7_packing,
+    "op8_fingerprints": op8_fingerprints,
 }
 ORACLES: dict[str, str] = {}
