@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepanel.llm import bpe, fingerprints, packing, sharding
+from tidepanel.llm import bpe, fingerprints, packing, quality, sharding, toxicity
 from tidepanel.llm.common import table
 
 
@@ -15,6 +15,10 @@ BYTE_VOCABULARY = "byte_bpe_50k.json"
 WORD_VOCABULARY = "word_bpe_49k.json"
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.document_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trips(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_VOCABULARY))
 
@@ -31,10 +35,16 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.document_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.document_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_toxicity": op4_toxicity,
     "op5_bpe": op5_bpe,
     "op6_sharding": op6_sharding,
     "op7_packing": op7_packing,
     "op8_fingerprints": op8_fingerprints,
+    "op9_quality": op9_quality,
 }
 ORACLES: dict[str, str] = {}
