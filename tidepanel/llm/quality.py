@@ -28,6 +28,8 @@ SYMBOLS = 48
 START, CAPITAL, DIGIT, RARE = 0, 1, 2, 3
 QUANTILE = 0.998
 SIGMAS = 3.0
+MARGIN = 1.05
+"""Allowance for texts that the model hasn't seen, as trusted ones are part of its counts."""
 STEP = 0.001
 WIDE = 1 << 16
 
@@ -177,7 +179,7 @@ def limits(scores: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     counts = counts.where(F.col("lang").isNotNull()).unionByName(counts.groupBy("bin").agg(F.sum("n").alias("n")).withColumn("lang", F.lit(None).cast("string")))
     by = Window.partitionBy("lang")  # rows here are histogram bins, whose number the perplexities' range bounds
     upto = counts.withColumn("upto", F.sum("n").over(by.orderBy("bin"))).withColumn("all", F.sum("n").over(by))
-    return upto.where(F.col("upto") >= F.col("all") * quantile).groupBy("lang").agg((F.min("bin") * STEP).alias("limit"))
+    return upto.where(F.col("upto") >= F.col("all") * quantile).groupBy("lang").agg((F.min("bin") * STEP * MARGIN).alias("limit"))
 
 
 def document_quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
