@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepanel.llm import bpe, fingerprints, html_text, packing, quality, sharding, toxicity
+from tidepanel.llm import bpe, fingerprints, html_text, packing, quality, sharding, toxicity, warc
 from tidepanel.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(table(spark, sf_dir, "pages"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(table(spark, sf_dir, "pages"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.document_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -45,6 +49,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
+    "op3_warc": op3_warc,
     "op4_toxicity": op4_toxicity,
     "op5_bpe": op5_bpe,
     "op6_sharding": op6_sharding,
