@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepanel.llm import bpe, fingerprints, html_text, packing, quality, sharding, toxicity, warc
+from tidepanel.llm import bpe, fingerprints, html_text, neighbours, packing, quality, sharding, toxicity, warc
 from tidepanel.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(table(spark, sf_dir, "pages"))
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived_pages(table(spark, sf_dir, "pages"))
 
@@ -49,6 +53,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
+    "op2_neighbours": op2_neighbours,
     "op3_warc": op3_warc,
     "op4_toxicity": op4_toxicity,
     "op5_bpe": op5_bpe,
