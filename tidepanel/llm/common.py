@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidepanel.session import shared_dir, staged
 
@@ -55,8 +57,6 @@ def numbered(rows: DataFrame, order: list[Column], partitions: int | None = None
     )
     cut = staged(cut)
     counts = cut.groupBy("_part").agg(F.count("*").alias("_c")).coalesce(1)
-    from pyspark.sql import Window
-
     before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(F.lit(0))
     starts = counts.select(
@@ -108,3 +108,22 @@ def code_points(text: str) -> np.ndarray:
 
 
 Batches = Iterator[pd.DataFrame]
+
+
+def with_scores(documents: DataFrame, names: list[str], begin: Callable[[], Callable[[list[str]], list[list]]]) -> DataFrame:
+    """``documents`` with double columns ``names`` that a task computes from whole texts (null ones as empty).
+
+    ``begin`` is called once per task and gives the function from texts to one list per column. Other columns pass as
+    they are, as Arrow data, whatever their types.
+    """
+    schema = StructType([*documents.schema.fields, *(StructField(n, DoubleType()) for n in names)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = begin()
+        for batch in batches:
+            found = work([t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()])
+            for name, values in zip(names, found, strict=True):
+                batch = batch.append_column(name, pa.array(values, type=pa.float64()))
+            yield batch
+
+    return documents.mapInArrow(run, schema)

@@ -16,12 +16,14 @@ all rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import Batches, code_points, staged, texts_of
+from tidepanel.llm.common import Batches, code_points, free_name, staged, texts_of, with_scores
 
 ORDER = 4
 SYMBOLS = 48
@@ -151,22 +153,23 @@ def bounds(values: np.ndarray) -> tuple[float, float]:
     return float(np.exp(mean)), float(np.exp(mean - SIGMAS * error))
 
 
-def with_perplexity(documents: DataFrame, trusted: DataFrame) -> DataFrame:
-    """All rows and columns of ``documents`` with ``perplexity`` of the whole text and its ``lower_bound``; null for empty and null texts."""
+def with_perplexity(documents: DataFrame, trusted: DataFrame, names: list[str]) -> DataFrame:
+    """``documents`` with the perplexity of each whole text and its lower bound as ``names``; null for empty and null texts."""
     trusted = staged(trusted.select("text").where(F.length("text") > 0))
     common = alphabet(trusted)
     shared = documents.sparkSession.sparkContext.broadcast((common, probabilities(counted(trusted, common))))
 
-    def score(batches: Batches) -> Batches:
+    def begin() -> Callable[[list[str]], list[list]]:
         common, orders = shared.value
         table, values = folds(common), logs(orders)
-        for batch in batches:
-            found = [bounds(values[ngrams(t, table)].astype(np.float64)) if t else (None, None) for t in texts_of(batch)]
-            perplexity, lower = (pd.array([f[k] for f in found], dtype="Float64") for k in (0, 1))
-            yield batch.assign(perplexity=perplexity, lower_bound=lower)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
-    return documents.mapInPandas(score, f"{schema}, perplexity double, lower_bound double")
+        def score(texts: list[str]) -> list[list]:
+            found = [bounds(values[ngrams(t, table)].astype(np.float64)) if t else (None, None) for t in texts]
+            return [[f[k] for f in found] for k in (0, 1)]
+
+        return score
+
+    return with_scores(documents, names, begin)
 
 
 def limits(scores: DataFrame, quantile: float = QUANTILE) -> DataFrame:
@@ -182,24 +185,34 @@ def limits(scores: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     return upto.where(F.col("upto") >= F.col("all") * quantile).groupBy("lang").agg((F.min("bin") * STEP * MARGIN).alias("limit"))
 
 
+def judged(documents: DataFrame, labels: DataFrame, names: list[str]) -> tuple[DataFrame, F.Column]:
+    """``documents`` with perplexity and lower bound as ``names``, and the limit of a row's language as an expression."""
+    known = labels.where(F.col("quality") == 1).select(F.col("doc_id").alias("_known")).distinct()
+    trusted = documents.select("doc_id", "text").join(known, F.col("doc_id") == F.col("_known"), "left_semi")
+    scores = with_perplexity(documents, trusted, names)
+    narrow = staged(scores.select(F.col("doc_id").alias("id"), "lang", F.col(names[1]).alias("lower_bound")))
+    found = limits(narrow.join(known, F.col("id") == F.col("_known"), "left_semi")).collect()  # one row per language of trusted documents
+    by_lang = {r["lang"]: r["limit"] for r in found if r["lang"] is not None}
+    overall = F.lit(next((r["limit"] for r in found if r["lang"] is None), float("inf")))
+    limit = F.coalesce(F.create_map(*(F.lit(x) for kv in by_lang.items() for x in kv))[F.col("lang")], overall) if by_lang else overall
+    return scores, limit
+
+
 def document_quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id``, ``lang``, ``perplexity``, its ``lower_bound``, the ``limit`` of its language and ``kept`` for every document.
 
     Trusted are the documents that ``labels.quality`` marks with 1. Empty and null texts have no perplexity and aren't
-    kept. Without any trusted text there is no limit, and every text that isn't empty is kept.
+    kept. Without any trusted text there is no limit, and every text that isn't empty is kept. A null language, and
+    one without trusted documents, has the limit of all trusted documents.
     """
-    return scored_documents(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang"), labels).drop("text")
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang")
+    scores, limit = judged(rows, labels, ["perplexity", "lower_bound"])
+    kept = F.coalesce(F.col("lower_bound") <= limit, F.lit(False))
+    return scores.select("doc_id", "lang", "perplexity", "lower_bound", limit.alias("limit"), kept.alias("kept"))
 
 
-def scored_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """As :func:`document_quality`, with all columns of ``documents``, which must not be named like those it adds."""
-    known = labels.where(F.col("quality") == 1).select(F.col("doc_id").alias("_known")).distinct()
-    trusted = documents.select("doc_id", "text").join(known, F.col("doc_id") == F.col("_known"), "left_semi")
-    scores = with_perplexity(documents, trusted)
-    narrow = staged(scores.select("doc_id", "lang", "lower_bound"))
-    marked = narrow.join(known, F.col("doc_id") == F.col("_known"), "left_semi")
-    bounds = limits(marked).toPandas()  # one row per language that trusted documents have
-    by_lang = {r.lang: float(r.limit) for r in bounds.itertuples() if isinstance(r.lang, str)}
-    overall = next((float(r.limit) for r in bounds.itertuples() if not isinstance(r.lang, str)), float("inf"))
-    limit = F.coalesce(F.create_map(*(F.lit(x) for kv in by_lang.items() for x in kv))[F.col("lang")], F.lit(overall)) if by_lang else F.lit(overall)
-    return scores.withColumn("limit", limit).withColumn("kept", F.coalesce(F.col("lower_bound") <= F.col("limit"), F.lit(False)))
+def without_poor(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """``documents`` without those that :func:`document_quality` doesn't keep; the columns stay as they are."""
+    names = [free_name(documents, "perplexity"), free_name(documents, "lower_bound")]
+    scores, limit = judged(documents, labels, names)
+    return scores.where(F.col(names[1]) <= limit).drop(*names)

@@ -10,6 +10,7 @@ The fit takes a bounded sample of the labelled rows (``TRAINING_ROWS``), the mod
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import Batches, code_points, labelled_sample, staged, texts_of
+from tidepanel.llm.common import Batches, code_points, free_name, labelled_sample, staged, texts_of, with_scores
 
 ORDERS = (3, 4, 5)
 BITS = 22
@@ -115,24 +116,24 @@ def fit(training: DataFrame) -> Model:
     return Model(model.slots, ratios, fitted.coefficients.toArray(), float(fitted.intercept))
 
 
-def scored(documents: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of all documents and the ``score`` of each whole text, the probability of the label.
+def scored(documents: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """``documents`` with the score of each whole text as ``name``, the probability of the label.
 
     Texts without any weighted n-gram, empty and null ones included, get the model's prior.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(model)
-    columns = [f for f in documents.select(*keep).schema.fields]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns) + ", score double"
+    shared = documents.sparkSession.sparkContext.broadcast(model)  # FEATURES entries at most
 
-    def score(batches: Batches) -> Batches:
+    def begin() -> Callable[[list[str]], list[list]]:
         model, lookup = shared.value, shared.value.lookup()
         scaled = model.ratios * model.weights
-        for batch in batches:
-            sums = np.array([scaled[present(t, lookup)].sum() for t in texts_of(batch)]) + model.intercept
-            yield batch[keep].assign(score=1 / (1 + np.exp(-np.clip(sums, -700, 700))))
 
-    inputs = documents.select(*dict.fromkeys([*keep, "text"]))
-    return inputs.mapInPandas(score, schema)
+        def score(texts: list[str]) -> list[list]:
+            sums = np.array([scaled[present(t, lookup)].sum() for t in texts]) + model.intercept
+            return [(1 / (1 + np.exp(-np.clip(sums, -700, 700)))).tolist()]
+
+        return score
+
+    return with_scores(documents, [name], begin)
 
 
 def held_out(key: str = "doc_id") -> F.Column:
@@ -154,5 +155,12 @@ def training_rows(documents: DataFrame, labels: DataFrame, bound: int = TRAINING
 def document_toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Score of each whole text of ``documents``; label, language, source and id take no part in it."""
     documents = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    result = scored(documents, fit(training_rows(documents, labels)), ["doc_id"])
+    result = scored(documents, fit(training_rows(documents, labels)))
     return result.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def without_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """``documents`` without those of a score of 0.5 or more; the columns stay as they are."""
+    name = free_name(documents, "score")
+    kept = scored(documents, fit(training_rows(documents, labels)), name)
+    return kept.where(F.col(name) < 0.5).drop(name)
