@@ -195,7 +195,10 @@ def document_fingerprints(documents: DataFrame) -> DataFrame:
     rows = rows.select("doc_id", "text", F.xxhash64("text").alias("_tie"), F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf"))).alias("_place"))
     cuts = documents.select(F.col("doc_id").cast("double").alias("d")).na.drop().approxQuantile("d", [k / slices for k in range(1, slices)], 0.25 / slices)
     splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
-    rows = Bucketizer(splits=splits, inputCol="_place", outputCol="_bucket").transform(rows).withColumn("_slice", F.col("_bucket").cast("int"))
+    if len(splits) > 2:
+        rows = Bucketizer(splits=splits, inputCol="_place", outputCol="_bucket").transform(rows).withColumn("_slice", F.col("_bucket").cast("int"))
+    else:  # fewer than two different cuts
+        rows = rows.withColumn("_slice", F.lit(0))
     # one row per slice; their number is the count of shuffle partitions, so the window and the broadcast are bounded
     firsts = rows.groupBy("_slice").agg(F.min(F.struct("doc_id", "_tie")).alias("_first"))
     order = Window.partitionBy(F.lit(0)).orderBy("_slice")

@@ -79,7 +79,7 @@ def alphabet(trusted: DataFrame) -> list[int]:
     counts = trusted.select("text").mapInPandas(count, "point int, n bigint").groupBy("point").agg(F.sum("n").alias("n"))
     letters = F.expr("decode(unhex(lpad(hex(point), 8, '0')), 'UTF-32')")
     counts = counts.where(F.col("point") < WIDE).withColumn("c", letters)
-    plain = counts.where((F.col("c") == F.lower("c")) & ~F.col("c").rlike(r"^\\d$"))
+    plain = counts.where((F.col("c") == F.lower("c")) & ~F.col("c").rlike(r"^\d$"))
     # a fixed number of rows
     return sorted(r["point"] for r in plain.orderBy(F.desc("n"), "point").limit(SYMBOLS - RARE - 1).collect())
 

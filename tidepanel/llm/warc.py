@@ -191,8 +191,8 @@ def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE
                     path = f"{base}/part-{task.partitionId():06d}-{task.taskAttemptId()}-{number:04d}-{uuid.uuid4().hex[:8]}.warc.gz"
                     out, number = store.open_output_stream(path, compression=None), number + 1
                     written.append([path, 0])
-                given = [None if pd.isna(x) else x for x in (page_id, url, html, refers_to)]
-                out.write(record(given[0], given[1], (given[2] or "").encode("utf-8", "replace"), given[3], bool(revisit)))
+                own, other = (None if pd.isna(x) else int(x) for x in (page_id, refers_to))
+                out.write(record(own, url, (html or "").encode("utf-8", "replace"), other, bool(revisit)))
                 written[-1][1] += 1
         if out is not None:
             out.close()
