@@ -20,7 +20,8 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.llm.common import Batches, code_points, free_name, staged, texts_of, with_scores
@@ -33,6 +34,8 @@ SIGMAS = 3.0
 MARGIN = 1.05
 """Allowance for texts that the model hasn't seen, as trusted ones are part of its counts."""
 STEP = 0.001
+BROADCAST_IDS = 4_000_000
+"""Label ids that may be broadcast (32 MB)."""
 WIDE = 1 << 16
 
 
@@ -153,14 +156,11 @@ def bounds(values: np.ndarray) -> tuple[float, float]:
     return float(np.exp(mean)), float(np.exp(mean - SIGMAS * error))
 
 
-def with_perplexity(documents: DataFrame, trusted: DataFrame, names: list[str]) -> DataFrame:
+def with_perplexity(documents: DataFrame, model: Broadcast, names: list[str]) -> DataFrame:
     """``documents`` with the perplexity of each whole text and its lower bound as ``names``; null for empty and null texts."""
-    trusted = staged(trusted.select("text").where(F.length("text") > 0))
-    common = alphabet(trusted)
-    shared = documents.sparkSession.sparkContext.broadcast((common, probabilities(counted(trusted, common))))
 
     def begin() -> Callable[[list[str]], list[list]]:
-        common, orders = shared.value
+        common, orders = model.value
         table, values = folds(common), logs(orders)
 
         def score(texts: list[str]) -> list[list]:
@@ -172,6 +172,14 @@ def with_perplexity(documents: DataFrame, trusted: DataFrame, names: list[str])
     return with_scores(documents, names, begin)
 
 
+def trusted_rows(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that labels of quality 1 name. Up to ``BROADCAST_IDS`` ids are sent to the texts; more of them meet the texts in a shuffle."""
+    known = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_known")).distinct()
+    if known.count() <= BROADCAST_IDS:
+        known = F.broadcast(known)
+    return documents.join(known, F.col("doc_id") == F.col("_known"), "left_semi")
+
+
 def limits(scores: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """``(lang, limit)`` from ``scores(lang, lower_bound)``: the smallest step that holds a share ``quantile`` of a language's rows.
 
@@ -179,23 +187,24 @@ def limits(scores: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """
     bins = scores.where(F.col("lower_bound").isNotNull()).withColumn("bin", F.ceil(F.col("lower_bound") / STEP))
     counts = bins.groupBy("lang", "bin").agg(F.count("*").alias("n"))
+    counts = staged(counts)
     counts = counts.where(F.col("lang").isNotNull()).unionByName(counts.groupBy("bin").agg(F.sum("n").alias("n")).withColumn("lang", F.lit(None).cast("string")))
     by = Window.partitionBy("lang")  # rows here are histogram bins, whose number the perplexities' range bounds
     upto = counts.withColumn("upto", F.sum("n").over(by.orderBy("bin"))).withColumn("all", F.sum("n").over(by))
     return upto.where(F.col("upto") >= F.col("all") * quantile).groupBy("lang").agg((F.min("bin") * STEP * MARGIN).alias("limit"))
 
 
-def judged(documents: DataFrame, labels: DataFrame, names: list[str]) -> tuple[DataFrame, F.Column]:
+def judged(documents: DataFrame, labels: DataFrame, names: list[str]) -> tuple[DataFrame, Column]:
     """``documents`` with perplexity and lower bound as ``names``, and the limit of a row's language as an expression."""
-    known = labels.where(F.col("quality") == 1).select(F.col("doc_id").alias("_known")).distinct()
-    trusted = documents.select("doc_id", "text").join(known, F.col("doc_id") == F.col("_known"), "left_semi")
-    scores = with_perplexity(documents, trusted, names)
-    narrow = staged(scores.select(F.col("doc_id").alias("id"), "lang", F.col(names[1]).alias("lower_bound")))
-    found = limits(narrow.join(known, F.col("id") == F.col("_known"), "left_semi")).collect()  # one row per language of trusted documents
+    trusted = trusted_rows(documents.select("doc_id", "text", "lang"), labels)
+    common = alphabet(trusted)
+    model = documents.sparkSession.sparkContext.broadcast((common, probabilities(counted(trusted, common))))  # SYMBOLS ** ORDER rows at most
+    own = with_perplexity(trusted.select("lang", "text"), model, ["perplexity", "lower_bound"]).select("lang", "lower_bound")
+    found = limits(own).collect()  # one row per language of trusted documents
     by_lang = {r["lang"]: r["limit"] for r in found if r["lang"] is not None}
     overall = F.lit(next((r["limit"] for r in found if r["lang"] is None), float("inf")))
     limit = F.coalesce(F.create_map(*(F.lit(x) for kv in by_lang.items() for x in kv))[F.col("lang")], overall) if by_lang else overall
-    return scores, limit
+    return with_perplexity(documents, model, names), limit
 
 
 def document_quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
