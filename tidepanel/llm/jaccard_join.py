@@ -21,10 +21,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import Batches, components, staged, texts_of
+from tidepanel.llm.common import Batches, components, free_name, staged, texts_of
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -36,6 +36,8 @@ BLOCK = 512
 LOOKS = 0.6
 """Share of equal tokens from which two nodes are linked for the exact comparison: four standard errors below 0.8."""
 CACHED = 500_000
+BROADCAST_ROWS = 1_000_000
+"""Rows of two or six numbers that may be broadcast; more of them meet the texts in a shuffle."""
 
 U = np.uint64
 
@@ -87,6 +89,11 @@ def node_of(items: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(items.tobytes())).view(np.int64)))
 
 
+def counted_side(rows: DataFrame) -> DataFrame:
+    """``rows`` with the hint to broadcast them, if they are few enough."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def described(documents: DataFrame) -> DataFrame:
     """``doc_id``, ``text_key``, ``node`` and ``sig`` of every row; a null text counts as empty."""
 
@@ -286,7 +293,7 @@ def linked_documents(documents: DataFrame) -> DataFrame:
     # whole texts of the members alone, one per node
     heads = members.select("root", "n", "node", "copies", F.col("head.doc_id").alias("_id"), F.col("head.text_key").alias("_key"))
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
-    found = texts.join(heads, (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    found = texts.join(counted_side(heads), (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")))
     found = found.select("root", "n", "node", "copies", "text").dropDuplicates(["root", "node"])
     exact = in_groups(cells(found, "root", "n", BLOCK, "node"), ["root", "i", "j"], exact_in, "node bigint, other bigint, texts bigint, rows bigint")
     exact = staged(exact)
@@ -304,10 +311,17 @@ def linked_documents(documents: DataFrame) -> DataFrame:
 
 
 def without_near_duplicates(documents: DataFrame) -> DataFrame:
-    """``documents`` with one row of each class: its ``first``, and one of several equal ones."""
-    links = linked_documents(documents)
-    firsts = links.where("first").groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.count("*").alias("_n"))
-    firsts = staged(firsts)
-    kept = documents.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit("")))).join(firsts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_key")))
-    repeated = kept.where("_n > 1").dropDuplicates(["_id", "_key"])
-    return kept.where("_n = 1").unionByName(repeated).select(*documents.columns)
+    """``documents`` with one row of each class: its ``first``, and one of several equal ones. The columns stay as they are."""
+    keys = staged(linked_documents(documents).groupBy("doc_id", "text_key").agg(F.max("first").alias("first"), F.count("*").alias("n")))
+    here, text_hash = free_name(documents, "doc"), free_name(documents, "hash")
+    rows = documents.withColumn(here, F.col("doc_id").cast("bigint")).withColumn(text_hash, F.xxhash64(F.coalesce("text", F.lit(""))))
+
+    def same(side: DataFrame) -> Column:
+        return rows[here].eqNullSafe(side["_id"]) & (rows[text_hash] == side["_key"])
+
+    named = keys.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "first", "n")
+    gone = counted_side(named.where(~F.col("first") | (F.col("n") > 1)).select("_id", "_key"))
+    again = counted_side(named.where(F.col("first") & (F.col("n") > 1)).select("_id", "_key"))
+    kept = rows.join(gone, same(gone), "left_anti")
+    one_of = rows.join(again, same(again), "left_semi").dropDuplicates([here, text_hash])
+    return kept.unionByName(one_of).select(*documents.columns)
