@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from tidepanel.operators import rollup
-from tidepanel.plans.streams import event_stream
 from tidepanel.session import scratch_path
 from tidepanel.sources import io
 from tidepanel.sources.panels import events_panel, table
@@ -39,20 +38,26 @@ def test_queries_match_sql(spark, sf, name):
     assert got == want and want
 
 
-def test_stream_equals_batch_for_closed_bins(spark, sf):
-    binned = jobs.downsample(event_stream(spark, sf), ["station"], "ts", "4 hours", ["value"], "10 minutes")
-    streamed = {(r["station"], r["ts"]): round(r["value"], 9) for r in jobs.run_to_table(binned, "t").collect()}
+def test_stream_resumes_and_equals_batch(spark, sf):
+    """Unordered files, one per trigger, the second half of them after the first call has ended."""
+    path, root = scratch_path(spark, "in"), scratch_path(spark, "bins")
+    events = table(spark, sf, "events")
+    for k, order in enumerate((F.desc("ts"), F.xxhash64("event_id"))):
+        events.where(F.pmod(F.xxhash64("event_id"), F.lit(2)) == k).repartitionByRange(3, order).write.mode("append").parquet(path)
+        stream = jobs.read_files(spark, path, events.schema, per_trigger=1).select(F.col("user_id").alias("station"), "ts", "value")
+        got = jobs.downsample(stream, root, ["station"], "ts", "4 hours", ["value"])
+    streamed = {(r["station"], r["ts"]): round(r["value"], 9) for r in got.collect()}
     batch = {(r["station"], r["ts"]): round(r["value"], 9) for r in rollup.downsample(events_panel(spark, sf), ["station"], "ts", "4 hours", ["value"]).collect()}
-    assert streamed.items() <= batch.items()
-    open_bins = {ts for (_, ts) in batch.keys() - streamed.keys()}
-    assert len(open_bins) <= 1 and streamed
+    assert streamed == batch and batch
+    again = jobs.downsample(jobs.read_files(spark, path, events.schema).select(F.col("user_id").alias("station"), "ts", "value"), root, ["station"], "ts", "4 hours", ["value"])
+    assert again.count() == len(batch)
 
 
 def test_stream_keys_over_several_files(spark, sf):
     path = scratch_path(spark, "in")
     table(spark, sf, "events").repartition(6).write.parquet(path)
     stream = jobs.read_files(spark, path, table(spark, sf, "events").schema, per_trigger=1).select("user_id")
-    out = jobs.run_to_table(jobs.distinct_keys(stream, ["user_id"]), "k")
+    out = jobs.run_to_table(jobs.distinct_keys(stream, ["user_id"]), scratch_path(spark, "k"))
     assert out.count() == table(spark, sf, "events").select("user_id").distinct().count()
 
 

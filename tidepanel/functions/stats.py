@@ -63,5 +63,12 @@ def one_row(df: DataFrame) -> Column:
     return df.select(F.struct(*df.columns)).scalar()
 
 
+def literal_row(df: DataFrame) -> dict[str, Column]:
+    """A one-row table as literals: it is computed once, and plans that use it don't contain it."""
+    row = df.first()
+    types = {f.name: f.dataType for f in df.schema.fields}
+    return {c: F.lit(None if row is None else row[c]).cast(types[c]) for c in df.columns}
+
+
 def nan_to_null(c: str) -> Column:
     return F.when(~F.isnan(c), F.col(c)).alias(c)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
@@ -25,6 +27,7 @@ GBT_DAILY, GBT_YEARLY, GBT_NUTRIENT = (250, 6, 1), (300, 4, 20), (300, 8, 1)
 # Trees, depth and leaf size of the bloom classifier.
 FOREST = (400, 12, 10)
 FOLDS = 5
+# Targets that are shares of days, and targets whose low tail weighs more.
 SHARE_TARGETS = ("oxygen_warm_hypoxic_day_share", "oxygen_warm_below_optimal_day_share")
 LOW_TAIL_TARGETS = ("delta_oxygen", "oxygen_warm_min", "oxygen_warm_p10")
 
@@ -54,11 +57,14 @@ def assemble(df: DataFrame, fills: Mapping[str, float], out: str = "features") -
 
 
 def place_encoder(columns: Sequence[str] = KEYS) -> Pipeline:
-    """One-hot place columns in alphabetical order with one level dropped."""
+    """One-hot place columns with the first level in alphabetical order dropped; its rows are all zeros.
+
+    Levels are indexed backwards, so the first one is the last index, which ``dropLast`` leaves out.
+    """
     indexed = [f"{c}_idx" for c in columns]
     return Pipeline(
         stages=[
-            StringIndexer(inputCols=list(columns), outputCols=indexed, stringOrderType="alphabetDesc", handleInvalid="keep"),
+            StringIndexer(inputCols=list(columns), outputCols=indexed, stringOrderType="alphabetDesc", handleInvalid="error"),
             OneHotEncoder(inputCols=indexed, outputCols=[f"{c}_hot" for c in columns], dropLast=True),
         ]
     )
@@ -114,6 +120,12 @@ def fit_bloom_classifier(df: DataFrame, label: str, trees: int = FOREST[0], dept
     return forest.fit(weighted)
 
 
+def side_by_side(fit: Callable[..., DataFrame], items: Sequence, at_once: int = 4) -> list[DataFrame]:
+    """``fit`` of every item, some at a time: the many short jobs of boosting leave a cluster idle one by one."""
+    with ThreadPoolExecutor(at_once) as pool:
+        return list(pool.map(inheritable_thread_target(fit), items))
+
+
 # --- folds and calibration --------------------------------------------------------------------
 
 

@@ -34,7 +34,7 @@ def scaling(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 def standardise(df: DataFrame, features: Sequence[str], scale: DataFrame | None = None, suffix: str = "_z") -> DataFrame:
     """z-scores with the population spread; a spread of zero gives null."""
-    row = stats.one_row(scaling(df, features) if scale is None else scale)
+    row = stats.literal_row(scaling(df, features) if scale is None else scale)
     return df.withColumns(
         {f"{c}{suffix}": (F.col(c) - row[f"{c}_mu"]) / F.nullif(row[f"{c}_sd"], F.lit(0.0)) for c in features}
     )
@@ -67,7 +67,7 @@ def nearest_centroid(
     table = centers.filter(F.col(cluster).isNotNull()).agg(
         F.sort_array(F.collect_list(F.struct(F.col(cluster), *[F.col(c) for c in features])))
     ).scalar()
-    row = stats.one_row(scale)
+    row = stats.literal_row(scale)
     rows = df.withColumns(
         {f"_z_{c}": (F.col(c) - row[f"{c}_mu"]) / F.nullif(row[f"{c}_sd"], F.lit(0.0)) for c in features}
     ).withColumn("_centers", table)

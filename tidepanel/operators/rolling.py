@@ -51,6 +51,12 @@ def rolling_mean(
     return df.withColumns({out: F.when(F.count(c).over(w) >= min_count, F.avg(c).over(w)) for c, out in columns.items()})
 
 
+def rolling_years(df: DataFrame, columns: dict[str, str], years: int = YEARS_5Y, min_count: int = MIN_YEARS_5Y, keys: Sequence[str] = KEYS, order: str = "year") -> DataFrame:
+    """Trailing mean over ``years`` calendar years: a gap in the years leaves fewer values, never older ones."""
+    w = _ordered(keys, order).rangeBetween(-(years - 1), 0)
+    return df.withColumns({out: F.when(F.count(c).over(w) >= min_count, F.avg(c).over(w)) for c, out in columns.items()})
+
+
 def rolling_coverage(df: DataFrame, has_data: Column, rows: int = MONTHS_5Y, keys: Sequence[str] = KEYS, order: str = "date") -> DataFrame:
     w = _ordered(keys, order).rowsBetween(-(rows - 1), 0)
     n = F.sum(has_data.cast("int")).over(w)

@@ -65,12 +65,12 @@ def path_defaults(paths: DataFrame) -> DataFrame:
 def future_days(stations: DataFrame, paths: DataFrame, first: int, last: int) -> DataFrame:
     """Every station on every day of the scenario years, once per scenario.
 
-    Days are exploded per station and the paths (scenarios x years, a fixed small table) are
-    joined by year, so nothing is crossed.
+    Days are exploded per station and the paths (scenarios x years) are joined by year, so nothing is crossed;
+    whether they are broadcast is left to Spark, which knows their size.
     """
     day = F.explode(F.sequence(F.lit(f"{first}-01-01").cast("date"), F.lit(f"{last}-12-31").cast("date")))
     days = stations.withColumn("date", day).withColumns({"year": F.year("date"), "doy": dates.clipped_doy(F.col("date"))})
-    return days.join(F.broadcast(path_defaults(paths)), "year")
+    return days.join(path_defaults(paths), "year")
 
 
 def perturb(days: DataFrame, climatology: DataFrame, means: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -17,7 +17,6 @@ from tidepanel.plans.windows import event_days
 from tidepanel.session import scratch_path, staged
 from tidepanel.sources.panels import EV_SQL, LI_SQL, events_panel, table, water_panel
 
-ROUNDS, DEPTH = 8, 4
 FEATURES = ["air_temp_mean", "air_temp_std", "air_temp_warm_mean", "precip_mean", "precip_warm_mean", "salinity_annual_mean"]
 
 
@@ -46,6 +45,40 @@ TARGETS = [
 ]
 
 
+REGISTRY = [
+    models.Target(name, column, tuple(FEATURES), "has_warm_oxygen_year" if "oxygen" in name else "has_model_year", models.TARGET_WINDOWS[name])
+    for name, column in {
+        "delta_salinity": "delta_salinity_annual_mean", "delta_oxygen": "delta_oxygen_warm_mean", "oxygen_warm_min": "oxygen_warm_min", "oxygen_warm_p10": "oxygen_warm_p10",
+        "oxygen_warm_hypoxic_day_share": "oxygen_warm_hypoxic_day_share", "oxygen_warm_below_optimal_day_share": "oxygen_warm_below_optimal_day_share",
+        "delta_ph": "delta_ph_annual_mean",
+    }.items()
+]
+
+
+def response_years(spark: SparkSession, d: str) -> DataFrame:
+    """Station-years with features and all seven responses, as deltas from the baseline where they are such."""
+    days = water_with_deltas(spark, d)
+    feats = rollup.station_year_features(days, ["air_temp", "precip"], ["salinity", "delta_salinity", "delta_ph"], ["delta_oxygen"])
+    quality = coverage.station_year_quality(days, ["water_temp", "salinity", "oxygen"], **SYQ_LIMITS)
+    flags = quality.select(*KEYS, "year", "has_model_year", "has_warm_oxygen_year")
+    out = feats.join(rollup.oxygen_stress(days), [*KEYS, "year"], "left").join(flags, [*KEYS, "year"], "left")
+    return out.withColumn("cohort", F.when(F.col("station") % 5 == 0, "holdout").otherwise("train"))
+
+
+@query(
+    "target_usable_rows",
+    f"WITH {SY_SQL}, c AS (" + " UNION ALL ".join(
+        f"SELECT '{t.name}' AS target, '{t.window}' AS target_window, '{t.flag}' AS coverage_flag, count(*) FILTER (WHERE {t.flag}) AS n_flagged FROM sy" for t in REGISTRY
+    ) + ") SELECT * FROM c",
+)
+def target_usable_rows(spark, d):
+    """The registry of all seven targets, with the station-years that each one's flag admits."""
+    years = station_years(spark, d)
+    flagged = years.agg(*[F.count_if(F.coalesce(F.col(f), F.lit(False))).alias(f) for f in ("has_model_year", "has_warm_oxygen_year")])
+    counts = flagged.select(F.explode(F.create_map(*[x for f in flagged.columns for x in (F.lit(f), F.col(f))])).alias("coverage_flag", "n_flagged"))
+    return models.target_registry(spark, REGISTRY).select("target", "target_window", "coverage_flag").join(counts, "coverage_flag").select("target", "target_window", "coverage_flag", "n_flagged")
+
+
 @query(
     "target_counts",
     f"WITH {SY_SQL}, c AS (" + " UNION ALL ".join(
@@ -224,7 +257,7 @@ def fit_daily_models(spark, d):
     fits = {
         "ridge_air_only": (models.ridge, AIR_FEATURES[:6], False),
         "ridge_air_context_calibrated": (models.ridge, AIR_FEATURES, True),
-        "gbt_air_context": (models.gbt(ROUNDS, DEPTH), AIR_FEATURES, False),
+        "gbt_air_context": (models.gbt(*models.GBT_DAILY), AIR_FEATURES, False),
     }
     medians = models.fill_values(train, AIR_FEATURES)
     for name, (fit, features, calibrate) in fits.items():
@@ -238,12 +271,10 @@ def fit_daily_models(spark, d):
 @query("fit_response_models")
 def fit_response_models(spark, d):
     """Every usable target with plain and weighted, calibrated ridge and trees; best learned model marked."""
-    years = staged(station_years(spark, d))
-    out = None
-    usable = {r["target"] for r in models.target_counts(years, TARGETS).filter("usable").collect()}
-    for t in TARGETS:
-        if t.name not in usable:
-            continue
+    years = staged(response_years(spark, d))
+    usable = {r["target"] for r in models.target_counts(years, REGISTRY).filter("usable").collect()}
+
+    def fitted(t: models.Target) -> DataFrame:
         rows = models.target_rows(years, t)
         train = staged(models.tail_weights(rows.filter("cohort = 'train'"), t.column, t.name))
         fills = models.fill_values(train, t.features)
@@ -254,20 +285,20 @@ def fit_response_models(spark, d):
         for name, fit, weight, calibrate in [
             ("ridge_climate", models.ridge, None, False),
             ("ridge_weighted_calibrated", models.ridge, "weight", True),
-            ("gbt_climate", models.gbt(ROUNDS, DEPTH, 20), None, False),
+            ("gbt_climate", models.gbt(*models.GBT_YEARLY), None, False),
         ]:
             response = models.fit_response(train, t.features, t.column, fit, t.name, name, weight, calibrate, fills=fills)
             hold = response.predict(hold, name)
             preds.append(name)
-        s = evaluate.regression_scores(hold, t.column, preds).withColumns({"target": F.lit(t.name), "target_window": F.lit(t.window)})
-        out = s if out is None else out.unionByName(s)
-    return tidy(evaluate.leaderboard(out))
+        return evaluate.regression_scores(hold, t.column, preds).withColumns({"target": F.lit(t.name), "target_window": F.lit(t.window)})
+
+    return tidy(evaluate.leaderboard(sets.stack(*models.side_by_side(fitted, [t for t in REGISTRY if t.name in usable]))))
 
 
 @query("oof_predictions")
 def oof_predictions(spark, d):
     years = staged(station_years(spark, d).filter("water_temp_annual_mean is not null"))
-    rows = models.assemble(years, {f: 0.0 for f in FEATURES[:4]})
+    rows = models.assemble(years, models.fill_values(years, FEATURES[:4]))
     oof = models.oof_predictions(models.ridge, rows, "water_temp_annual_mean")
     return tidy(oof.select("region", "station", "year", "fold", "water_temp_annual_mean", "oof"))
 
@@ -304,6 +335,9 @@ def staged_response(spark, d):
     return tidy(sets.stack(*parts))
 
 
+PLACE_TARGETS = ["water_temp", "salinity", "oxygen", "ph", "depth"]
+
+
 @query("place_comparison")
 def place_comparison(spark, d):
     """R2 per nutrient-like variable with and without place columns."""
@@ -311,19 +345,19 @@ def place_comparison(spark, d):
     days = clean.calendar_features(days)
     encoded = models.place_encoder(["region", "station_code"]).fit(days).transform(days)
     numeric = ["air_temp", "precip", "wind_speed", "doy_sin", "doy_cos"]
-    place_free = models.assemble(encoded, {c: 0.0 for c in numeric}, "free")
+    place_free = models.assemble(encoded, models.fill_values(encoded, numeric), "free")
     both = models.VectorAssembler(inputCols=["free", "region_hot", "station_code_hot"], outputCol="placed").transform(place_free)
     both = staged(sets.split_fraction(both, ["region", "station", "date"]))
-    out = None
-    for target in ["water_temp", "depth"]:
+
+    def compared(target: str) -> DataFrame:
         rows = both.filter(F.col(target).isNotNull())
         train, test = rows.filter("split = 'train'"), rows.filter("split = 'test'")
         for name, col in [("with_place", "placed"), ("without_place", "free")]:
-            test = models.fit_gbt(train, target, None, 4, 4, 1, col).transform(test).withColumnRenamed("prediction", name)
+            test = models.fit_gbt(train, target, None, *models.GBT_NUTRIENT, col).transform(test).withColumnRenamed("prediction", name)
         s = evaluate.regression_scores(test, target, ["with_place", "without_place"]).groupBy().pivot("model", ["with_place", "without_place"]).agg(F.max("r2"))
-        s = s.select(F.lit(target).alias("target"), "with_place", "without_place", (F.col("with_place") - F.col("without_place")).alias("r2_gain"))
-        out = s if out is None else out.unionByName(s)
-    return tidy(out)
+        return s.select(F.lit(target).alias("target"), "with_place", "without_place", (F.col("with_place") - F.col("without_place")).alias("r2_gain"))
+
+    return tidy(sets.stack(*models.side_by_side(compared, PLACE_TARGETS)))
 
 
 @query("bloom_classifier")
@@ -338,7 +372,7 @@ def bloom_classifier(spark, d):
     features = ["click", "error", "purchase", "signup", "n_events"]
     train, test = split.filter("split = 'train'"), split.filter("split = 'test'")
     fills = models.fill_values(train, features)
-    model = models.fit_bloom_classifier(models.assemble(train, fills), "is_bloom", 10, 5, 5)
+    model = models.fit_bloom_classifier(models.assemble(train, fills), "is_bloom")
     scored = model.transform(models.assemble(test, fills)).withColumn("p1", vector_to_array("probability")[1])
     return tidy(evaluate.classifier_metrics(scored, "is_bloom", "prediction").unionByName(evaluate.roc_auc(scored, "is_bloom", "p1")))
 
@@ -377,12 +411,12 @@ def model_registry(spark, d):
 
 @query("k_scan")
 def k_scan(spark, d):
-    return tidy(clusters.k_scan(clusters.z_vectors(labelled_stations(spark, d), PROFILE), range(2, 7)))
+    return tidy(clusters.k_scan(clusters.z_vectors(labelled_stations(spark, d), PROFILE)))
 
 
 @query("kmeans_regimes")
 def kmeans_regimes(spark, d):
-    out = clusters.kmeans_regimes(labelled_stations(spark, d).drop("cluster"), PROFILE, 4)
+    out = clusters.kmeans_regimes(labelled_stations(spark, d).drop("cluster"), PROFILE)
     return tidy(out.select("region", "station", "cluster"))
 
 
@@ -417,12 +451,12 @@ def environment_clusters(spark, d):
 def station_months(spark: SparkSession, d: str) -> DataFrame:
     """Monthly station history of air and water for every station."""
     days = daily_water(spark, d)
-    air, water = days.select(*KEYS, "date", "air_temp", "precip"), days.select(*KEYS, "date", "water_temp", "oxygen")
-    return rollup.monthly_history(air, water, ["air_temp", "precip"], ["water_temp", "oxygen"], 1990)
+    air, water = days.select(*KEYS, "date", "air_temp", "precip"), days.select(*KEYS, "date", "water_temp", "salinity", "oxygen")
+    return rollup.monthly_history(air, water, ["air_temp", "precip"], ["water_temp", "salinity", "oxygen"], 1990)
 
 
 def components(spark: SparkSession, d: str) -> DataFrame:
-    series = decompose.monthly_series(station_months(spark, d), ["air_temp", "water_temp"], min_months=72)
+    series = decompose.monthly_series(station_months(spark, d), list(decompose.VARIABLE_NAMES), min_months=72)
     return staged(decompose.decompose(series))
 
 
@@ -433,13 +467,13 @@ def seasonal_decomposition(spark, d):
 
 @query("decomposition_extension")
 def decomposition_extension(spark, d):
-    out = decompose.extend(components(spark, d), end_year=2010)
+    out = decompose.extend(components(spark, d))
     return tidy(out.filter("is_future").select(*KEYS, "variable", "month_date", "trend", "seasonal", "fitted"))
 
 
 @query("extension_summary")
 def extension_summary(spark, d):
-    return tidy(decompose.extension_summary(decompose.extend(components(spark, d), end_year=2095)))
+    return tidy(decompose.extension_summary(decompose.extend(components(spark, d))))
 
 
 @query(
@@ -460,13 +494,13 @@ def trend_extension(spark, d):
 
 @query("predictive_lags")
 def predictive_lags(spark, d):
-    out = causality.granger(daily_water(spark, d), "air_temp", "water_temp", 5)
+    out = causality.granger(daily_water(spark, d), "air_temp", "water_temp")
     return tidy(out)
 
 
 @query("predictive_lags_events")
 def predictive_lags_events(spark, d):
-    return tidy(causality.granger(event_days(spark, d), "driver", "response", 2, ["station"]))
+    return tidy(causality.granger(event_days(spark, d), "driver", "response", keys=["station"]))
 
 
 @query(

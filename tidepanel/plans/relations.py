@@ -124,11 +124,11 @@ def sort_mixed(spark, d):
 
 @query(
     "nulls_last",
-    f"WITH {LI_SQL} SELECT region, station, round(t, 6) AS t FROM (SELECT region, station, avg(CASE WHEN station % 4 <> 0 THEN water_temp END) AS t FROM li GROUP BY 1, 2) ORDER BY round(t, 6) DESC NULLS LAST, station LIMIT 80",
+    f"WITH {LI_SQL} SELECT region, station, round(t, 6) AS t FROM (SELECT region, station, avg(CASE WHEN station % 4 <> 0 THEN water_temp END) AS t FROM li GROUP BY 1, 2) ORDER BY round(t, 6) DESC NULLS LAST, station",
 )
 def nulls_last(spark, d):
     s = water_panel(spark, d).groupBy("region", "station").agg(F.avg(F.when(F.col("station") % 4 != 0, F.col("water_temp"))).alias("t"))
-    return tidy(s).orderBy(F.desc_nulls_last("t"), "station").limit(80)
+    return tidy(s).orderBy(F.desc_nulls_last("t"), "station")
 
 
 @query(

@@ -37,13 +37,13 @@ def scenario_ramp(spark, d):
 def projected_days(spark: SparkSession, d: str) -> DataFrame:
     days = daily_water(spark, d)
     stations = days.select("region", "station").distinct()
-    future = scenario.future_days(stations, scenario.scenario_ramp(spark), 2099, 2100)
+    future = scenario.future_days(stations, scenario.scenario_ramp(spark), *scenario.RAMP_YEARS)
     return scenario.perturb(future, rollup.driver_climatology(days, DRIVERS), rollup.station_means(days, DRIVERS))
 
 
 FUT_CTE = (
     RAMP_CTE
-    + ", cal AS (SELECT CAST(u AS DATE) AS date, year(u) AS year, least(dayofyear(u), 365) AS doy FROM unnest(generate_series(DATE '2099-01-01', DATE '2100-12-31', INTERVAL 1 DAY)) AS t(u)), "
+    + ", cal AS (SELECT CAST(u AS DATE) AS date, year(u) AS year, least(dayofyear(u), 365) AS doy FROM unnest(generate_series(DATE '2026-01-01', DATE '2100-12-31', INTERVAL 1 DAY)) AS t(u)), "
     "cli AS (SELECT region, station, least(dayofyear(date), 365) AS doy, " + ", ".join(f"avg({c}) AS {c}" for c in DRIVERS) + " FROM dw GROUP BY 1, 2, 3), "
     "mea AS (SELECT region, station, " + ", ".join(f"avg({c}) AS {c}_m" for c in DRIVERS) + " FROM dw GROUP BY 1, 2), "
     "fut AS (SELECT mea.region, mea.station, scenario, cal.date, cal.year, coalesce(cli.air_temp, air_temp_m) + air_temp_add_c AS air_temp, coalesce(cli.precip, precip_m) * precip_mult AS precip, "
@@ -54,29 +54,33 @@ FUT_CTE = (
 
 @query(
     "future_calendar",
-    f"""WITH {DW_SQL}, {RAMP_CTE}, k AS (SELECT DISTINCT region, station FROM dw), cal AS (SELECT CAST(u AS DATE) AS date FROM unnest(generate_series(DATE '2099-01-01', DATE '2100-12-31', INTERVAL 1 DAY)) AS t(u))
+    f"""WITH {DW_SQL}, {RAMP_CTE}, k AS (SELECT DISTINCT region, station FROM dw), cal AS (SELECT CAST(u AS DATE) AS date FROM unnest(generate_series(DATE '2026-01-01', DATE '2100-12-31', INTERVAL 1 DAY)) AS t(u))
         SELECT region, station, scenario, year, count(*) AS n_days, max(least(dayofyear(date), 365)) AS last_doy FROM k, cal JOIN ramp ON ramp.year = year(date) GROUP BY 1, 2, 3, 4""",
 )
 def future_calendar(spark, d):
     stations = daily_water(spark, d).select("region", "station").distinct()
-    days = scenario.future_days(stations, scenario.scenario_ramp(spark), 2099, 2100)
+    days = scenario.future_days(stations, scenario.scenario_ramp(spark), *scenario.RAMP_YEARS)
     return tidy(days.groupBy("region", "station", "scenario", "year").agg(F.count(F.lit(1)).alias("n_days"), F.max("doy").alias("last_doy")))
 
 
-@query("perturb_drivers", f"WITH {DW_SQL}, {FUT_CTE} SELECT region, station, scenario, date, " + ", ".join(f"round({c}, 6) AS {c}" for c in DRIVERS) + " FROM fut")
+@query("perturb_drivers", f"WITH {DW_SQL}, {FUT_CTE} SELECT region, station, scenario, year, count(*) AS n_days, " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in DRIVERS) + " FROM fut GROUP BY 1, 2, 3, 4")
 def perturb_drivers(spark, d):
-    return tidy(projected_days(spark, d).select("region", "station", "scenario", "date", *DRIVERS))
+    """Daily drivers of the whole horizon, summed up per year."""
+    days = projected_days(spark, d).groupBy("region", "station", "scenario", "year")
+    return tidy(days.agg(F.count(F.lit(1)).alias("n_days"), *[F.avg(c).alias(c) for c in DRIVERS]))
 
 
 @query(
     "future_driver_rolls",
-    f"""WITH {DW_SQL}, {FUT_CTE} SELECT region, station, scenario, date, round(avg(air_temp) OVER (w ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING), 6) AS air_temp_r7d,
-        round(avg(solar) OVER (w ROWS BETWEEN 28 PRECEDING AND 1 PRECEDING), 6) AS solar_r28d, round(sin(2 * pi() * dayofyear(date) / 365.25), 6) AS doy_sin
-        FROM fut WINDOW w AS (PARTITION BY region, station, scenario ORDER BY date)""",
+    f"""WITH {DW_SQL}, {FUT_CTE}, r AS (SELECT region, station, scenario, year, avg(air_temp) OVER (w ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS air_temp_r7d,
+        avg(solar) OVER (w ROWS BETWEEN 28 PRECEDING AND 1 PRECEDING) AS solar_r28d, sin(2 * pi() * dayofyear(date) / 365.25) AS doy_sin
+        FROM fut WINDOW w AS (PARTITION BY region, station, scenario ORDER BY date))
+        SELECT region, station, scenario, year, round(avg(air_temp_r7d), 6) AS air_temp_r7d, round(avg(solar_r28d), 6) AS solar_r28d, round(max(doy_sin), 6) AS doy_sin FROM r GROUP BY 1, 2, 3, 4""",
 )
 def future_driver_rolls(spark, d):
-    rolled = scenario.driver_rolls(projected_days(spark, d))
-    return tidy(rolled.select("region", "station", "scenario", "date", "air_temp_r7d", "solar_r28d", "doy_sin"))
+    """Trailing means over the whole horizon, summed up per year."""
+    rolled = scenario.driver_rolls(projected_days(spark, d)).groupBy("region", "station", "scenario", "year")
+    return tidy(rolled.agg(F.avg("air_temp_r7d").alias("air_temp_r7d"), F.avg("solar_r28d").alias("solar_r28d"), F.max("doy_sin").alias("doy_sin")))
 
 
 BENCH_CTE = "bm AS (SELECT * FROM (VALUES ('baseline_ref', 0.0::DOUBLE, 1.0::DOUBLE), ('plus1p0C_precip_same', 1.0, 1.0), ('plus1p5C_precip_same', 1.5, 1.0), ('plus2p0C_precip_same', 2.0, 1.0)) v(scenario, t, p))"

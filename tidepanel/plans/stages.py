@@ -18,6 +18,7 @@ from tidepanel.plans.registry import query, tidy
 from tidepanel.plans.regimes import FEATURES, labelled_stations
 from tidepanel.plans.rollups import DW_SQL, SYQ_LIMITS
 from tidepanel.session import staged
+from tidepanel.sources import io
 from tidepanel.sources.panels import LOOKUP_SQL, WATER_MEASURES, station_lookup, water_panel
 
 DRIVERS = scenario.DRIVERS
@@ -120,7 +121,7 @@ def station_scan(spark: SparkSession, scored: DataFrame, temp, chemistry, statio
     each = history.withColumn("scenario", F.explode(F.array(*[F.lit(n) for n in names])))
     path = each.select(*KEYS, "scenario", "year", "depth", *PATH_COLUMNS).unionByName(future.select(*KEYS, "scenario", "year", "depth", *PATH_COLUMNS))
     keys = [*KEYS, "scenario"]
-    rolled = rolling.rolling_mean(path, {c: n for c, n in CENTER_NAMES.items() if c != "depth"}, 5, 3, keys, "year")
+    rolled = rolling.rolling_years(path, {c: n for c, n in CENTER_NAMES.items() if c != "depth"}, keys=keys)
     rolled = rolled.withColumn(CENTER_NAMES["depth"], F.col("depth"))
     centers, scale = regime.centroids(stations, FEATURES)
     classified = regime.nearest_centroid(rolled, FEATURES, centers, scale, out="regime_roll5y")
@@ -130,7 +131,7 @@ def station_scan(spark: SparkSession, scored: DataFrame, temp, chemistry, statio
         "future": future,
         "path": classified,
         "crossings": risk.crossings(classified, first),
-        "hypoxia": risk.hypoxia_change(history, future, late_year=last),
+        "hypoxia": risk.hypoxia_change(history, future),
     }
 
 
@@ -168,9 +169,15 @@ def screened_days_query(spark, d):
     return tidy(days.groupBy("region", "station", "year", "cohort").agg(F.count(F.lit(1)).alias("n_days"), F.avg("water_temp").alias("water_temp")))
 
 
-def scan(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+def scenario_paths(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """The scenario table at ``path`` if there is one, else the ramps."""
+    ramp = scenario.scenario_ramp(spark)
+    return ramp if path is None else io.read_or(spark, path, ramp, scenario.PATH_DEFAULTS)
+
+
+def scan(spark: SparkSession, d: str, paths: str | None = None) -> dict[str, DataFrame]:
     temp, chemistry, scored = fit_models(screened_days(spark, d))
-    return station_scan(spark, scored, temp, chemistry, labelled_stations(spark, d), scenario.scenario_ramp(spark), 2097, 2100)
+    return station_scan(spark, scored, temp, chemistry, labelled_stations(spark, d), scenario_paths(spark, paths), *scenario.RAMP_YEARS)
 
 
 @query("station_scan")

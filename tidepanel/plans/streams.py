@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.plans.registry import query, tidy
 from tidepanel.plans.windows import ASOF_SQL, purchase_obs
+from tidepanel.session import scratch_path
 from tidepanel.sources.panels import EV_SQL, table
 from tidepanel.streaming import jobs
 
@@ -24,24 +25,23 @@ def event_stream(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "stream_downsample",
     f"""WITH {EV_SQL} SELECT region, station, time_bucket(INTERVAL '4 hours', ts) AS ts, round(avg(value), 6) AS value, arg_min(variable, ts) AS variable FROM ev
-        GROUP BY 1, 2, 3 HAVING time_bucket(INTERVAL '4 hours', ts) + INTERVAL 4 HOUR <= (SELECT max(ts) - INTERVAL 30 MINUTE FROM ev)""",
+        GROUP BY 1, 2, 3""",
 )
 def stream_downsample(spark, d):
-    binned = jobs.downsample(event_stream(spark, d), ["region", "station"], "ts", "4 hours", ["value"], "30 minutes", ["variable"])
-    return tidy(jobs.run_to_table(binned, "downsample"))
+    return tidy(jobs.downsample(event_stream(spark, d), scratch_path(spark, "downsample"), ["region", "station"], "ts", "4 hours", ["value"], ["variable"]))
 
 
 @query("stream_hour_filter", f"WITH {EV_SQL} SELECT event_id, station, ts FROM ev WHERE hour(ts) IN (8, 20)")
 def stream_hour_filter(spark, d):
-    return jobs.run_to_table(jobs.hour_filter(event_stream(spark, d), "ts").select("event_id", "station", "ts"), "hours")
+    return jobs.run_to_table(jobs.hour_filter(event_stream(spark, d), "ts").select("event_id", "station", "ts"), scratch_path(spark, "hours"))
 
 
 @query("stream_keys", f"WITH {EV_SQL} SELECT DISTINCT region, station FROM ev")
 def stream_keys(spark, d):
-    return jobs.run_to_table(jobs.distinct_keys(event_stream(spark, d), ["region", "station"]), "keys")
+    return jobs.run_to_table(jobs.distinct_keys(event_stream(spark, d), ["region", "station"]), scratch_path(spark, "keys"))
 
 
 @query("stream_asof", ASOF_SQL)
 def stream_asof(spark, d):
     readings = event_stream(spark, d).select("event_id", "station", "ts")
-    return tidy(jobs.asof_enrich(readings, purchase_obs(spark, d), ["station"], "ts", "obs_ts", "7 days"))
+    return tidy(jobs.asof_enrich(readings, scratch_path(spark, "asof"), purchase_obs(spark, d), ["station"], "ts", "obs_ts", "7 days"))

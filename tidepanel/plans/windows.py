@@ -126,6 +126,57 @@ def spine_days(spark, d):
     return tidy(event_days(spark, d))
 
 
+def event_hours(spark: SparkSession, d: str) -> DataFrame:
+    """Dense hourly series per station with the mean click value and the mean value."""
+    ev = events_panel(spark, d)
+    hours = ev.groupBy("station", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts")).agg(
+        F.avg(F.when(F.col("variable") == "click", F.col("value"))).alias("driver"), F.avg("value").alias("response")
+    )
+    return rolling.spine(hours, ["station"], "ts", "1 HOUR", ["driver", "response"])
+
+
+EH_SQL = (
+    EV_SQL
+    + """, eh0 AS (SELECT station, date_trunc('hour', ts) AS ts, avg(value) FILTER (WHERE variable = 'click') AS driver, avg(value) AS response FROM ev GROUP BY 1, 2),
+    hspan AS (SELECT station, min(ts) AS a, max(ts) AS b FROM eh0 GROUP BY 1),
+    hgrid AS (SELECT station, u AS ts FROM hspan, unnest(generate_series(a, b, INTERVAL 1 HOUR)) AS t(u)),
+    eh AS (SELECT hgrid.station, hgrid.ts, coalesce(driver, response) AS driver, response FROM hgrid LEFT JOIN eh0 USING (station, ts))"""
+)
+SCAN_HOURS = 168  # fixed value: lags of the scan run from 0 to this many hours
+_LAGS_SQL = (
+    f"WITH {EH_SQL}, df AS (SELECT station, ts, driver - lag(driver) OVER w AS dx, response - lag(response) OVER w AS dy FROM eh WINDOW w AS (PARTITION BY station ORDER BY ts)), "
+    "lg AS (SELECT station, ts, dy, " + ", ".join(f"lag(dx, {n}) OVER w AS x{n}" for n in range(SCAN_HOURS + 1)) + " FROM df WINDOW w AS (PARTITION BY station ORDER BY ts))"
+)
+
+
+def hourly_lags(spark: SparkSession, d: str) -> DataFrame:
+    hours = event_hours(spark, d).withColumn("driver", F.coalesce("driver", "response"))
+    return rolling.lag_scan(hours, "driver", "response", range(SCAN_HOURS + 1), ["station"], "ts")
+
+
+@query(
+    "lag_scan_hours",
+    _LAGS_SQL + " " + " UNION ALL ".join(f"SELECT CAST({n} AS BIGINT) AS lag, CASE WHEN NOT isnan(corr(x{n}, dy)) THEN round(corr(x{n}, dy), 6) END AS corr, count(*) FILTER (WHERE x{n} IS NOT NULL AND dy IS NOT NULL) AS n_pairs FROM lg" for n in range(SCAN_HOURS + 1)),
+)
+def lag_scan_hours(spark, d):
+    return tidy(hourly_lags(spark, d))
+
+
+_LAG_NAMES = [f"response_lag_{n}h" for n in rolling.LAG_HOURS]
+
+
+@query(
+    "lag_matrix_hours",
+    f"WITH {EH_SQL}, m AS (SELECT station, ts, response, " + ", ".join(f"lag(response, {n}) OVER w AS response_lag_{n}h" for n in rolling.LAG_HOURS)
+    + " FROM eh WINDOW w AS (PARTITION BY station ORDER BY ts)) SELECT station, ts, round(response, 6) AS response, " + ", ".join(f"round({n}, 6) AS {n}" for n in _LAG_NAMES)
+    + " FROM m WHERE response IS NOT NULL AND " + " + ".join(f"({n} IS NOT NULL)::INT" for n in _LAG_NAMES) + " > 0",
+)
+def lag_matrix_hours(spark, d):
+    """Lagged hourly columns of the rows that have the response and any lag of it."""
+    m = rolling.lag_matrix(event_hours(spark, d).drop("driver"), "response", keys=["station"])
+    return tidy(m.dropna(subset=["response"]).dropna(thresh=1, subset=_LAG_NAMES).select("station", "ts", "response", *_LAG_NAMES))
+
+
 @query(
     "lag_scan",
     f"WITH {ED_SQL}, df AS (SELECT station, date, driver - lag(driver) OVER w AS dx, response - lag(response) OVER w AS dy FROM ed WINDOW w AS (PARTITION BY station ORDER BY date)), "

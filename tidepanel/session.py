@@ -5,9 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+PACKAGE = Path(__file__).parent
+
 
 def build_session(app: str = "tidepanel", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators rely on; ``conf`` overrides them."""
@@ -17,6 +21,7 @@ def build_session(app: str = "tidepanel", master: str | None = None, **conf: str
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     settings.update({k.replace("__", "."): v for k, v in conf.items()})
     builder = SparkSession.builder.appName(app)
@@ -24,19 +29,38 @@ def build_session(app: str = "tidepanel", master: str | None = None, **conf: str
         builder = builder.master(master)
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, whatever folder they run in. The driver serves the archive to executors."""
+    path = os.path.join(tempfile.mkdtemp(prefix="package-"), f"{PACKAGE.name}.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
+        for source in sorted(PACKAGE.rglob("*.py")):
+            archive.write(source, source.relative_to(PACKAGE.parent))
+    spark.sparkContext.addPyFile(path)
+
+
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process on one machine."""
+    return master == "local" or master.startswith("local[")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a session that names none (a local test) gets a new temporary folder.
+    Only a local session that names none (a test) gets a new temporary folder; on a cluster that is an error, since
+    every executor would write to a disk of its own.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if configured is None and current.isDefined():
         configured = current.get()
     if configured is None:
+        if not is_local(spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     if not current.isDefined():
         spark.sparkContext.setCheckpointDir(configured)

@@ -1,8 +1,8 @@
 """Incremental forms of the downsample, filter, key and as-of steps.
 
-Each job reads new files as they arrive, keeps its state in the checkpoint folder, writes
-parquet, and stops when nothing new is left (``availableNow``), so it can be run by a
-scheduler or left running with another trigger.
+Each job reads new files as they arrive, keeps its state below the folder ``root`` that the caller names, writes
+parquet there, and stops when nothing new is left (``availableNow``). A later call with the same folder goes on where
+the last one ended, so a scheduler can run it; another trigger can leave it running.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidepanel.functions import dates
 from tidepanel.operators.joins import asof_join
-from tidepanel.session import scratch_path
 
 
 def read_files(spark: SparkSession, path: str, schema: T.StructType, glob: str = "*.parquet", fmt: str = "parquet", per_trigger: int | None = None) -> DataFrame:
@@ -26,16 +25,14 @@ def read_files(spark: SparkSession, path: str, schema: T.StructType, glob: str =
     return reader.load(path)
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Drain the stream into a parquet table and return that table."""
-    spark = stream.sparkSession
-    root = scratch_path(spark, name)
+def run_to_table(stream: DataFrame, root: str, mode: str = "append") -> DataFrame:
+    """Drain the stream into a parquet table below ``root`` and return that table."""
     query = (
         stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{root}/state")
         .option("path", f"{root}/table").trigger(availableNow=True).start()
     )
     _finish(query)
-    return spark.read.schema(stream.schema).parquet(f"{root}/table")
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{root}/table")
 
 
 def _finish(query: StreamingQuery) -> None:
@@ -45,24 +42,54 @@ def _finish(query: StreamingQuery) -> None:
         query.stop()
 
 
-def downsample(stream: DataFrame, keys: Sequence[str], ts: str, freq: str, values: Sequence[str], delay: str, carry: Sequence[str] = ()) -> DataFrame:
-    """n-hour means and first present carried values; a bin is written once the watermark passes its end.
+def _run_batches(stream: DataFrame, root: str, work) -> DataFrame:
+    """Drain the stream through ``work`` into one folder per batch below ``root`` and return all of them as a table.
 
-    Readings later than ``delay`` are dropped (and counted by the state operator's
-    ``numRowsDroppedByWatermark``) where the batch form would have refused unordered input.
+    A batch is written below its own number, so a batch that is run again replaces itself.
     """
+    spark = stream.sparkSession
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        work(batch).write.mode("overwrite").parquet(f"{root}/table/batch={batch_id}")
+
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    _finish(query)
+    return spark.read.parquet(f"{root}/table").drop("batch")
+
+
+def partial_bins(rows: DataFrame, keys: Sequence[str], ts: str, freq: str, values: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
+    """Sums and counts of the values, and the first present carried value with its time, per key and bin."""
     return (
-        stream.withColumn(ts, dates.as_utc(F.col(ts)))  # event time has to be an instant
-        .withWatermark(ts, delay)
+        rows.withColumn(ts, dates.as_utc(F.col(ts)))
         .groupBy(*keys, F.window(ts, freq).alias("bin"))
         .agg(
-            *[F.avg(c).alias(c) for c in values],
-            *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col(ts))).alias(c) for c in carry],
+            *[F.sum(c).alias(f"{c}_sum") for c in values], *[F.count(c).alias(f"{c}_n") for c in values],
+            *[F.min(F.when(F.col(c).isNotNull(), F.struct(F.col(ts).alias("at"), F.col(c).alias("value")))).alias(f"{c}_first") for c in carry],
         )
-        .select(*keys, dates.from_utc(F.col("bin.start")).alias(ts), *values, *carry)
+        .select(*keys, F.col("bin.start").alias(ts), *[f"{c}_{x}" for c in values for x in ("sum", "n")], *[f"{c}_first" for c in carry])
     )
 
 
+def merged_bins(partials: DataFrame, keys: Sequence[str], ts: str, values: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
+    """Means and first carried values of all bins from the partial rows of all batches."""
+    return (
+        partials.groupBy(*keys, ts)
+        .agg(*[(F.sum(f"{c}_sum") / F.sum(f"{c}_n")).alias(c) for c in values], *[F.min(f"{c}_first").alias(c) for c in carry])
+        .select(*keys, dates.from_utc(F.col(ts)).alias(ts), *values, *[F.col(f"{c}.value").alias(c) for c in carry])
+    )
+
+
+def downsample(stream: DataFrame, root: str, keys: Sequence[str], ts: str, freq: str, values: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
+    """n-hour means and first present carried values of all readings so far, whatever order they arrive in.
+
+    Every batch leaves partial rows, which merge into the bins that the batch form gives: a late reading changes its
+    bin, the last bin is there although it is still open, and nothing is dropped. Of readings that share the first
+    time the smallest carried value counts.
+    """
+    partials = _run_batches(stream, root, lambda batch: partial_bins(batch, keys, ts, freq, values, carry))
+    return merged_bins(partials, keys, ts, values, carry)
+
+
 def hour_filter(stream: DataFrame, ts: str, hours: Sequence[int] = (8, 20)) -> DataFrame:
     return stream.filter(F.hour(ts).isin(*hours))
 
@@ -72,20 +99,6 @@ def distinct_keys(stream: DataFrame, keys: Sequence[str]) -> DataFrame:
     return stream.select(*keys).dropDuplicates(list(keys))
 
 
-def asof_enrich(stream: DataFrame, observations: DataFrame, by: Sequence[str], ts: str, obs_ts: str, tolerance: str, name: str = "asof") -> DataFrame:
-    """As-of enrichment of every micro-batch against a static observation table.
-
-    A batch is written below its own number, so a batch that is run again replaces itself.
-    """
-    spark = stream.sparkSession
-    root = scratch_path(spark, name)
-
-    def enrich(batch: DataFrame, batch_id: int) -> None:
-        joined = asof_join(batch, observations, by, ts, obs_ts, tolerance)
-        joined.write.mode("overwrite").parquet(f"{root}/table/batch={batch_id}")
-
-    query = (
-        stream.writeStream.foreachBatch(enrich).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
-    )
-    _finish(query)
-    return spark.read.parquet(f"{root}/table").drop("batch")
+def asof_enrich(stream: DataFrame, root: str, observations: DataFrame, by: Sequence[str], ts: str, obs_ts: str, tolerance: str) -> DataFrame:
+    """As-of enrichment of every micro-batch against a static observation table."""
+    return _run_batches(stream, root, lambda batch: asof_join(batch, observations, by, ts, obs_ts, tolerance))
