@@ -230,14 +230,53 @@ def range_counts(spark, d):
     return neighbours.range_counts(vectors(spark, d), 0.95)
 
 
-@query("density_clusters")
+def _dbscan_sql(eps: str, name: str = "") -> str:
+    """Core points, clusters by reach over core links, and border points, as tables named with a suffix."""
+    n = name
+    return (
+        f"core{n} AS (SELECT id FROM pairs WHERE d <= {eps} GROUP BY id HAVING count(*) >= 6), "
+        f"link{n} AS (SELECT p.id, p.other FROM pairs p JOIN core{n} a ON p.id = a.id JOIN core{n} b ON p.other = b.id WHERE d <= {eps}), "
+        f"reach{n}(id, node) AS (SELECT id, id FROM core{n} UNION SELECT r.id, l.other FROM reach{n} r JOIN link{n} l ON r.node = l.id), "
+        f"root{n} AS (SELECT id, min(node) AS root FROM reach{n} GROUP BY id), "
+        f"num{n} AS (SELECT id, CAST(dense_rank() OVER (ORDER BY root) - 1 AS BIGINT) AS cluster FROM root{n}), "
+        f"bord{n} AS (SELECT p.id, min(m.cluster) AS cluster FROM pairs p JOIN num{n} m ON p.other = m.id WHERE d <= {eps} AND p.id NOT IN (SELECT id FROM core{n}) GROUP BY p.id), "
+        f"lab{n} AS (SELECT v.vec_id AS id, m.id IS NOT NULL AS is_core, coalesce(m.cluster, b.cluster, -1) AS cluster FROM v LEFT JOIN num{n} m ON v.vec_id = m.id LEFT JOIN bord{n} b ON v.vec_id = b.id)"
+    )
+
+
+EPS = (0.85, 0.95, 1.0, 1.05)
+
+
+def _eps_sql() -> str:
+    """The scan by pairs: mean squared distance to the own cluster's others and to the nearest other cluster."""
+    parts = []
+    for k, eps in enumerate(EPS):
+        parts.append(
+            f"SELECT {eps}::DOUBLE AS eps, (SELECT count(DISTINCT cluster) FROM lab{k} WHERE cluster >= 0) AS n_clusters, "
+            f"(SELECT round(100 * avg((cluster < 0)::INT), 2) FROM lab{k}) AS noise_pct, "
+            f"(SELECT CASE WHEN count(DISTINCT c) > 1 THEN round(avg(s), 6) END FROM (SELECT c, CASE WHEN any_value(sizes) = 1 THEN 0 ELSE (min(d2) FILTER (WHERE o <> c) - max(own)) / greatest(min(d2) FILTER (WHERE o <> c), max(own)) END AS s FROM "
+            f"(SELECT p.id, a.cluster AS c, b.cluster AS o, avg(d * d) AS d2, CASE WHEN a.cluster = b.cluster THEN sum(d * d) / greatest(count(*) - 1, 1) END AS own, CASE WHEN a.cluster = b.cluster THEN count(*) END AS sizes "
+            f"FROM pairs p JOIN lab{k} a ON p.id = a.id JOIN lab{k} b ON p.other = b.id WHERE a.cluster >= 0 AND b.cluster >= 0 GROUP BY 1, 2, 3) GROUP BY id, c)) AS silhouette"
+        )
+    return "WITH RECURSIVE " + VEC_SQL + ", " + ", ".join(_dbscan_sql(str(e), str(k)) for k, e in enumerate(EPS)) + ", s AS (" + " UNION ALL ".join(parts) + ") SELECT *, silhouette IS NOT NULL AND row_number() OVER (ORDER BY silhouette DESC NULLS LAST, eps) = 1 AS best FROM s"
+
+
+@query("density_clusters", f"WITH RECURSIVE {VEC_SQL}, {_dbscan_sql('0.95')} SELECT * FROM lab")
 def density_clusters(spark, d):
     return density.dbscan(vectors(spark, d), 0.95, 6)
 
 
-@query("eps_scan")
+@query("eps_scan", _eps_sql())
 def eps_scan(spark, d):
-    return density.eps_scan(vectors(spark, d), [0.85, 0.95], 6)
+    return tidy(density.eps_scan(vectors(spark, d), EPS, 6))
+
+
+@query("eps_best")
+def eps_best(spark, d):
+    """The scan over the radii that the quantiles of the k-distance propose."""
+    points = vectors(spark, d)
+    radii = [r["eps"] for r in neighbours.eps_candidates(points, 10).collect()]
+    return tidy(density.eps_scan(points, radii, 6))
 
 
 ANALOG = ["water_temp", "salinity", "oxygen", "air_temp"]
