@@ -98,7 +98,12 @@ def fit_gbt(
         featuresCol=features, labelCol=label, maxIter=rounds, maxDepth=depth, minInstancesPerNode=leaf,
         stepSize=LEARNING_RATE, maxBins=64, seed=42,
     )
-    return (gbt.setWeightCol(weight) if weight else gbt).fit(df)
+    return (gbt.setWeightCol(weight) if weight else gbt).fit(in_few_parts(df))
+
+
+def in_few_parts(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """The rows in as few partitions as ``rows`` each allow: every level of every tree is a job over all partitions."""
+    return df.coalesce(max(1, -(-df.count() // rows)))
 
 
 def gbt(rounds: int, depth: int, leaf: int = 1) -> Fit:
@@ -117,7 +122,7 @@ def fit_bloom_classifier(df: DataFrame, label: str, trees: int = FOREST[0], dept
     forest = RandomForestClassifier(
         featuresCol=features, labelCol=label, weightCol="_w", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, seed=42
     )
-    return forest.fit(weighted)
+    return forest.fit(in_few_parts(weighted))
 
 
 def side_by_side(fit: Callable[..., DataFrame], items: Sequence, at_once: int = 4) -> list[DataFrame]:
