@@ -140,14 +140,15 @@ def probabilities(counts: DataFrame) -> list[tuple[np.ndarray, np.ndarray, np.nd
 
 def logs(orders: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
     """Log probability of every possible n-gram of the highest order: seen ones, and others by backing off."""
-    p = np.full(1, 1.0 / SYMBOLS)
+    p = np.full(1, 1.0 / SYMBOLS, dtype=np.float32)
     for k, (grams, seen, contexts, weights) in enumerate(orders):
-        weight = np.ones(SYMBOLS**k)
+        weight = np.ones(SYMBOLS**k, dtype=np.float32)
         weight[contexts] = weights
-        suffixes = p.reshape(-1, SYMBOLS) if k else np.broadcast_to(p, (1, SYMBOLS))
-        p = (weight[:, None] * np.tile(suffixes, (SYMBOLS if k else 1, 1))[: SYMBOLS**k]).ravel()
+        # a context's suffix is its number without the first symbol, so the rows below repeat for each first symbol
+        below = p.reshape(1, -1, SYMBOLS) if k else np.broadcast_to(p, (1, 1, SYMBOLS))
+        p = (weight.reshape(SYMBOLS if k else 1, -1, 1) * below).reshape(-1)
         p[grams] = seen
-    return np.log(np.maximum(p, 1e-12)).astype(np.float32)
+    return np.log(np.maximum(p, 1e-12, out=p), out=p)
 
 
 def bounds(values: np.ndarray) -> tuple[float, float]:
