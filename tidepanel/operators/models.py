@@ -125,7 +125,7 @@ def fit_bloom_classifier(df: DataFrame, label: str, trees: int = FOREST[0], dept
     return forest.fit(in_few_parts(weighted))
 
 
-def side_by_side(fit: Callable[..., DataFrame], items: Sequence, at_once: int = 4) -> list[DataFrame]:
+def side_by_side(fit: Callable[..., DataFrame], items: Sequence, at_once: int = 8) -> list[DataFrame]:
     """``fit`` of every item, some at a time: the many short jobs of boosting leave a cluster idle one by one."""
     with ThreadPoolExecutor(at_once) as pool:
         return list(pool.map(inheritable_thread_target(fit), items))
