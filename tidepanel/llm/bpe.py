@@ -29,9 +29,9 @@ from tidepanel.llm.common import Batches, texts_of
 #: Fixed value: the split pattern of byte-level vocabularies.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-STRETCH = 8_000_000
+STRETCH = 4_000_000
 """Code points of texts that are encoded together."""
-CACHED = 300_000
+CACHED = 150_000
 """Words that a task may remember; beyond it, it starts afresh. It bounds memory and changes no result."""
 
 

@@ -125,5 +125,6 @@ def with_scores(documents: DataFrame, names: list[str], begin: Callable[[], Call
             for name, values in zip(names, found, strict=True):
                 batch = batch.append_column(name, pa.array(values, type=pa.float64()))
             yield batch
+        pa.default_memory_pool().release_unused()  # workers live on and serve other stages
 
     return documents.mapInArrow(run, schema)

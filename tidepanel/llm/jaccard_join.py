@@ -35,7 +35,7 @@ BUCKET = 128
 BLOCK = 512
 LOOKS = 0.6
 """Share of equal tokens from which two nodes are linked for the exact comparison: four standard errors below 0.8."""
-CACHED = 500_000
+CACHED = 150_000
 BROADCAST_ROWS = 1_000_000
 """Rows of two or six numbers that may be broadcast; more of them meet the texts in a shuffle."""
 
