@@ -24,7 +24,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-from tidepanel.llm.common import Batches, texts_of
+from tidepanel.llm.common import Batches, bounded_batches, texts_of
 
 #: Fixed value: the split pattern of byte-level vocabularies.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -249,6 +249,7 @@ def round_trips(documents: DataFrame, path: str) -> DataFrame:
     A null text counts as empty: 0 tokens and the hash of nothing. Strings of special tokens inside a text become
     their ids, as the library does. Repeated rows are encoded each; other columns are not read; an empty table gives none.
     """
+    bounded_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(read_vocabulary(path))  # bounded by the vocabulary file
 
     def encode(batches: Batches) -> Batches:

@@ -109,6 +109,17 @@ def code_points(text: str) -> np.ndarray:
 
 Batches = Iterator[pd.DataFrame]
 
+#: Fixed value: Spark's default.
+SPARK_BATCH_BYTES = "67108864b"
+BATCH_BYTES = "8m"
+"""Bytes of an Arrow batch of whole texts, unless the session names its own; a single longer text is a batch."""
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let batches of texts end by bytes, well before Spark's default, since each is held several times over on both sides."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in (None, SPARK_BATCH_BYTES):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
 
 def with_scores(documents: DataFrame, names: list[str], begin: Callable[[], Callable[[list[str]], list[list]]]) -> DataFrame:
     """``documents`` with double columns ``names`` that a task computes from whole texts (null ones as empty).
@@ -116,6 +127,7 @@ def with_scores(documents: DataFrame, names: list[str], begin: Callable[[], Call
     ``begin`` is called once per task and gives the function from texts to one list per column. Other columns pass as
     they are, as Arrow data, whatever their types.
     """
+    bounded_batches(documents.sparkSession)
     schema = StructType([*documents.schema.fields, *(StructField(n, DoubleType()) for n in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

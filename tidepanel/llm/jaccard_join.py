@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import Batches, components, free_name, staged, texts_of
+from tidepanel.llm.common import Batches, bounded_batches, components, free_name, staged, texts_of
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -285,6 +285,7 @@ def linked_documents(documents: DataFrame) -> DataFrame:
     ``n_texts`` the different other texts. Texts of equal sets are copies, as are texts without any word. ``first``
     marks the rows of the smallest doc_id (and, of those, smallest text hash) of their class; a null id comes first.
     """
+    bounded_batches(documents.sparkSession)
     rows = staged(described(documents))
     nodes = staged(rows.groupBy("node").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "text_key")).alias("head"), F.min("sig").alias("sig")))
     groups = components(candidate_links(nodes))

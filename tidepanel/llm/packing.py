@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
 from tidepanel.llm.bpe import CACHED, Numbers, encode_words, read_vocabulary, stretches
-from tidepanel.llm.common import Batches, staged
+from tidepanel.llm.common import Batches, bounded_batches, staged
 
 LENGTH = 2048
 GROUP = 400_000
@@ -84,6 +84,7 @@ def pieces(documents: DataFrame, path: str, length: int = LENGTH, separator: int
 
     A null text counts as empty: its one piece is the separator. Repeated rows are cut each.
     """
+    bounded_batches(documents.sparkSession)
     library = Tokenizer.from_file(path)
     library.no_padding()
     library.no_truncation()

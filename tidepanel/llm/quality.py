@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import Batches, code_points, free_name, staged, texts_of, with_scores
+from tidepanel.llm.common import Batches, bounded_batches, code_points, free_name, staged, texts_of, with_scores
 
 ORDER = 4
 SYMBOLS = 48
@@ -197,6 +197,7 @@ def limits(scores: DataFrame, quantile: float = QUANTILE) -> DataFrame:
 
 def judged(documents: DataFrame, labels: DataFrame, names: list[str]) -> tuple[DataFrame, Column]:
     """``documents`` with perplexity and lower bound as ``names``, and the limit of a row's language as an expression."""
+    bounded_batches(documents.sparkSession)
     trusted = trusted_rows(documents.select("doc_id", "text", "lang"), labels)
     common = alphabet(trusted)
     model = documents.sparkSession.sparkContext.broadcast((common, probabilities(counted(trusted, common))))  # SYMBOLS ** ORDER rows at most

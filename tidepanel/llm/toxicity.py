@@ -20,7 +20,7 @@ from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import Batches, code_points, free_name, labelled_sample, staged, texts_of, with_scores
+from tidepanel.llm.common import Batches, bounded_batches, code_points, free_name, labelled_sample, staged, texts_of, with_scores
 
 ORDERS = (3, 4, 5)
 BITS = 22
@@ -81,6 +81,7 @@ def slot_counts(batches: Batches) -> Batches:
 
 def fit(training: DataFrame) -> Model:
     """The model of a bounded table ``training(text, label)``. With one class alone it gives that class's share everywhere."""
+    bounded_batches(training.sparkSession)
     training = staged(training)
     sizes = {r["label"]: r["n"] for r in training.groupBy("label").agg(F.count("*").alias("n")).collect()}
     toxic, other = sizes.get(1, 0), sizes.get(0, 0)
