@@ -46,6 +46,7 @@ class WordEncoder:
     def __init__(self, path: str, library: Tokenizer) -> None:
         self.v, self.library = read_vocabulary(path) if isinstance(path, str) else path, library
         self.split = regex.compile(WORDS)
+        self.letters_are_words = not any(name.isalpha() for name in self.v.special)
         self.forget()
 
     def forget(self) -> None:
@@ -58,6 +59,10 @@ class WordEncoder:
         sizes = np.zeros(len(new), dtype=np.int64)
         other: dict[int, bytes] = {}
         for k, part in enumerate(new):
+            if self.letters_are_words and part.isascii() and part.isalpha():  # one word, which needs no pattern
+                words.append(part.lower().encode())
+                sizes[k] = 1
+                continue
             if not self.plain.fullmatch(part) or any(name in part for name in self.v.special):
                 ids = self.library.encode(part.encode("utf-8", "replace").decode(), add_special_tokens=False).ids
                 other[k] = np.array(ids, dtype="<u4").tobytes()
