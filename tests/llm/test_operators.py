@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidepanel.llm import bpe, fingerprints, html_text, jaccard_join, neighbours, packing, quality, sharding, toxicity, warc
+from tidepanel.llm.common import components
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, row_no bigint, node bigint, perplexity string"
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -212,6 +213,33 @@ def test_join_against_brute_force(spark, odd, monkeypatch):
     assert Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in got) == want
 
 
+def test_join_follows_long_chains(spark):
+    """Revisions that are each similar to the next alone are one class, however many there are."""
+    words = [f"w{k}" for k in range(9 * 300 + 100)]
+    texts = [" ".join(words[9 * k : 9 * k + 94]) for k in range(300)]
+    got = jaccard_join.linked_documents(documents(spark, texts)).collect()
+    assert {r["class_id"] for r in got} == {0}
+    assert {r["doc_id"]: r["n_links"] for r in got} == {k: 1 if k in (0, 299) else 2 for k in range(300)}
+
+
+def test_components_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    ids = np.unique(rng.integers(-(2**62), 2**62, 900))
+    rng.shuffle(ids)
+    edges = [(int(ids[k]), int(ids[k + 1])) for k in range(600) if k not in (150, 200)]
+    edges += [(int(ids[700]), int(ids[k])) for k in range(701, 800)] + [(int(ids[a]), int(ids[b])) for a, b in rng.integers(800, 900, (60, 2))]
+    want = {x: x for e in edges if e[0] != e[1] for x in e}
+    moved = True
+    while moved:
+        moved = False
+        for a, b in [*edges, *edges[::-1]]:
+            if a != b and want[a] != want[b]:
+                want[a] = want[b] = min(want[a], want[b])
+                moved = True
+    got = components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
+    assert len(got) == len(want) and {r["node"]: r["root"] for r in got} == want
+
+
 def test_exact_similarity_of_many_sets():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 62, 300).astype(np.uint64)

@@ -66,28 +66,27 @@ def numbered(rows: DataFrame, order: list[Column], partitions: int | None = None
     return cut.join(F.broadcast(starts), "_part").withColumn("row_no", F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` of every node in ``edges(a, b)``: root is the smallest node that links reach.
 
-    Smallest-label propagation with pointer jumping, one reliable checkpoint a round. A round stops the loop when the
-    count and the hash sum of the labels stay as they were. Labels meet in aggregates that combine on the map side,
-    and joins are on staged tables, so that adaptive execution can split a hot node.
+    Rounds of large star and small star, which shrink distances, so that long chains need few of them; they go on until
+    a round leaves the count and the hash sum of the links as they were, with no cap. Joins are on staged tables, so
+    that adaptive execution can split a hot node, and a reliable checkpoint ends each half of a round.
     """
-    both = staged(
-        edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    )
-    labels = staged(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "node"))
+    links = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
-    for _ in range(rounds):
-        stamp = labels.agg(F.count("*"), F.sum(F.xxhash64("node", "root").cast("decimal(38,0)"))).first()
+    while True:
+        stamp = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if stamp == seen:
             break
         seen = stamp
-        told = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("told"))
-        nearer = staged(labels.join(told, "node").select("node", F.least("root", "told").alias("root")))
-        up = nearer.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        labels = staged(nearer.join(up, "root", "left").select("node", F.least("root", F.coalesce("up", "root")).alias("root")))
-    return labels
+        both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = staged(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        links = staged(large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(low).distinct())
+    # every link now leads from a node to its root
+    return staged(links.select(F.col("a").alias("node"), F.col("b").alias("root")).union(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()))
 
 
 def free_name(df: DataFrame, stem: str) -> str:
