@@ -319,6 +319,20 @@ def test_perplexity_is_kneser_ney(spark):
     assert quality.document_quality(docs, labels.limit(0)).where("kept").count() == 5
 
 
+def test_perplexity_tells_letters_of_any_script_apart(spark):
+    """Beside a Latin majority, Cyrillic text with its letters replaced by others must stand out as much."""
+    rng = np.random.default_rng(5)
+    latin, cyrillic = ["the cat ", "sat on ", "a mat and ", "ate cake. ", "bdfgijklpqrvwxyz ", "àâäçéèêëîïôöùûüñßæœø ", ",;:!?-() "], ["кошка ", "сидела ", "на коврике ", "и ела торт. "]
+    texts = ["".join(rng.choice(latin, 60)) for _ in range(200)] + ["".join(rng.choice(cyrillic, 60)) for _ in range(20)]
+    letters = sorted(set("".join(cyrillic)) - set(" ."))
+    junk = ["".join(rng.choice(letters) if c in letters else c for c in t) for t in texts[200:210]]
+    rows = [(k, t, "en" if k < 200 else "ru") for k, t in enumerate([*texts, *junk])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(k, 1) for k in range(220)], "doc_id bigint, quality int")
+    got = {r["doc_id"]: r["kept"] for r in quality.document_quality(docs, labels).collect()}
+    assert all(got[k] for k in range(220)) and not any(got[k] for k in range(220, 230))
+
+
 def test_limits_are_exact_quantiles(spark):
     rows = [("en", float(k)) for k in range(1, 101)] + [("fr", 5.0), (None, 200.0), ("de", None)]
     got = {r["lang"]: r["limit"] for r in quality.limits(spark.createDataFrame(rows, "lang string, lower_bound double"), 0.9).collect()}

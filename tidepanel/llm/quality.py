@@ -1,12 +1,13 @@
 """Quality: perplexity under an interpolated modified Kneser-Ney n-gram model of trusted text.
 
-The units are characters, folded to ``SYMBOLS`` classes: the commonest characters of the trusted texts, one class each
-for capital letters, digits and whatever is rarer, and the start of a text. Case and punctuation thus stay visible,
-and an order of ``ORDER`` has SYMBOLS ** ORDER n-grams at most, whatever the size of the corpus.
+The units are characters: each one that the trusted texts hold at least twice is a class of its own, in any script;
+capital letters, digits, all other characters and the start of a text are one class each. Case and punctuation thus
+stay visible, and what is met once stands for what isn't met at all.
 
-Counts run over all trusted texts: each task adds up its n-grams, an aggregate sharded by n-gram adds up the tasks',
-and joins between the count tables of neighbouring orders give discounts, back-off weights and probabilities. The
-finished table has a proven bound and goes to all tasks, which score whole texts without a shuffle.
+Nothing of the model is gathered but its alphabet. Counts run over all trusted texts: an aggregate sharded by n-gram
+adds them up, and joins between the count tables of neighbouring orders give discounts, back-off weights and
+probabilities. To be scored, texts are dealt out into chunks of about ``CHUNK`` bytes; the different n-grams of each
+chunk meet the sharded tables in joins, and each chunk's texts meet its own n-grams' log probabilities.
 
 A document is kept when its perplexity is at most a high quantile of the trusted documents' perplexities in its
 language. Short texts scatter, so what is compared is the perplexity's lower bound, ``SIGMAS`` standard errors of the
@@ -16,18 +17,20 @@ all rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark import Broadcast
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tidepanel.llm.common import Batches, bounded_batches, code_points, free_name, staged, texts_of, with_scores
+from tidepanel.llm.common import Batches, bounded_batches, code_points, free_name, staged, texts_of
 
 ORDER = 4
-SYMBOLS = 48
+SYMBOLS = 1 << 16
+"""Numbers of classes; ORDER of them fill 64 bits."""
 START, CAPITAL, DIGIT, RARE = 0, 1, 2, 3
 QUANTILE = 0.998
 SIGMAS = 3.0
@@ -36,19 +39,22 @@ MARGIN = 1.05
 STEP = 0.001
 BROADCAST_IDS = 4_000_000
 """Label ids that may be broadcast (32 MB)."""
-WIDE = 1 << 16
+WIDE = 0x110000
+CHUNK = 8 << 20
+"""Bytes of text, about, whose n-grams are looked up together."""
+
+
+@cache
+def kinds() -> np.ndarray:
+    """Class of each code point that isn't in an alphabet."""
+    return np.array([CAPITAL if c.isupper() else DIGIT if c.isdigit() else RARE for c in map(chr, range(WIDE))] + [RARE], dtype=np.uint64)
 
 
 def folds(common: list[int]) -> np.ndarray:
-    """Class of each code point below ``WIDE``; others are rare."""
-    table = np.full(WIDE + 1, RARE, dtype=np.int32)
-    for point in range(WIDE):
-        c = chr(point)
-        if c.isupper():
-            table[point] = CAPITAL
-        elif c.isdigit():
-            table[point] = DIGIT
-    table[common] = np.arange(RARE + 1, RARE + 1 + len(common))
+    """Class of each code point. Beyond the numbers there are, the rarest characters share the upper half of them."""
+    table, room = kinds().copy(), SYMBOLS - RARE - 1
+    rank = np.arange(len(common), dtype=np.uint64)
+    table[common] = RARE + 1 + np.where(rank < room, rank, room // 2 + rank % (room // 2))
     return table
 
 
@@ -58,15 +64,24 @@ def points_of(text: str) -> np.ndarray:
 
 def ngrams(text: str, table: np.ndarray) -> np.ndarray:
     """Number of the n-gram that ends at each character; the text's beginning is filled up with start signs."""
-    symbols = np.concatenate((np.full(ORDER - 1, START, dtype=np.int32), table[points_of(text)]))
-    n, out = len(symbols) - ORDER + 1, np.zeros(len(symbols) - ORDER + 1, dtype=np.int32)
+    symbols = np.concatenate((np.full(ORDER - 1, START, dtype=np.uint64), table[points_of(text)]))
+    n, out = len(symbols) - ORDER + 1, np.zeros(len(symbols) - ORDER + 1, dtype=np.uint64)
     for k in range(ORDER):
-        out = out * SYMBOLS + symbols[k : k + n]
+        out = out * np.uint64(SYMBOLS) + symbols[k : k + n]
     return out
 
 
+def suffix(gram: str, k: int) -> Column:
+    """The last ``k`` symbols of an n-gram."""
+    return F.col(gram).bitwiseAND(F.lit((1 << 16 * k) - 1))
+
+
+def context_of(gram: str) -> Column:
+    return F.shiftrightunsigned(gram, 16)
+
+
 def alphabet(trusted: DataFrame) -> list[int]:
-    """The commonest characters of all trusted texts that are neither capitals nor digits."""
+    """The characters, met twice or more in all trusted texts, that are neither capitals nor digits; the commonest first."""
 
     def count(batches: Batches) -> Batches:
         totals = np.zeros(WIDE + 1, dtype=np.int64)
@@ -81,25 +96,23 @@ def alphabet(trusted: DataFrame) -> list[int]:
 
     counts = trusted.select("text").mapInPandas(count, "point int, n bigint").groupBy("point").agg(F.sum("n").alias("n"))
     letters = F.expr("decode(unhex(lpad(hex(point), 8, '0')), 'UTF-32')")
-    counts = counts.where(F.col("point") < WIDE).withColumn("c", letters)
+    counts = counts.where((F.col("point") < WIDE) & (F.col("n") > 1)).withColumn("c", letters)
     plain = counts.where((F.col("c") == F.lower("c")) & ~F.col("c").rlike(r"^\d$"))
-    # a fixed number of rows
-    return sorted(r["point"] for r in plain.orderBy(F.desc("n"), "point").limit(SYMBOLS - RARE - 1).collect())
+    # a row per different character: Unicode bounds them
+    return [r["point"] for r in plain.orderBy(F.desc("n"), "point").collect()]
 
 
 def counted(trusted: DataFrame, common: list[int]) -> DataFrame:
     """``(gram, n)`` of all trusted texts at the highest order."""
 
     def count(batches: Batches) -> Batches:
-        table, totals = folds(common), np.zeros(SYMBOLS**ORDER, dtype=np.int32)
+        table = folds(common)
         for batch in batches:
-            for text in texts_of(batch):
-                grams, counts = np.unique(ngrams(text, table), return_counts=True)
-                totals[grams] += counts.astype(np.int32)
-        found = np.flatnonzero(totals)
-        yield pd.DataFrame({"gram": found, "n": totals[found]})
+            if len(batch):
+                grams, counts = np.unique(np.concatenate([ngrams(t, table) for t in texts_of(batch)]), return_counts=True)
+                yield pd.DataFrame({"gram": grams.view(np.int64), "n": counts})
 
-    return trusted.select("text").mapInPandas(count, "gram int, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    return trusted.select("text").mapInPandas(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -111,18 +124,18 @@ def discounts(counts: DataFrame) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), k - 0.05) for k, d in zip((1, 2, 3), raw, strict=True))  # type: ignore[return-value]
 
 
-def probabilities(counts: DataFrame) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each order from 1: seen n-grams, their probabilities, contexts, their back-off weights.
+def probabilities(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+    """For each order from 1: ``(gram, p)`` of seen n-grams, and ``(context, weight)`` for backing off; tables sharded by their keys.
 
     Below the highest order the counts are numbers of different characters that come before the n-gram.
     """
     tables = [staged(counts)]
     for k in range(ORDER - 1, 0, -1):
-        tables.append(staged(tables[-1].groupBy((F.col("gram") % SYMBOLS**k).alias("gram")).agg(F.count("*").alias("n"))))
+        tables.append(staged(tables[-1].groupBy(suffix("gram", k).alias("gram")).agg(F.count("*").alias("n"))))
     out, lower = [], None
     for table in reversed(tables):
         d1, d2, d3 = discounts(table)
-        n, context = F.col("n"), F.floor(F.col("gram") / SYMBOLS).cast("int")
+        n, context = F.col("n"), context_of("gram")
         cut = F.when(n == 1, d1).when(n == 2, d2).otherwise(d3)
         contexts = table.groupBy(context.alias("context")).agg(F.sum("n").alias("total"), F.sum(cut).alias("freed"))
         contexts = staged(contexts.select("context", "total", (F.col("freed") / F.col("total")).alias("weight")))
@@ -130,25 +143,23 @@ def probabilities(counts: DataFrame) -> list[tuple[np.ndarray, np.ndarray, np.nd
         if lower is None:
             rows = rows.withColumn("below", F.lit(1.0 / SYMBOLS))
         else:
-            suffix = F.col("gram") % SYMBOLS ** len(out)
-            rows = rows.withColumn("suffix", suffix).join(lower.select(F.col("gram").alias("suffix"), F.col("p").alias("below")), "suffix")
+            rows = rows.withColumn("suffix", suffix("gram", len(out))).join(lower.select(F.col("gram").alias("suffix"), F.col("p").alias("below")), "suffix")
         lower = staged(rows.select("gram", (F.col("left") / F.col("total") + F.col("weight") * F.col("below")).alias("p")))
-        seen, back = lower.toPandas(), contexts.select("context", "weight").toPandas()  # SYMBOLS ** order rows at most
-        out.append((seen["gram"].to_numpy(), seen["p"].to_numpy(), back["context"].to_numpy(), back["weight"].to_numpy()))
+        out.append((lower, contexts.select("context", "weight")))
     return out
 
 
-def logs(orders: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Log probability of every possible n-gram of the highest order: seen ones, and others by backing off."""
-    p = np.full(1, 1.0 / SYMBOLS, dtype=np.float32)
-    for k, (grams, seen, contexts, weights) in enumerate(orders):
-        weight = np.ones(SYMBOLS**k, dtype=np.float32)
-        weight[contexts] = weights
-        # a context's suffix is its number without the first symbol, so the rows below repeat for each first symbol
-        below = p.reshape(1, -1, SYMBOLS) if k else np.broadcast_to(p, (1, 1, SYMBOLS))
-        p = (weight.reshape(SYMBOLS if k else 1, -1, 1) * below).reshape(-1)
-        p[grams] = seen
-    return np.log(np.maximum(p, 1e-12, out=p), out=p)
+def looked_up(grams: DataFrame, orders: list[tuple[DataFrame, DataFrame]], k: int = ORDER) -> DataFrame:
+    """``(gram, p)`` of the different n-grams ``grams(gram)`` of order ``k``: seen ones, and others by backing off."""
+    seen, weights = orders[k - 1]
+    rows = grams.join(seen.withColumnRenamed("p", "seen"), "gram", "left").withColumn("context", context_of("gram")).join(weights, "context", "left")
+    if k == 1:
+        rows = rows.withColumn("below", F.lit(1.0 / SYMBOLS))
+    else:
+        rows = rows.withColumn("suffix", suffix("gram", k - 1))
+        lower = looked_up(staged(grams.select(suffix("gram", k - 1).alias("gram")).distinct()), orders, k - 1)
+        rows = rows.join(lower.select(F.col("gram").alias("suffix"), F.col("p").alias("below")), "suffix")
+    return staged(rows.select("gram", F.coalesce("seen", F.coalesce("weight", F.lit(1.0)) * F.col("below")).alias("p")))
 
 
 def bounds(values: np.ndarray) -> tuple[float, float]:
@@ -157,20 +168,33 @@ def bounds(values: np.ndarray) -> tuple[float, float]:
     return float(np.exp(mean)), float(np.exp(mean - SIGMAS * error))
 
 
-def with_perplexity(documents: DataFrame, model: Broadcast, names: list[str]) -> DataFrame:
+def with_perplexity(documents: DataFrame, common: list[int], orders: list[tuple[DataFrame, DataFrame]], names: list[str]) -> DataFrame:
     """``documents`` with the perplexity of each whole text and its lower bound as ``names``; null for empty and null texts."""
-
-    def begin() -> Callable[[list[str]], list[list]]:
-        common, orders = model.value
-        table, values = folds(common), logs(orders)
-
-        def score(texts: list[str]) -> list[list]:
-            found = [bounds(values[ngrams(t, table)].astype(np.float64)) if t else (None, None) for t in texts]
-            return [[f[k] for f in found] for k in (0, 1)]
-
-        return score
-
-    return with_scores(documents, names, begin)
+    n = int((documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / CHUNK) + 1
+    chunk = free_name(documents, "chunk")
+    plain = [f.name for f in documents.schema.fields if f.dataType.typeName() in ("string", "long", "integer")]
+    rows = documents.withColumn(chunk, F.pmod(F.xxhash64(*plain), F.lit(n)))
+    schema = StructType([*documents.schema.fields, *(StructField(x, DoubleType()) for x in names)])
+
+    def different(texts: pd.DataFrame) -> pd.DataFrame:
+        table = folds(common)
+        found = np.unique(np.concatenate([ngrams(t, table) for t in texts_of(texts)]))
+        return pd.DataFrame({"chunk": texts["chunk"].iloc[0], "gram": found.view(np.int64)})
+
+    def score(texts: pa.Table, found: pa.Table) -> pa.Table:
+        table, grams, values = folds(common), found["gram"].to_numpy(), found["log_p"].to_numpy()
+        order = np.argsort(grams)
+        grams, values = grams[order], values[order]
+        texts = texts.drop_columns([chunk])
+        got = [bounds(values[np.searchsorted(grams, ngrams(t, table).view(np.int64))]) if t else (None, None) for t in texts["text"].to_pylist()]
+        for k, name in enumerate(names):
+            texts = texts.append_column(name, pa.array([g[k] for g in got], type=pa.float64()))
+        return texts
+
+    grams = staged(rows.select(F.col(chunk).alias("chunk"), "text").groupBy("chunk").applyInPandas(different, "chunk bigint, gram bigint"))
+    p = looked_up(staged(grams.select("gram").distinct()), orders)
+    known = grams.join(p, "gram").select("chunk", "gram", F.log(F.greatest("p", F.lit(1e-12))).alias("log_p"))
+    return rows.groupBy(chunk).cogroup(known.groupBy("chunk")).applyInArrow(score, schema)
 
 
 def trusted_rows(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -200,13 +224,13 @@ def judged(documents: DataFrame, labels: DataFrame, names: list[str]) -> tuple[D
     bounded_batches(documents.sparkSession)
     trusted = trusted_rows(documents.select("doc_id", "text", "lang"), labels)
     common = alphabet(trusted)
-    model = documents.sparkSession.sparkContext.broadcast((common, probabilities(counted(trusted, common))))  # SYMBOLS ** ORDER rows at most
-    own = with_perplexity(trusted.select("lang", "text"), model, ["perplexity", "lower_bound"]).select("lang", "lower_bound")
+    orders = probabilities(counted(trusted, common))
+    own = with_perplexity(trusted, common, orders, ["perplexity", "lower_bound"]).select("lang", "lower_bound")
     found = limits(own).collect()  # one row per language of trusted documents
     by_lang = {r["lang"]: r["limit"] for r in found if r["lang"] is not None}
     overall = F.lit(next((r["limit"] for r in found if r["lang"] is None), float("inf")))
     limit = F.coalesce(F.create_map(*(F.lit(x) for kv in by_lang.items() for x in kv))[F.col("lang")], overall) if by_lang else overall
-    return with_perplexity(documents, model, names), limit
+    return with_perplexity(documents, common, orders, names), limit
 
 
 def document_quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
