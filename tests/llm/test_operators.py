@@ -357,6 +357,12 @@ def test_main_text(spark):
     assert html_text.main_text(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("tag", "svg math object canvas audio video datalist script style textarea noscript iframe".split())
+def test_unclosed_tags_keep_the_rest_of_a_page(tag):
+    got = [b[0] for b in html_text.blocks(f"<article><p>One.</p><{tag} id=x><p>Two.</p></article>")]
+    assert got == (["One."] if tag in ("script", "style", "textarea", "noscript", "iframe") else ["One.", "Two."])
+
+
 def test_warc_round_trip(spark):
     rows = [(5, "u", "same", 0), (3, "u\r\nX: y", "same", 0), (9, None, "same", 0), (1, "u", None, 0), (2, "u", "", 0), (4, "u", "é" * 200_000, 0), (7, "u", "a\r\n\r\nb", 0), (None, "u", "lone", 0), (3, "u", "same", 0)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, revisit int").repartition(3)

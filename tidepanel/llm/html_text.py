@@ -63,6 +63,8 @@ LABELLED = (
 )
 
 UNSEEN = frozenset("script style noscript template head title svg math iframe object canvas audio video select textarea button datalist".split())
+#: Of these, the ones that hide the rest of a page if nothing closes them; other unclosed ones are passed over.
+SWALLOWING = frozenset("script style textarea noscript iframe template".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 PLACES = {"article": "inside", "main": "inside"} | dict.fromkeys("nav header footer aside form menu dialog".split(), "outside")
@@ -128,7 +130,7 @@ def blocks(page: str) -> Iterator[tuple[str, int, float, bool, bool]]:
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
                 if end:
                     at = end.end()
-                elif tag not in ("head", "title", "button", "select"):
+                elif tag in SWALLOWING:
                     at = len(page)
             continue
         if tag == "a":
