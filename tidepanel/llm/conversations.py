@@ -231,35 +231,45 @@ SEGMENT = (
 )
 
 
-def segments(batches: Batches) -> Iterator[tuple[tuple, pd.DataFrame]]:
-    """``(no_conv, conv, part)`` and its rows, for rows that come in that order."""
+Columns = dict[str, np.ndarray]
+
+
+def segments(batches: Batches) -> Iterator[tuple[tuple, Columns]]:
+    """``(no_conv, conv, part)`` and the columns of its rows, for rows that come in that order."""
+
+    def merged(pieces: list[Columns]) -> Columns:
+        return pieces[0] if len(pieces) == 1 else {c: np.concatenate([p[c] for p in pieces]) for c in pieces[0]}
+
     key, held = None, []
     for batch in batches:
         if not len(batch):
             continue
-        columns = [batch[c].to_numpy() for c in (*KEY, "part")]
+        columns = {c: batch[c].to_numpy() for c in batch.columns}
+        places = [columns[c] for c in (*KEY, "part")]
         new = np.zeros(len(batch), dtype=bool)
-        for c in columns:
+        for c in places:
             new[1:] |= c[1:] != c[:-1]
         starts = [0, *np.flatnonzero(new).tolist(), len(batch)]
         for a, b in zip(starts, starts[1:], strict=False):
-            own = tuple(c[a].item() for c in columns)
+            own = tuple(c[a].item() for c in places)
             if own != key and held:
-                yield key, pd.concat(held)
+                yield key, merged(held)
                 held = []
             key = own
-            held.append(batch.iloc[a:b])
+            held.append({c: v[a:b] for c, v in columns.items()})
     if held:
-        yield key, pd.concat(held)
+        yield key, merged(held)
 
 
 def illegal_pairs(initials: str) -> int:
     return sum(initials[k : k + 2] not in ("su", "ua", "au") for k in range(len(initials) - 1))
 
 
-def described(key: tuple, rows: pd.DataFrame, whole: bool) -> dict:
-    rows = rows[~rows["gone"].to_numpy()]
-    initials, turns = "".join(rows["initial"]), rows["turn"].to_numpy()[~rows["no_turn"].to_numpy()]
+def described(key: tuple, rows: Columns, whole: bool) -> dict:
+    if rows["gone"].any():
+        stay = ~rows["gone"]
+        rows = {c: v[stay] for c, v in rows.items()}
+    initials, turns = "".join(rows["initial"]), rows["turn"][~rows["no_turn"]]
     runs = runs_of("".join(rows["symbol"]))
     out = dict(zip((*KEY, "part"), key, strict=True))
     out |= {c: int(rows[c].sum()) for c in ("blank", "duplicate", "truncated")} | {"whole": whole, "illegal": illegal_pairs(initials)}

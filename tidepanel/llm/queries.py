@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepanel.llm import bpe, conversations, fingerprints, html_text, jaccard_join, neighbours, packing, quality, sharding, sql, toxicity, warc
+from tidepanel.llm import bpe, conversations, fingerprints, html_text, jaccard_join, languages, neighbours, packing, quality, sharding, sql, toxicity, warc
 from tidepanel.llm.common import table
 
 
@@ -55,6 +55,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.linked_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.document_languages(table(spark, sf_dir, "documents"))
+
+
 def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repaired(table(spark, sf_dir, "conversations"))
 
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_quality": op9_quality,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_languages": op11_languages,
     "op13_conversations": op13_conversations,
 }
 ORACLES: dict[str, str] = {
