@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepanel.llm import bpe, conversations, fingerprints, html_text, jaccard_join, languages, neighbours, packing, quality, sharding, sql, toxicity, warc
+from tidepanel.llm import bpe, conversations, fingerprints, hard_negatives, html_text, jaccard_join, languages, neighbours, packing, quality, sharding, sql, toxicity, warc
 from tidepanel.llm.common import table
 
 
@@ -59,6 +59,10 @@ def op11_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.document_languages(table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mined(table(spark, sf_dir, "embeddings"))
+
+
 def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repaired(table(spark, sf_dir, "conversations"))
 
@@ -75,8 +79,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_jaccard_join": op10_jaccard_join,
     "op11_languages": op11_languages,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_conversations": op13_conversations,
 }
 ORACLES: dict[str, str] = {
+    "op12_hard_negatives": sql.HARD_NEGATIVES,
     "op13_conversations": sql.CONVERSATIONS,
 }
