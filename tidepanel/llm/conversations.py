@@ -427,7 +427,7 @@ def audits(rows: DataFrame, partitions: int) -> DataFrame:
     placed = symbols(rows, partitions)
     found = staged(placed.repartition(partitions, "part").sortWithinPartitions("part", "pos").mapInPandas(summed, SEGMENT))
     span = F.col("last_turn").cast("decimal(20,0)") - F.col("first_turn").cast("decimal(20,0)") + 1 - F.col("turns")
-    gaps = F.coalesce(F.least(span, F.lit(MOST)), F.lit(0)).cast("bigint")
+    gaps = F.when(span.isNull(), F.lit(0)).otherwise(F.least(span, F.lit(MOST))).cast("bigint")
     whole = found.where("whole").withColumn("gaps", gaps).select(NAMES)
     return whole.unionByName(spanning(found.where("not whole")))
 

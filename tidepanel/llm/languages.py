@@ -29,15 +29,16 @@ STRETCH = 1 << 20
 """Code points that are counted at a time."""
 HELD = 1 << 21
 """Different n-grams a task holds, about, before it passes its partial sums on."""
-BLANK = 0
+BLANK = 1
+"""No letter, and not 0, so that n-grams that begin with it differ from shorter ones."""
 UNKNOWN = "und"
 FOLDS, HELD_FOLD = 4, 2
 
 
 @cache
 def letters() -> np.ndarray:
-    """Lower case of each code point that is a letter or a combining mark, ``BLANK`` for others."""
-    table = np.zeros(0x110000, dtype=np.int64)
+    """Lower case, where that is one code point, of each letter and combining mark; ``BLANK`` for others."""
+    table = np.full(0x110000, BLANK, dtype=np.int64)
     for point in range(0x110000):
         if unicodedata.category(chr(point))[0] in "LM":
             low = chr(point).lower()
