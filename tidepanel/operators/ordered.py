@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidepanel.session import shared_dir
+from tidepanel.session import shared_dir, staged
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in the lower 33 bits
 
@@ -65,60 +65,112 @@ def group_rank(
     return out.drop("_global", "_first", "_n")
 
 
+_STEPS = 512
+"""First bins of a value for each factor e of its size."""
+_PARTS = 4096
+"""Parts that a bin is cut into when it is counted again."""
+_EXACT_ROWS = 1_000_000
+"""Once the bins that are left hold so few rows, their values are counted themselves."""
+_FEW_BINS = 100_000
+"""Bins that may be broadcast (some 10 MB); more of them meet the rows in a shuffle."""
+
+
+def _first_bin(value: Column) -> Column:
+    """A whole number that never falls as the value rises; infinities, zero and NaN (the largest) have their own."""
+    size, least, most = F.abs(value), 400_000, 1_000_000
+    far = F.when(size == float("inf"), F.lit(most)).otherwise(F.floor(F.log(size) * _STEPS).cast("int") + least)
+    return F.when(F.isnan(value), F.lit(2 * most)).when(size == 0, F.lit(0)).otherwise(F.when(value < 0, -far).otherwise(far))
+
+
+def _cells(df: DataFrame, keys: list[str], columns: Sequence[str]) -> DataFrame:
+    """``keys, variable, _value`` of the values that aren't null, for aggregates that combine them within a task."""
+    cell = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("_value")) for c in columns])
+    long = df.select(*keys, F.explode(cell).alias("_cell")).select(*keys, "_cell.variable", "_cell._value")
+    return long.filter(F.col("_value").isNotNull())
+
+
+def _holding(counts: DataFrame, within: list[str], ranks: Column) -> DataFrame:
+    """The bins of ``counts(within, _bin, _n, _lo, _hi)`` that hold one of the wanted ``ranks``, which then count from the bin's start."""
+    order = Window.partitionBy(*within).orderBy("_bin") if within else Window.orderBy("_bin")
+    whole = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
+    # rows here are bins, not values: their number is bounded by the bins there are
+    placed = counts.withColumn("_upto", F.sum("_n").over(order)).withColumn("_all", F.sum("_n").over(whole))
+    start = F.col("_upto") - F.col("_n")
+    inside = F.filter(ranks, lambda r: (r["rank"] >= start) & (r["rank"] < F.col("_upto")))
+    held = F.transform(inside, lambda r: r.withField("rank", r["rank"] - start))
+    return placed.withColumn("_ranks", held).filter(F.size("_ranks") > 0).drop("_upto", "_all", "_bin")
+
+
+def _settled(found: DataFrame, keys: list[str]) -> tuple[DataFrame, tuple[int, int]]:
+    """The found bins, computed once, and how many of them hold several values, with their rows.
+
+    Without keys there is a row per column and wanted rank at most, which becomes part of later plans.
+    """
+    if not keys:
+        rows = found.toArrow()
+        open_rows = [n for lo, hi, n in zip(*(rows[c].to_pylist() for c in ("_lo", "_hi", "_n")), strict=True) if lo != hi and lo == lo]
+        return found.sparkSession.createDataFrame(rows, found.schema), (len(open_rows), sum(open_rows))
+    found = staged(found)
+    several = found.filter(~F.col("_lo").eqNullSafe(F.col("_hi")))
+    return found, tuple(several.agg(F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0))).first())
+
+
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], columns: Sequence[str], probs: Sequence[float]
 ) -> DataFrame:
-    """Exact linearly interpolated quantiles of groups of any size.
+    """Exact linearly interpolated quantiles of groups of any size, by selection: nothing is sorted.
 
-    Returns ``keys, variable, prob, quantile``. Equal values are counted before anything
-    is shuffled, the counts are sorted by range, and only the one or two values around
-    each wanted position survive to the last aggregation.
+    Returns ``keys, variable, prob, quantile``. Bins of values are counted for all groups and columns in one aggregate,
+    which combines a hot group's rows within each task. The bins that hold a wanted rank are counted again in finer
+    bins, until each holds one value; as soon as they hold few rows together, the values themselves are counted. Two
+    passes over ``df`` are the rule. What is staged between them is one row per wanted rank. The passes run when the
+    plan is built. Nulls don't count, NaN counts as the largest value.
     """
-    keys = list(keys)
-    long = df.select(
-        *keys,
-        F.explode(
-            F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("value")) for c in columns])
-        ).alias("_cell"),
-    ).select(*keys, "_cell.variable", "_cell.value")
-    counts = long.filter(F.col("value").isNotNull()).groupBy(*keys, "variable", "value").agg(
-        F.count(F.lit(1)).alias("_count")
-    )
-    group = [*keys, "variable"]
-    slots = sorted_slots(counts, [*group, "value"])
-    offsets = _offsets(slots, F.sum("_count"))
-    inside = Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
-    placed = (
-        slots.withColumn("_upto", F.sum("_count").over(inside))
-        .join(F.broadcast(offsets), "_part")
-        .withColumn("_upto", F.col("_upto") + F.col("_before"))
-        .withColumn("_from", F.col("_upto") - F.col("_count"))
-    )
-    bounds = placed.groupBy(*group).agg(F.min("_from").alias("_base"), F.sum("_count").alias("_n"))
-    wanted = (
-        bounds.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-        .withColumn("_pos", F.col("prob") * (F.col("_n") - 1))
-        .select(
-            *[F.col(k).alias(f"_k_{k}") for k in group],
-            "prob",
-            (F.col("_base") + F.floor("_pos")).alias("_low"),
-            (F.col("_base") + F.ceil("_pos")).alias("_high"),
-            (F.col("_pos") - F.floor("_pos")).alias("_frac"),
-        )
-    )
-    if not keys:  # one row per column and probability
-        wanted = F.broadcast(wanted)
-    holds_low = (F.col("_low") >= F.col("_from")) & (F.col("_low") < F.col("_upto"))
-    holds_high = (F.col("_high") >= F.col("_from")) & (F.col("_high") < F.col("_upto"))
-    condition = holds_low | holds_high
-    for k in group:
-        condition = F.col(k).eqNullSafe(F.col(f"_k_{k}")) & condition
-    low, high = F.max(F.when(holds_low, F.col("value"))), F.max(F.when(holds_high, F.col("value")))
-    return (
-        placed.join(wanted, condition)
-        .groupBy(*group, "prob")
-        .agg((low + (high - low) * F.max("_frac")).alias("quantile"))
+    keys, group = list(keys), [*keys, "variable"]
+    long = _cells(df, keys, columns)
+    counted = [F.count(F.lit(1)).alias("_n"), F.min("_value").alias("_lo"), F.max("_value").alias("_hi")]
+
+    def position(p: float) -> Column:
+        return F.lit(p) * (F.col("_all") - 1)
+
+    wanted = F.array(
+        *[
+            F.struct(
+                F.lit(p).alias("prob"), F.lit(upper).alias("upper"), (position(p) - F.floor(position(p))).alias("frac"),
+                (F.ceil(position(p)) if upper else F.floor(position(p))).cast("bigint").alias("rank"),
+            )
+            for p in sorted({float(p) for p in probs})
+            for upper in (False, True)
+        ]
     )
+    bins = long.groupBy(*group, _first_bin(F.col("_value")).alias("_bin")).agg(*counted)
+    found, rest = _settled(_holding(bins, group, wanted), keys)
+    done = []
+    while True:
+        single = F.col("_lo").eqNullSafe(F.col("_hi"))
+        done.append(found.filter(single).select(*group, F.col("_lo").alias("_value"), "_ranks"))
+        left = found.filter(~single).withColumn("_id", F.monotonically_increasing_id())
+        if not rest[0]:
+            break
+        near = F.broadcast(left) if rest[0] <= _FEW_BINS else left
+        same = F.lit(True)
+        for k in group:
+            same = same & F.col(f"_c.{k}").eqNullSafe(F.col(f"_w.{k}"))
+        met = long.alias("_c").join(near.alias("_w"), same & F.col("_value").between(F.col("_lo"), F.col("_hi")))
+        share = (F.col("_value") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+        part = F.col("_value") if rest[1] <= _EXACT_ROWS else F.floor(share * _PARTS)
+        finer = met.select("_id", "_value", part.alias("_bin")).groupBy("_id", "_bin").agg(*counted)
+        ranks = left.select("_id", *group, F.col("_ranks").alias("_before"))
+        finer = finer.join(F.broadcast(ranks) if rest[0] <= _FEW_BINS else ranks, "_id")
+        found, rest = _settled(_holding(finer, ["_id"], F.col("_before")).drop("_before", "_id"), keys)
+    ends = done[0]
+    for more in done[1:]:
+        ends = ends.unionByName(more)
+    ends = ends.select(*group, "_value", F.explode("_ranks").alias("_r"))
+    low, high = (F.max(F.when(F.col("_r.upper") == upper, F.col("_value"))) for upper in (False, True))
+    out = ends.groupBy(*group, F.col("_r.prob").alias("prob")).agg((low + (high - low) * F.max("_r.frac")).alias("quantile"))
+    # without keys a few numbers, which become part of the plans that use them
+    return out if keys else df.sparkSession.createDataFrame(out.coalesce(1).toArrow(), out.schema)
 
 
 def quantile_columns(

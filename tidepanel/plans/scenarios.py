@@ -9,6 +9,7 @@ from tidepanel.operators import baseline, coverage, regime, risk, rolling, rollu
 from tidepanel.plans.registry import query, tidy
 from tidepanel.plans.regimes import DAYS_SQL, FEATURES, first_events, labelled_stations
 from tidepanel.plans.rollups import DW_SQL, SPAN_SQL, WATER_MEASURES, daily_water
+from tidepanel.session import staged
 from tidepanel.sources.panels import LI_SQL, LOOKUP_SQL, sparse_panel, station_lookup, table, water_panel
 
 DRIVERS = scenario.DRIVERS
@@ -128,7 +129,8 @@ def scenario_predictions(spark: SparkSession, d: str) -> DataFrame:
         FROM a JOIN (SELECT target, m FROM a WHERE scenario = 'baseline_ref') b ON a.target = b.target""",
 )
 def scenario_summary(spark, d):
-    return tidy(risk.scenario_summary(scenario_predictions(spark, d), ["oxygen", "salinity"]))
+    predicted = staged(scenario_predictions(spark, d))  # means, medians and their passes all read it
+    return tidy(risk.scenario_summary(predicted, ["oxygen", "salinity"]))
 
 
 @query(
