@@ -10,7 +10,9 @@ from pyspark.sql.window import Window
 
 from tidepanel import KEYS
 from tidepanel.functions import dates
+from tidepanel.functions.stats import one_row
 from tidepanel.operators.rolling import trailing_mean
+from tidepanel.session import spread_groups
 
 # Scenario, air temperature added by the last year, and the end multipliers of
 # precipitation, wind speed and solar radiation.
@@ -73,18 +75,46 @@ def future_days(stations: DataFrame, paths: DataFrame, first: int, last: int) ->
     return days.join(path_defaults(paths), "year")
 
 
-def perturb(days: DataFrame, climatology: DataFrame, means: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Daily drivers of a scenario: climatology (or the station mean), shifted and scaled."""
-    joined = days.join(climatology, [*keys, "doy"], "left").join(means, list(keys), "left")
-    filled = joined.withColumns({c: F.coalesce(F.col(c), F.col(f"{c}_station_mean")) for c in DRIVERS})
-    return filled.withColumns(
-        {
-            "air_temp": F.col("air_temp") + F.col("air_temp_add_c"),
-            "precip": F.col("precip") * F.col("precip_mult"),
-            "wind_speed": F.col("wind_speed") * F.col("wind_speed_mult"),
-            "solar": F.col("solar") * F.col("solar_mult"),
-        }
-    ).drop(*[f"{c}_station_mean" for c in DRIVERS])
+def packed_climatology(history: DataFrame, drivers: Sequence[str] = DRIVERS, keys: Sequence[str] = KEYS, out: str = "_days") -> DataFrame:
+    """One row per station: an array of its mean drivers on the 365 clipped days, the station's mean where a day has none.
+
+    Sums and counts per day give both means, so the history is read once and combined before its shuffle.
+    """
+    doy = dates.clipped_doy(F.col("date")).alias("_doy")
+    sums = [a for c in drivers for a in (F.sum(c).alias(f"_s_{c}"), F.count(c).alias(f"_n_{c}"))]
+    days = history.groupBy(*keys, doy).agg(*sums)
+    cell = F.struct(*[(F.col(f"_s_{c}") / F.nullif(F.col(f"_n_{c}"), F.lit(0))).alias(c) for c in drivers])
+    means = F.struct(*[(F.sum(f"_s_{c}") / F.nullif(F.sum(f"_n_{c}"), F.lit(0))).alias(c) for c in drivers])
+    # 365 entries at most for each station
+    packed = days.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_doy", cell.alias("_c")))).alias("_m"), means.alias("_mean"))
+    at = F.transform(F.sequence(F.lit(1), F.lit(365)), lambda k: F.try_element_at("_m", k))
+    filled = F.transform(at, lambda d: F.struct(*[F.coalesce(d[c], F.col("_mean")[c]).alias(c) for c in drivers]))
+    return packed.select(*keys, filled.alias(out))
+
+
+def driver_days(history: DataFrame, stations: DataFrame, paths: DataFrame, first: int, last: int, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Daily drivers of every station, scenario and day from ``first`` to ``last``: climatology, shifted and scaled by the path.
+
+    Stations meet their packed climatology and the paths (an array of scenarios x years) while there is one row each.
+    Years and then days are exploded last, so no day is shuffled, and windows by station follow without an exchange.
+    """
+    step = F.struct("scenario", "year", *PATH_DEFAULTS)
+    steps = path_defaults(paths).filter(F.col("year").between(first, last)).agg(F.array_sort(F.collect_list(step)).alias("steps"))
+    rows = stations.join(packed_climatology(history, keys=keys), list(keys), "left").withColumn("_steps", one_row(steps)["steps"])
+    rows = spread_groups(rows, list(keys)).withColumn("_p", F.explode("_steps")).drop("_steps")
+    start = F.make_date(F.col("_p.year"), F.lit(1), F.lit(1))
+    length = F.datediff(F.make_date(F.col("_p.year") + 1, F.lit(1), F.lit(1)), start)
+    kept = [c for c in stations.columns if c not in DRIVERS]
+    # an exploded day is a number: generated code reads its drivers from the station's array, which isn't copied per day
+    rows = rows.select(*kept, "_days", "_p", start.alias("_start"), F.explode(F.sequence(F.lit(0), length - 1)).alias("_k"))
+    base = F.element_at("_days", F.least(F.col("_k") + 1, F.lit(365)))
+    moved = {"air_temp": base["air_temp"] + F.col("_p.air_temp_add_c")}
+    moved |= {c: base[c] * F.col(f"_p.{m}") for c, m in (("precip", "precip_mult"), ("wind_speed", "wind_speed_mult"), ("solar", "solar_mult"))}
+    out = rows.select(
+        *kept, F.col("_p.scenario").alias("scenario"), F.col("_p.year").alias("year"), F.date_add("_start", F.col("_k")).alias("date"),
+        *[moved[c].alias(c) for c in DRIVERS],
+    )
+    return out.withColumn("doy", dates.clipped_doy(F.col("date")))
 
 
 def driver_rolls(days: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -38,8 +38,7 @@ def scenario_ramp(spark, d):
 def projected_days(spark: SparkSession, d: str) -> DataFrame:
     days = daily_water(spark, d)
     stations = days.select("region", "station").distinct()
-    future = scenario.future_days(stations, scenario.scenario_ramp(spark), *scenario.RAMP_YEARS)
-    return scenario.perturb(future, rollup.driver_climatology(days, DRIVERS), rollup.station_means(days, DRIVERS))
+    return scenario.driver_days(days, stations, scenario.scenario_ramp(spark), *scenario.RAMP_YEARS)
 
 
 FUT_CTE = (
@@ -64,24 +63,62 @@ def future_calendar(spark, d):
     return tidy(days.groupBy("region", "station", "scenario", "year").agg(F.count(F.lit(1)).alias("n_days"), F.max("doy").alias("last_doy")))
 
 
-@query("perturb_drivers", f"WITH {DW_SQL}, {FUT_CTE} SELECT region, station, scenario, year, count(*) AS n_days, " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in DRIVERS) + " FROM fut GROUP BY 1, 2, 3, 4")
+def by_day(c: str) -> str:
+    """Mean weighted by the day of year in SQL: a day out of its place changes it."""
+    return f"round(avg({c} * dayofyear(date)), 6) AS {c}_by_day"
+
+
+@query(
+    "perturb_drivers",
+    f"WITH {DW_SQL}, {FUT_CTE} SELECT region, station, scenario, year, count(*) AS n_days, " + ", ".join(f"round(avg({c}), 6) AS {c}, {by_day(c)}" for c in DRIVERS) + " FROM fut GROUP BY 1, 2, 3, 4",
+)
 def perturb_drivers(spark, d):
-    """Daily drivers of the whole horizon, summed up per year."""
+    """Daily drivers of the whole horizon, each station's years summed up: means, and means weighted by the day of year."""
     days = projected_days(spark, d).groupBy("region", "station", "scenario", "year")
-    return tidy(days.agg(F.count(F.lit(1)).alias("n_days"), *[F.avg(c).alias(c) for c in DRIVERS]))
+    weighted = [F.avg(F.col(c) * F.dayofyear("date")).alias(f"{c}_by_day") for c in DRIVERS]
+    return tidy(days.agg(F.count(F.lit(1)).alias("n_days"), *[F.avg(c).alias(c) for c in DRIVERS], *weighted))
 
 
 @query(
-    "future_driver_rolls",
-    f"""WITH {DW_SQL}, {FUT_CTE}, r AS (SELECT region, station, scenario, year, avg(air_temp) OVER (w ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS air_temp_r7d,
+    "projected_drivers_daily",
+    f"WITH {DW_SQL}, {FUT_CTE} SELECT scenario, date, count(*) AS n_stations, " + ", ".join(f"round(avg({c}), 6) AS {c}, round(min({c}), 6) AS {c}_min, round(max({c}), 6) AS {c}_max" for c in DRIVERS) + " FROM fut GROUP BY 1, 2",
+)
+def projected_drivers_daily(spark, d):
+    """Every day of the horizon: mean and extremes of each driver over all stations."""
+    cells = [f(c).alias(n) for c in DRIVERS for f, n in ((F.avg, c), (F.min, f"{c}_min"), (F.max, f"{c}_max"))]
+    return tidy(projected_days(spark, d).groupBy("scenario", "date").agg(F.count(F.lit(1)).alias("n_stations"), *cells))
+
+
+ROLL_CTE = f"""r AS (SELECT region, station, scenario, year, date, avg(air_temp) OVER (w ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS air_temp_r7d,
         avg(solar) OVER (w ROWS BETWEEN 28 PRECEDING AND 1 PRECEDING) AS solar_r28d, sin(2 * pi() * dayofyear(date) / 365.25) AS doy_sin
-        FROM fut WINDOW w AS (PARTITION BY region, station, scenario ORDER BY date))
-        SELECT region, station, scenario, year, round(avg(air_temp_r7d), 6) AS air_temp_r7d, round(avg(solar_r28d), 6) AS solar_r28d, round(max(doy_sin), 6) AS doy_sin FROM r GROUP BY 1, 2, 3, 4""",
+        FROM fut WINDOW w AS (PARTITION BY region, station, scenario ORDER BY date))"""
+
+
+@query(
+    "future_driver_rolls",
+    f"""WITH {DW_SQL}, {FUT_CTE}, {ROLL_CTE}
+        SELECT region, station, scenario, year, round(avg(air_temp_r7d), 6) AS air_temp_r7d, {by_day("air_temp_r7d")}, round(avg(solar_r28d), 6) AS solar_r28d, {by_day("solar_r28d")},
+          round(max(doy_sin), 6) AS doy_sin FROM r GROUP BY 1, 2, 3, 4""",
 )
 def future_driver_rolls(spark, d):
-    """Trailing means over the whole horizon, summed up per year."""
+    """Trailing means over the whole horizon, each station's years summed up as in ``perturb_drivers``."""
     rolled = scenario.driver_rolls(projected_days(spark, d)).groupBy("region", "station", "scenario", "year")
-    return tidy(rolled.agg(F.avg("air_temp_r7d").alias("air_temp_r7d"), F.avg("solar_r28d").alias("solar_r28d"), F.max("doy_sin").alias("doy_sin")))
+    rolls = ["air_temp_r7d", "solar_r28d"]
+    weighted = [F.avg(F.col(c) * F.dayofyear("date")).alias(f"{c}_by_day") for c in rolls]
+    return tidy(rolled.agg(*[F.avg(c).alias(c) for c in rolls], *weighted, F.max("doy_sin").alias("doy_sin")))
+
+
+@query(
+    "projected_rolls_daily",
+    f"""WITH {DW_SQL}, {FUT_CTE}, {ROLL_CTE}
+        SELECT scenario, date, round(avg(air_temp_r7d), 6) AS air_temp_r7d, round(max(air_temp_r7d), 6) AS air_temp_r7d_max, round(avg(solar_r28d), 6) AS solar_r28d,
+          round(min(solar_r28d), 6) AS solar_r28d_min, round(max(doy_sin), 6) AS doy_sin FROM r GROUP BY 1, 2""",
+)
+def projected_rolls_daily(spark, d):
+    """Every day of the horizon: the trailing means over all stations."""
+    rolled = scenario.driver_rolls(projected_days(spark, d)).groupBy("scenario", "date")
+    cells = [F.avg("air_temp_r7d").alias("air_temp_r7d"), F.max("air_temp_r7d").alias("air_temp_r7d_max"), F.avg("solar_r28d").alias("solar_r28d")]
+    return tidy(rolled.agg(*cells, F.min("solar_r28d").alias("solar_r28d_min"), F.max("doy_sin").alias("doy_sin")))
 
 
 BENCH_CTE = "bm AS (SELECT * FROM (VALUES ('baseline_ref', 0.0::DOUBLE, 1.0::DOUBLE), ('plus1p0C_precip_same', 1.0, 1.0), ('plus1p5C_precip_same', 1.5, 1.0), ('plus2p0C_precip_same', 2.0, 1.0)) v(scenario, t, p))"

@@ -86,8 +86,7 @@ def project(
     """Projected station-years of every station and scenario at once: drivers, temperature, chemistry."""
     base_cols = [f"{m}_baseline" for m in WATER_MEASURES]
     bases = scored.groupBy(*KEYS).agg(*[F.avg(c).alias(c) for c in base_cols])
-    days = scenario.future_days(bases, paths, first, last)
-    days = scenario.perturb(days, rollup.driver_climatology(scored, DRIVERS), rollup.station_means(scored, DRIVERS))
+    days = scenario.driver_days(scored, bases, paths, first, last)
     days = temp.predict(scenario.driver_rolls(days), "delta_water_temp_pred")
     years = rollup.station_year_features(days, ["delta_water_temp_pred", *DRIVERS], base_cols, keys=[*KEYS, "scenario"])
     for name, response in chemistry.items():
