@@ -47,7 +47,7 @@ def test_projected_days(spark):
 
 
 def test_no_day_is_shuffled(spark):
-    history = spark.range(2000).selectExpr("'R' as region", "id % 5 as station", "date_add(date'2020-01-01', cast(id as int)) as date", *[f"cast(id as double) as {c}" for c in scenario.DRIVERS])
+    history = spark.range(2000).selectExpr("concat('R', id % 3) as region", "id % 5 as station", "date_add(date'2020-01-01', cast(id as int)) as date", *[f"cast(id as double) as {c}" for c in scenario.DRIVERS])
     stations = history.select("region", "station").distinct()
     rolled = scenario.driver_rolls(scenario.driver_days(history, stations, scenario.scenario_ramp(spark), 2026, 2100))
     plan = rolled.groupBy("region", "station", "scenario", "year").max("air_temp_r7d")._jdf.queryExecution().executedPlan().toString()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -10,7 +11,7 @@ from functools import reduce
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Model, Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,13 +20,17 @@ from pyspark.sql import functions as F
 from tidepanel import KEYS
 from tidepanel.functions.stats import one_row
 from tidepanel.operators.ordered import global_rank, quantile_columns
-from tidepanel.session import staged
+from tidepanel.session import scratch_path, staged
 
 # Ridge penalty, learning rate, and rounds x depth of the boosted trees.
 RIDGE_ALPHA, LEARNING_RATE = 1.0, 0.05
 GBT_DAILY, GBT_YEARLY, GBT_NUTRIENT = (250, 6, 1), (300, 4, 20), (300, 8, 1)
 # Trees, depth and leaf size of the bloom classifier.
 FOREST = (400, 12, 10)
+# Rows beyond which boosting may end early, and the part of rows that decides it.
+STOP_EARLY_ROWS, VALIDATION_PART = 10_000, 10
+VALIDATION_TOL = 0.01
+"""A round has to lower the error on the validation rows by this share."""
 FOLDS = 5
 # Targets that are shares of days, and targets whose low tail weighs more.
 SHARE_TARGETS = ("oxygen_warm_hypoxic_day_share", "oxygen_warm_below_optimal_day_share")
@@ -92,18 +97,39 @@ def fit_ridge(df: DataFrame, label: str, weight: str | None = None, alpha: float
 
 
 def fit_gbt(
-    df: DataFrame, label: str, weight: str | None = None, rounds: int = GBT_DAILY[0], depth: int = GBT_DAILY[1], leaf: int = GBT_DAILY[2], features: str = "features"
+    df: DataFrame, label: str, weight: str | None = None, rounds: int = GBT_DAILY[0], depth: int = GBT_DAILY[1], leaf: int = GBT_DAILY[2], features: str = "features",
+    stop_early: bool | None = None,
 ) -> Model:
+    """Boosted trees. With ``stop_early`` (by default beyond ``STOP_EARLY_ROWS`` rows, as the source's estimator does) a
+    tenth of the rows, chosen by a hash, isn't fitted on, and boosting ends once a round lowers its error too little.
+    """
+    n = df.count()
     gbt = GBTRegressor(
         featuresCol=features, labelCol=label, maxIter=rounds, maxDepth=depth, minInstancesPerNode=leaf,
-        stepSize=LEARNING_RATE, maxBins=64, seed=42,
+        stepSize=LEARNING_RATE, maxBins=64, seed=42, maxMemoryInMB=512,
     )
-    return (gbt.setWeightCol(weight) if weight else gbt).fit(in_few_parts(df))
+    gbt = gbt.setWeightCol(weight) if weight else gbt
+    rows = dealt(df, n)
+    if n > STOP_EARLY_ROWS if stop_early is None else stop_early:
+        gbt = gbt.setValidationIndicatorCol("_validation").setParams(validationTol=VALIDATION_TOL)
+        rows = rows.withColumn("_validation", F.pmod(F.xxhash64(F.lit("validation"), *plain_columns(df)), F.lit(VALIDATION_PART)) == 0)
+    return gbt.fit(rows)
+
+
+def plain_columns(df: DataFrame) -> list[str]:
+    """Columns that a hash can read; vectors aren't among them."""
+    return [f.name for f in df.schema.fields if f.dataType.typeName() in ("string", "long", "integer", "short", "double", "float", "boolean", "date", "timestamp", "timestamp_ntz")]
 
 
-def in_few_parts(df: DataFrame, rows: int = 50_000) -> DataFrame:
-    """The rows in as few partitions as ``rows`` each allow: every level of every tree is a job over all partitions."""
-    return df.coalesce(max(1, -(-df.count() // rows)))
+def dealt(df: DataFrame, n: int, rows: int = 10_000) -> DataFrame:
+    """The rows dealt by a hash of their values into as few partitions as ``rows`` each allow.
+
+    Every level of every tree is a job over all partitions, and a tree's sample of rows follows them; by their hash, rows
+    fall into the same ones wherever they come from.
+    """
+    parts = max(1, -(-n // rows))
+    deal = F.pmod(F.xxhash64(*plain_columns(df)), F.lit(1 << 30))
+    return df.repartitionByRange(parts, deal).sortWithinPartitions(deal) if parts > 1 else df.coalesce(1).sortWithinPartitions(deal)
 
 
 def gbt(rounds: int, depth: int, leaf: int = 1) -> Fit:
@@ -115,20 +141,46 @@ def ridge(df: DataFrame, label: str, weight: str | None = None) -> Model:
 
 
 def fit_bloom_classifier(df: DataFrame, label: str, trees: int = FOREST[0], depth: int = FOREST[1], leaf: int = FOREST[2], features: str = "features") -> Model:
-    """Random forest whose classes weigh the same in total."""
+    """Random forest whose classes weigh the same in total.
+
+    The fitted forest is written to the shared folder and read back: a fresh fit carries a summary with its session, which
+    tasks that score with it would have to be sent.
+    """
     n = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("double")).alias("p")).first()
     heavy, light = n["n"] / (2.0 * max(n["p"], 1.0)), n["n"] / (2.0 * max(n["n"] - n["p"], 1.0))
     weighted = df.withColumn("_w", F.when(F.col(label) == 1, heavy).otherwise(light))
     forest = RandomForestClassifier(
-        featuresCol=features, labelCol=label, weightCol="_w", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, seed=42
+        featuresCol=features, labelCol=label, weightCol="_w", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, seed=42, cacheNodeIds=True
     )
-    return forest.fit(in_few_parts(weighted))
+    path = scratch_path(df.sparkSession, "forest")
+    forest.fit(dealt(weighted, n["n"])).write().save(path)
+    return RandomForestClassificationModel.load(path)
 
 
 def side_by_side(fit: Callable[..., DataFrame], items: Sequence, at_once: int = 8) -> list[DataFrame]:
-    """``fit`` of every item, some at a time: the many short jobs of boosting leave a cluster idle one by one."""
-    with ThreadPoolExecutor(at_once) as pool:
-        return list(pool.map(inheritable_thread_target(fit), items))
+    """``fit`` of every item, some at a time: the many short jobs of boosting leave a cluster idle one by one.
+
+    Whoever leaves early (an error in one fit, an interrupt) cancels the jobs of the others.
+    """
+    spark = SparkSession.active()
+    tag = f"side-by-side-{uuid.uuid4().hex}"
+
+    def tagged(item: object) -> DataFrame:
+        spark.addTag(tag)
+        try:
+            return fit(item)
+        finally:
+            spark.removeTag(tag)
+
+    pool = ThreadPoolExecutor(at_once)
+    try:
+        found = list(pool.map(inheritable_thread_target(spark)(tagged), items))
+    except BaseException:
+        pool.shutdown(wait=False, cancel_futures=True)
+        spark.interruptTag(tag)
+        raise
+    pool.shutdown()
+    return found
 
 
 # --- folds and calibration --------------------------------------------------------------------

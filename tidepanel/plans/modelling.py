@@ -373,7 +373,8 @@ def bloom_classifier(spark, d):
     train, test = split.filter("split = 'train'"), split.filter("split = 'test'")
     fills = models.fill_values(train, features)
     model = models.fit_bloom_classifier(models.assemble(train, fills), "is_bloom")
-    scored = model.transform(models.assemble(test, fills)).withColumn("p1", vector_to_array("probability")[1])
+    scored = model.transform(models.assemble(test, fills)).select("is_bloom", "prediction", vector_to_array("probability")[1].alias("p1"))
+    scored = staged(scored)  # metrics and the curve start from three plain columns
     return tidy(evaluate.classifier_metrics(scored, "is_bloom", "prediction").unionByName(evaluate.roc_auc(scored, "is_bloom", "p1")))
 
 
