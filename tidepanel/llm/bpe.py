@@ -231,11 +231,11 @@ def decode(pieces: list[bytes], ids: np.ndarray) -> str:
     return b"".join(map(pieces.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
-def stretches(batch: pd.DataFrame, column: str = "text") -> Iterator[tuple[slice, list[str]]]:
-    """Runs of a batch's rows whose texts have ``STRETCH`` code points together, or one longer text."""
+def stretches(batch: pd.DataFrame, column: str = "text", bound: int = STRETCH) -> Iterator[tuple[slice, list[str]]]:
+    """Runs of a batch's rows whose texts have ``bound`` code points together, or one longer text."""
     texts, start, size = texts_of(batch, column), 0, 0
     for k, text in enumerate(texts):
-        if size and size + len(text) > STRETCH:
+        if size and size + len(text) > bound:
             yield slice(start, k), texts[start:k]
             start, size = k, 0
         size += len(text)

@@ -12,73 +12,86 @@ into groups of some hundred thousand, each packed by one task in the order of fa
 
 from __future__ import annotations
 
-import unicodedata
+import itertools
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from tidepanel.llm.bpe import CACHED, Numbers, encode_words, read_vocabulary, stretches
+from tidepanel.llm.bpe import Numbers, encode_words, read_vocabulary, stretches
 from tidepanel.llm.common import Batches, bounded_batches, staged
 
 LENGTH = 2048
 GROUP = 400_000
 """Pieces that one task packs; every group leaves a few sequences of its own unfilled."""
 
-#: Fixed value: the split pattern of the word-end vocabulary.
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PLAIN_LETTERS = "a-zß-öø-ʯⱥⱦ"
+#: Fixed value: the split pattern of the word-end vocabulary, for lower-case Latin text.
+WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|[{PLAIN_LETTERS}]+|[0-9]|[^\s0-9{PLAIN_LETTERS}]+"
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
+STRETCH = 8_000_000
+"""Code points of texts that are encoded together."""
+REMEMBERED = 300_000
+"""Words that a task may remember; beyond it, the older half goes. It bounds memory and changes no result."""
 
 
 class WordEncoder:
-    """Ids of texts as 4-byte numbers. Parts between spaces and line ends are encoded once and remembered.
+    """Ids of texts as 4-byte numbers. Words, the matches of the split pattern, are encoded once and remembered.
 
-    Parts of Latin letters and ASCII signs go through the index of pair occurrences; others through the library.
+    Texts of Latin letters, digits and ASCII signs go through the index of pair occurrences, in lower case as the
+    vocabulary's normaliser gives it. Of other texts, so do the parts between spaces that are like that; the rest, and
+    parts with the name of a special token, go through the library. Its parts are remembered under a leading blank.
     """
 
-    plain = regex.compile(r"[!-~À-ɏ]*")
+    plain = re.compile(r"[ \t\n\r!-~À-ɏ]*")
 
     def __init__(self, path: str, library: Tokenizer) -> None:
         self.v, self.library = read_vocabulary(path) if isinstance(path, str) else path, library
-        self.split = regex.compile(WORDS)
-        self.letters_are_words = not any(name.isalpha() for name in self.v.special)
-        self.forget()
-
-    def forget(self) -> None:
+        self.words = re.compile(WORDS).findall
         self.numbers: Numbers = Numbers()
         self.ids: list[bytes] = []
 
+    def forget(self) -> None:
+        kept = list(self.numbers)[len(self.numbers) // 2 :]
+        self.ids = self.ids[-len(kept) :]
+        self.numbers = Numbers(zip(kept, range(len(kept)), strict=True))
+
+    def simple(self, text: str) -> bool:
+        return self.plain.fullmatch(text) is not None and not any(name in text for name in self.v.special)
+
+    def spelled(self, text: str) -> list[int]:
+        number = self.numbers.__getitem__
+        if self.simple(text):
+            return list(map(number, self.words(text.lower())))
+        out: list[int] = []
+        for part in text.replace("\n", " ").split(" "):
+            if self.simple(part):
+                out += map(number, self.words(part.lower()))
+            else:
+                out.append(number(" " + part))
+        return out
+
     def learn(self) -> None:
-        new = list(self.numbers)[len(self.ids) :]
-        words: list[bytes] = []
-        sizes = np.zeros(len(new), dtype=np.int64)
-        other: dict[int, bytes] = {}
-        for k, part in enumerate(new):
-            if self.letters_are_words and part.isascii() and part.isalpha():  # one word, which needs no pattern
-                words.append(part.lower().encode())
-                sizes[k] = 1
-                continue
-            if not self.plain.fullmatch(part) or any(name in part for name in self.v.special):
-                ids = self.library.encode(part.encode("utf-8", "replace").decode(), add_special_tokens=False).ids
-                other[k] = np.array(ids, dtype="<u4").tobytes()
-                continue
-            found = self.split.findall(unicodedata.normalize("NFC", part).lower())
-            words += [w.encode() for w in found]
-            sizes[k] = len(found)
-        ids, per_word = encode_words(self.v, words)
+        new = list(itertools.islice(self.numbers, len(self.ids), None))
+        ids, sizes = encode_words(self.v, [b"" if w[0] == " " else w.encode() for w in new])
         flat = ids.astype("<u4").tobytes()
-        ends = np.concatenate(([0], np.cumsum(per_word)))[np.concatenate(([0], np.cumsum(sizes)))] * 4
-        self.ids += [other.get(k) or flat[s:e] for k, (s, e) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))]
+        ends = (np.concatenate(([0], np.cumsum(sizes))) * 4).tolist()
+        for word, start, end in zip(new, ends, ends[1:], strict=False):
+            if word[0] == " ":
+                found = self.library.encode(word[1:].encode("utf-8", "replace").decode(), add_special_tokens=False).ids
+                self.ids.append(np.array(found, dtype="<u4").tobytes())
+            else:
+                self.ids.append(flat[start:end])
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        if len(self.numbers) > CACHED:
+        if len(self.numbers) > REMEMBERED:
             self.forget()
-        spelled = [list(map(self.numbers.__getitem__, t.replace("\n", " ").split(" "))) for t in texts]
+        spelled = [self.spelled(t) for t in texts]
         self.learn()
         for parts in spelled:
             yield b"".join(map(self.ids.__getitem__, parts))
@@ -100,7 +113,7 @@ def pieces(documents: DataFrame, path: str, length: int = LENGTH, separator: int
         encoder = WordEncoder(vocabulary, Tokenizer.from_str(spec))
         end = np.array([separator], dtype="<u4").tobytes()
         for batch in batches:
-            for rows, texts in stretches(batch):
+            for rows, texts in stretches(batch, bound=STRETCH):
                 out = []
                 for doc_id, ids in zip(batch["doc_id"].iloc[rows].array, encoder.encode(texts), strict=True):
                     data = ids + end
