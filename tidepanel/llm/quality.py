@@ -6,13 +6,15 @@ stay visible, and what is met once stands for what isn't met at all.
 
 Nothing of the model is gathered but its alphabet. Counts run over all trusted texts: an aggregate sharded by n-gram
 adds them up, and joins between the count tables of neighbouring orders give discounts, back-off weights and
-probabilities. To be scored, texts are dealt out into chunks of about ``CHUNK`` bytes; the different n-grams of each
-chunk meet the sharded tables in joins, and each chunk's texts meet its own n-grams' log probabilities.
+probabilities. To be scored, texts are dealt out into chunks of about ``CHUNK`` bytes by their place in the input files;
+the different n-grams of each chunk, found where the texts are read, meet the sharded tables in joins, and each chunk's
+texts meet its own n-grams' log probabilities. That is the one shuffle of texts: every document is scored once, and the
+limits come from the scores of the trusted ones.
 
 A document is kept when its perplexity is at most a high quantile of the trusted documents' perplexities in its
 language. Short texts scatter, so what is compared is the perplexity's lower bound, ``SIGMAS`` standard errors of the
-mean log probability below it. The quantiles are exact for values rounded to ``STEP``: they come from a histogram over
-all rows.
+mean log probability below it. The quantiles are exact but for values within a factor of 1 + ``STEP``, of which the largest
+counts: they come from a histogram over all rows, of some ten thousand bins a language at most.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -35,12 +38,14 @@ START, CAPITAL, DIGIT, RARE = 0, 1, 2, 3
 QUANTILE = 0.998
 SIGMAS = 3.0
 MARGIN = 1.05
-"""Allowance for texts that the model hasn't seen, as trusted ones are part of its counts."""
+"""Allowance for texts that the model hasn't seen, as trusted ones are part of its counts: limits lie 5 % above the quantile."""
 STEP = 0.001
+PIECE = 1 << 18
+"""Code points whose n-grams are sorted at a time."""
 BROADCAST_IDS = 4_000_000
 """Label ids that may be broadcast (32 MB)."""
 WIDE = 0x110000
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 """Bytes of text, about, whose n-grams are looked up together."""
 
 
@@ -80,6 +85,32 @@ def context_of(gram: str) -> Column:
     return F.shiftrightunsigned(gram, 16)
 
 
+def merged(grams: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Different n-grams, ascending, with the sums of their counts."""
+    every, n = np.concatenate(grams), np.concatenate(counts)
+    if not len(every):
+        return every, n
+    order = np.argsort(every, kind="stable")
+    every, n = every[order], n[order]
+    first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
+    return every[first], np.add.reduceat(n, first)
+
+
+def different(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different n-grams of texts with their counts, sorted in small steps."""
+    grams, counts, waiting, size = [], [], [], 0
+    for text in [*texts, None]:
+        if text is not None:
+            waiting.append(ngrams(text, table))
+            size += len(waiting[-1])
+        if waiting and (text is None or size >= PIECE):
+            found = np.unique(waiting[0] if len(waiting) == 1 else np.concatenate(waiting), return_counts=True)
+            grams.append(found[0])
+            counts.append(found[1])
+            waiting, size = [], 0
+    return merged(grams, counts) if len(grams) > 1 else (grams[0], counts[0])
+
+
 def alphabet(trusted: DataFrame) -> list[int]:
     """The characters, met twice or more in all trusted texts, that are neither capitals nor digits; the commonest first."""
 
@@ -109,7 +140,7 @@ def counted(trusted: DataFrame, common: list[int]) -> DataFrame:
         table = folds(common)
         for batch in batches:
             if len(batch):
-                grams, counts = np.unique(np.concatenate([ngrams(t, table) for t in texts_of(batch)]), return_counts=True)
+                grams, counts = different(texts_of(batch), table)
                 yield pd.DataFrame({"gram": grams.view(np.int64), "n": counts})
 
     return trusted.select("text").mapInPandas(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
@@ -168,69 +199,90 @@ def bounds(values: np.ndarray) -> tuple[float, float]:
     return float(np.exp(mean)), float(np.exp(mean - SIGMAS * error))
 
 
-def with_perplexity(documents: DataFrame, common: list[int], orders: list[tuple[DataFrame, DataFrame]], names: list[str]) -> DataFrame:
-    """``documents`` with the perplexity of each whole text and its lower bound as ``names``; null for empty and null texts."""
-    n = int((documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / CHUNK) + 1
-    chunk = free_name(documents, "chunk")
-    plain = [f.name for f in documents.schema.fields if f.dataType.typeName() in ("string", "long", "integer")]
-    rows = documents.withColumn(chunk, F.pmod(F.xxhash64(*plain), F.lit(n)))
-    schema = StructType([*documents.schema.fields, *(StructField(x, DoubleType()) for x in names)])
+def chunked(documents: DataFrame, chunk: str) -> DataFrame:
+    """``documents`` with the number of their chunk: about ``CHUNK`` bytes of rows that follow each other in a file.
 
-    def different(texts: pd.DataFrame) -> pd.DataFrame:
+    The place in a file is the same whenever it is read, so no exchange is needed to find a chunk's n-grams. Rows that
+    come from no file are staged first and take their place there. A long text is a chunk of its own.
+    """
+    size = documents.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    rows = max(1, int(CHUNK * size["n"] / max(size["bytes"] or 0, 1)))
+    try:
+        place = documents.metadataColumn("_metadata")
+        documents.select(place["row_index"])
+        file, row = F.xxhash64(place["file_path"]), place["row_index"]
+    except AnalysisException:
+        documents = staged(documents)
+        file, row = F.lit(0).cast("bigint"), F.monotonically_increasing_id()
+    alone = F.coalesce(F.octet_length("text") > CHUNK // 16, F.lit(False))
+    part = F.when(alone, -1 - row).otherwise(F.floor(row / rows))
+    return documents.withColumn(chunk, F.xxhash64(file, part))
+
+
+def with_perplexity(documents: DataFrame, chunk: str, common: list[int], orders: list[tuple[DataFrame, DataFrame]], names: list[str], keep_text: bool) -> DataFrame:
+    """``documents`` of :func:`chunked` with the perplexity of each whole text and its lower bound as ``names``; null for empty and null texts."""
+    spent = [chunk] if keep_text else [chunk, "text"]
+    schema = StructType([*(f for f in documents.schema.fields if f.name not in spent), *(StructField(x, DoubleType()) for x in names)])
+
+    def find(batches: Batches) -> Batches:
         table = folds(common)
-        found = np.unique(np.concatenate([ngrams(t, table) for t in texts_of(texts)]))
-        return pd.DataFrame({"chunk": texts["chunk"].iloc[0], "gram": found.view(np.int64)})
+        for batch in batches:
+            for number, texts in batch.groupby("chunk", sort=False):
+                yield pd.DataFrame({"chunk": number, "gram": different(texts_of(texts), table)[0].view(np.int64)})
 
     def score(texts: pa.Table, found: pa.Table) -> pa.Table:
         table, grams, values = folds(common), found["gram"].to_numpy(), found["log_p"].to_numpy()
         order = np.argsort(grams)
         grams, values = grams[order], values[order]
-        texts = texts.drop_columns([chunk])
         got = [bounds(values[np.searchsorted(grams, ngrams(t, table).view(np.int64))]) if t else (None, None) for t in texts["text"].to_pylist()]
+        texts = texts.drop_columns(spent)
         for k, name in enumerate(names):
             texts = texts.append_column(name, pa.array([g[k] for g in got], type=pa.float64()))
         return texts
 
-    grams = staged(rows.select(F.col(chunk).alias("chunk"), "text").groupBy("chunk").applyInPandas(different, "chunk bigint, gram bigint"))
+    # a chunk may be read by several tasks and batches
+    grams = staged(documents.select(F.col(chunk).alias("chunk"), "text").mapInPandas(find, "chunk bigint, gram bigint").distinct())
     p = looked_up(staged(grams.select("gram").distinct()), orders)
     known = grams.join(p, "gram").select("chunk", "gram", F.log(F.greatest("p", F.lit(1e-12))).alias("log_p"))
-    return rows.groupBy(chunk).cogroup(known.groupBy("chunk")).applyInArrow(score, schema)
+    return documents.groupBy(chunk).cogroup(known.groupBy("chunk")).applyInArrow(score, schema)
 
 
-def trusted_rows(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that labels of quality 1 name. Up to ``BROADCAST_IDS`` ids are sent to the texts; more of them meet the texts in a shuffle."""
+def marked(documents: DataFrame, labels: DataFrame, mark: str) -> DataFrame:
+    """``documents`` with ``mark``: whether labels of quality 1 name them. Up to ``BROADCAST_IDS`` ids are sent to the texts; more of them meet the texts in a shuffle."""
     known = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_known")).distinct()
     if known.count() <= BROADCAST_IDS:
         known = F.broadcast(known)
-    return documents.join(known, F.col("doc_id") == F.col("_known"), "left_semi")
+    return documents.join(known, F.col("doc_id") == F.col("_known"), "left").withColumn(mark, F.col("_known").isNotNull()).drop("_known")
 
 
 def limits(scores: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """``(lang, limit)`` from ``scores(lang, lower_bound)``: the smallest step that holds a share ``quantile`` of a language's rows.
+    """``(lang, limit)`` from ``scores(lang, lower_bound)``: the end of the first bin up to which a share ``quantile`` of a language's rows lies.
 
     The row of null language is the limit over all rows; a language of its own falls to it if it has no scores.
     """
-    bins = scores.where(F.col("lower_bound").isNotNull()).withColumn("bin", F.ceil(F.col("lower_bound") / STEP))
-    counts = bins.groupBy("lang", "bin").agg(F.count("*").alias("n"))
-    counts = staged(counts)
-    counts = counts.where(F.col("lang").isNotNull()).unionByName(counts.groupBy("bin").agg(F.sum("n").alias("n")).withColumn("lang", F.lit(None).cast("string")))
-    by = Window.partitionBy("lang")  # rows here are histogram bins, whose number the perplexities' range bounds
+    width = float(np.log1p(STEP))
+    bins = scores.where(F.col("lower_bound").isNotNull()).withColumn("bin", F.ceil(F.log("lower_bound") / width))
+    counts = staged(bins.groupBy("lang", "bin").agg(F.count("*").alias("n"), F.max("lower_bound").alias("top")))
+    counts = counts.where(F.col("lang").isNotNull()).unionByName(counts.groupBy("bin").agg(F.sum("n").alias("n"), F.max("top").alias("top")).withColumn("lang", F.lit(None).cast("string")))
+    by = Window.partitionBy("lang")  # rows here are histogram bins: perplexities up to 10**12 have fewer than 30,000
     upto = counts.withColumn("upto", F.sum("n").over(by.orderBy("bin"))).withColumn("all", F.sum("n").over(by))
-    return upto.where(F.col("upto") >= F.col("all") * quantile).groupBy("lang").agg((F.min("bin") * STEP * MARGIN).alias("limit"))
+    return upto.where(F.col("upto") >= F.col("all") * quantile).groupBy("lang").agg((F.min("top") * MARGIN).alias("limit"))
 
 
-def judged(documents: DataFrame, labels: DataFrame, names: list[str]) -> tuple[DataFrame, Column]:
-    """``documents`` with perplexity and lower bound as ``names``, and the limit of a row's language as an expression."""
+def judged(documents: DataFrame, labels: DataFrame, names: list[str], keep_text: bool) -> tuple[DataFrame, Column]:
+    """``documents`` with perplexity and lower bound as ``names``, staged, and the limit of a row's language as an expression."""
     bounded_batches(documents.sparkSession)
-    trusted = trusted_rows(documents.select("doc_id", "text", "lang"), labels)
+    chunk, mark = free_name(documents, "chunk"), free_name(documents, "trusted")
+    rows = marked(chunked(documents, chunk), labels, mark)
+    trusted = rows.where(mark).select("text")
     common = alphabet(trusted)
     orders = probabilities(counted(trusted, common))
-    own = with_perplexity(trusted, common, orders, ["perplexity", "lower_bound"]).select("lang", "lower_bound")
-    found = limits(own).collect()  # one row per language of trusted documents
+    scores = staged(with_perplexity(rows, chunk, common, orders, names, keep_text))
+    found = limits(scores.where(mark).select("lang", F.col(names[1]).alias("lower_bound"))).collect()  # one row per language of trusted documents
     by_lang = {r["lang"]: r["limit"] for r in found if r["lang"] is not None}
     overall = F.lit(next((r["limit"] for r in found if r["lang"] is None), float("inf")))
     limit = F.coalesce(F.create_map(*(F.lit(x) for kv in by_lang.items() for x in kv))[F.col("lang")], overall) if by_lang else overall
-    return with_perplexity(documents, common, orders, names), limit
+    return scores.drop(mark), limit
 
 
 def document_quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -238,16 +290,19 @@ def document_quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
     Trusted are the documents that ``labels.quality`` marks with 1. Empty and null texts have no perplexity and aren't
     kept. Without any trusted text there is no limit, and every text that isn't empty is kept. A null language, and
-    one without trusted documents, has the limit of all trusted documents.
+    one without trusted documents, has the limit of all trusted documents; a null id is never trusted. Repeated rows are
+    scored, and counted where trusted, as often as they come. Texts are read whole; a long one is looked up by itself. An
+    empty table gives no rows. Columns beyond doc_id, text and lang play no part, whatever their names.
     """
-    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang")
-    scores, limit = judged(rows, labels, ["perplexity", "lower_bound"])
+    rows = documents.select("doc_id", "text", "lang")
+    names = ["perplexity", "lower_bound"]
+    scores, limit = judged(rows, labels, names, keep_text=False)
     kept = F.coalesce(F.col("lower_bound") <= limit, F.lit(False))
-    return scores.select("doc_id", "lang", "perplexity", "lower_bound", limit.alias("limit"), kept.alias("kept"))
+    return scores.select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", *names, limit.alias("limit"), kept.alias("kept"))
 
 
 def without_poor(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """``documents`` without those that :func:`document_quality` doesn't keep; the columns stay as they are."""
+    """``documents`` without those that :func:`document_quality` doesn't keep; the columns and the other rows stay as they are."""
     names = [free_name(documents, "perplexity"), free_name(documents, "lower_bound")]
-    scores, limit = judged(documents, labels, names)
+    scores, limit = judged(documents, labels, names, keep_text=True)
     return scores.where(F.col(names[1]) <= limit).drop(*names)
