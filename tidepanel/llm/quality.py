@@ -45,7 +45,7 @@ PIECE = 1 << 18
 BROADCAST_IDS = 4_000_000
 """Label ids that may be broadcast (32 MB)."""
 WIDE = 0x110000
-CHUNK = 4 << 20
+CHUNK = 16 << 20
 """Bytes of text, about, whose n-grams are looked up together."""
 
 
@@ -226,9 +226,18 @@ def with_perplexity(documents: DataFrame, chunk: str, common: list[int], orders:
 
     def find(batches: Batches) -> Batches:
         table = folds(common)
+        held: dict[int, np.ndarray] = {}
+
+        def passed(numbers: list[int]) -> Batches:
+            for number in numbers:
+                yield pd.DataFrame({"chunk": number, "gram": held.pop(number).view(np.int64)})
+
         for batch in batches:
             for number, texts in batch.groupby("chunk", sort=False):
-                yield pd.DataFrame({"chunk": number, "gram": different(texts_of(texts), table)[0].view(np.int64)})
+                found = different(texts_of(texts), table)[0]
+                held[number] = np.union1d(held[number], found) if number in held else found
+            yield from passed(list(held)[:-1])  # rows come in the order of their file
+        yield from passed(list(held))
 
     def score(texts: pa.Table, found: pa.Table) -> pa.Table:
         table, grams, values = folds(common), found["gram"].to_numpy(), found["log_p"].to_numpy()
@@ -240,8 +249,8 @@ def with_perplexity(documents: DataFrame, chunk: str, common: list[int], orders:
             texts = texts.append_column(name, pa.array([g[k] for g in got], type=pa.float64()))
         return texts
 
-    # a chunk may be read by several tasks and batches
-    grams = staged(documents.select(F.col(chunk).alias("chunk"), "text").mapInPandas(find, "chunk bigint, gram bigint").distinct())
+    # a chunk that two tasks read has some n-grams twice, which does no harm
+    grams = staged(documents.select(F.col(chunk).alias("chunk"), "text").mapInPandas(find, "chunk bigint, gram bigint"))
     p = looked_up(staged(grams.select("gram").distinct()), orders)
     known = grams.join(p, "gram").select("chunk", "gram", F.log(F.greatest("p", F.lit(1e-12))).alias("log_p"))
     return documents.groupBy(chunk).cogroup(known.groupBy("chunk")).applyInArrow(score, schema)
