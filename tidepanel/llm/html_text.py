@@ -2,12 +2,14 @@
 
 A page is read once from left to right into flat blocks, the runs of text between block-level tags. A block's features
 are its words and its link density (share of words inside links), the same of its two neighbours, and whether the
-nearest telling ancestor is a place for the article or for page furniture. A decision tree, trained by MLlib on the
-small labelled table below, keeps or drops each block. Its rules become one Column expression, so blocks are
+nearest telling ancestor is a place for the article, for page furniture, or only has a name that hints at the latter. A
+decision tree, trained by MLlib on the small labelled table below, keeps or drops each block; on a mere hint, words and
+links of the block and its neighbours decide. Its rules become one Column expression, so blocks are
 classified in the JVM, page by page, without any shuffle.
 
-Broken markup is no error: tags that nothing closes end with the page, end tags without a start are passed over, and an
-unfinished tag or comment at the end of a page is no text.
+Broken markup is no error: tags that nothing closes end with the page, end tags without a start are passed over, a quote
+without its end is an ordinary sign, and an unfinished tag or comment at the end of a page is no text. A page is scanned
+in time proportional to its length, however broken.
 """
 
 from __future__ import annotations
@@ -24,10 +26,10 @@ from pyspark.sql import functions as F
 
 from tidepanel.llm.common import Batches
 
-FEATURES = ("words_before", "words", "words_after", "links_before", "links", "links_after", "inside", "outside")
+FEATURES = ("words_before", "words", "words_after", "links_before", "links", "links_after", "inside", "outside", "hinted")
 
-#: The labelled table: FEATURES of a block and 1 for main text. Written by hand after common page layouts.
-LABELLED = (
+#: The labelled table: FEATURES of a block but for the hint, and 1 for main text. Written by hand after common page layouts.
+PLACED = (
     # inside an article element or a container named for content
     (0, 8, 60, 0.0, 0.0, 0.0, 1, 0, 1), (8, 60, 45, 0.0, 0.0, 0.02, 1, 0, 1), (60, 45, 1, 0.0, 0.02, 0.0, 1, 0, 1),
     (45, 1, 2, 0.0, 0.0, 0.0, 1, 0, 1), (1, 2, 80, 0.0, 0.0, 0.0, 1, 0, 1), (2, 80, 0, 0.0, 0.1, 0.0, 1, 0, 1),
@@ -62,6 +64,18 @@ LABELLED = (
     (3, 45, 3, 1.0, 0.95, 1.0, 0, 0, 0), (1, 9, 5, 1.0, 0.0, 1.0, 0, 0, 0), (8, 5, 6, 0.0, 0.6, 0.0, 0, 0, 0),
 )
 
+#: The same for blocks whose place has a hinting name: words and links before, of and after the block, and the label.
+HINTED = (
+    (0, 700, 0, 0.0, 0.0, 0.0, 1), (0, 90, 0, 0.0, 0.0, 0.0, 1), (3, 70, 55, 0.3, 0.0, 0.0, 1), (70, 55, 40, 0.0, 0.05, 0.0, 1),
+    (40, 5, 60, 0.0, 0.0, 0.0, 1), (60, 3, 45, 0.0, 0.0, 0.0, 1), (90, 12, 80, 0.0, 0.0, 0.1, 1), (4, 8, 70, 0.0, 0.0, 0.0, 1),
+    (25, 20, 30, 0.0, 0.1, 0.0, 1), (60, 45, 0, 0.0, 0.0, 0.0, 1), (3, 150, 3, 1.0, 0.1, 1.0, 1), (30, 60, 5, 0.0, 0.0, 1.0, 1),
+    (35, 40, 18, 0.0, 0.0, 0.0, 1), (20, 200, 10, 0.0, 0.1, 0.0, 1), (8, 50, 2, 0.0, 0.0, 0.0, 1), (0, 6, 80, 0.0, 0.0, 0.0, 1),
+    (0, 1, 1, 0.0, 1.0, 1.0, 0), (1, 2, 2, 1.0, 1.0, 1.0, 0), (2, 4, 3, 1.0, 0.0, 1.0, 0), (3, 3, 3, 0.0, 0.0, 0.0, 0),
+    (12, 3, 2, 0.0, 0.0, 0.0, 0), (1, 9, 5, 1.0, 0.0, 1.0, 0), (8, 5, 6, 0.0, 0.6, 0.0, 0), (3, 45, 3, 1.0, 0.95, 1.0, 0),
+    (5, 7, 4, 0.0, 0.4, 0.0, 0), (6, 12, 4, 0.0, 0.0, 0.0, 0), (2, 14, 1, 0.0, 0.0, 0.0, 0), (60, 4, 2, 0.0, 1.0, 1.0, 0),
+)
+LABELLED = (*((*r[:8], 0, r[8]) for r in PLACED), *((*r[:6], 0, 0, 1, r[6]) for r in HINTED))
+
 UNSEEN = frozenset("script style noscript template head title svg math iframe object canvas audio video select textarea button datalist".split())
 #: Of these, the ones that hide the rest of a page if nothing closes them; other unclosed ones are passed over.
 SWALLOWING = frozenset("script style textarea noscript iframe template".split())
@@ -73,36 +87,109 @@ OUTSIDE_NAMES = frozenset(
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations "
     "comment comments disqus discussion replies reply respond breadcrumb breadcrumbs widget widgets search pagination pager copyright legal disclaimer toolbar".split()
 )
+OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 INSIDE_NAMES = frozenset("article content main post entry story articlebody maincontent".split())
+#: Words that only say what kind of box a name is of; beside them a furniture word speaks for the whole name.
+BOXES = frozenset(
+    "site page global top bottom left right primary secondary inner outer wrapper wrap container box bar block area section panel pane region list links link item items group grid row "
+    "column columns col body text title heading button buttons icon icons slot unit image posts articles stories news feed module component form input field thread tree count meta info "
+    "policy message desktop mobile sticky fixed small large".split()
+)
+#: Words that turn a name into a statement about a page's layout.
+MODIFIERS = frozenset("has have no not with without is are hide hidden show shows js".split())
 #: Places that an article element inside them doesn't end.
-LASTING = frozenset("comment comments disqus discussion replies reply respond related recommended recommendations sidebar aside nav footer form".split())
+LASTING = frozenset("comment comments disqus discussion replies reply respond related recommended recommendations sidebar aside nav footer".split())
+HEADINGS = frozenset(f"h{k}" for k in range(1, 7))
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)(?:>|\Z)", re.S)
-NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+STOP = re.compile(r"[\"'>]")
+PARTS = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 
 
-def names_of(attributes: str) -> set[str]:
-    found = set()
-    for values in NAMED.findall(attributes):
-        value = next((v for v in values if v), "")
-        found |= {p.lower() for p in re.split(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])", value) if p}
-    return found
+def says(token: str) -> tuple[str | None, bool]:
+    """What one name of a tag says of the place: inside, outside, hinted or nothing; and whether that lasts inside an article.
+
+    A name speaks as a whole: ``site-footer`` is outside, ``article-body`` inside, while ``has-sidebar`` is a remark on the
+    layout and ``legal-history`` no more than a hint.
+    """
+    parts = [p.lower() for p in PARTS.split(token) if p]
+    outside = [p for p in parts if p in OUTSIDE_NAMES]
+    inside = [p for p in parts if p in INSIDE_NAMES]
+    if any(p in MODIFIERS for p in parts):
+        return None, False
+    if outside:
+        if inside and set(outside) <= {"header", "masthead"}:  # the head of an article has its title
+            return None, False
+        known = all(p in OUTSIDE_NAMES or p in BOXES or p in INSIDE_NAMES for p in parts)
+        return ("outside", any(p in LASTING for p in outside)) if known else ("hinted", False)
+    return ("inside", False) if inside and all(p in INSIDE_NAMES or p in BOXES for p in parts) else (None, False)
+
+
+def names_say(tag: str, attributes: str) -> tuple[str | None, bool]:
+    """What the class, id and role of a tag say together. The id of a heading is an anchor and says nothing."""
+    found = []
+    for kind, *values in NAMED.findall(attributes):
+        value, kind = next((v for v in values if v), ""), kind.lower()
+        if kind == "role":
+            found += [("outside", False) if r in OUTSIDE_ROLES else (PLACES.get(r), False) for r in value.lower().split()]
+        elif kind != "id" or tag not in HEADINGS:
+            found += [says(t) for t in value.split()]
+    for place in ("outside", "inside", "hinted"):
+        if any(p == place for p, _ in found):
+            return place, any(lasts for p, lasts in found if p == place)
+    return None, False
 
 
 def place_of(tag: str, attributes: str) -> tuple[str | None, bool]:
     """Where a tag puts its content, if it tells, and whether that lasts inside an article element."""
-    names = names_of(attributes) if attributes and "=" in attributes else set()
-    if names & OUTSIDE_NAMES and tag not in ("body", "html", "main"):
-        return "outside", bool(names & LASTING)
+    place, lasts = names_say(tag, attributes) if "=" in attributes else (None, False)
+    if tag in ("body", "html"):
+        return None, False
+    if place == "outside" and tag != "main":
+        return place, lasts
     if tag in PLACES:
         return PLACES[tag], tag in LASTING
-    return ("inside", False) if names & INSIDE_NAMES and tag not in ("body", "html") else (None, False)
+    return place, lasts
+
+
+def tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """Start, end, whether it closes, name (empty for comments and declarations) and attributes of each tag, in one pass.
+
+    The consumer may send a later place to go on from.
+    """
+    at = 0
+    while (start := page.find("<", at)) >= 0:
+        at = start + 1
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            found = (start, len(page) if end < 0 else end + 3, False, "", "")
+        elif page.startswith(("<!", "<?"), start):
+            end = page.find(">", start)
+            found = (start, len(page) if end < 0 else end + 1, False, "", "")
+        else:
+            closing = page.startswith("/", at)
+            name = NAME.match(page, at + closing)
+            if not name:
+                continue
+            place = name.end()
+            while stop := STOP.search(page, place):
+                if stop[0] == ">":
+                    break
+                quote = page.find(stop[0], stop.end())
+                place = stop.end() if quote < 0 else quote + 1
+            end = stop.start() if stop else len(page)
+            found = (start, min(end + 1, len(page)), closing, name[0].lower(), page[name.end() : end])
+        later = yield found
+        at = max(found[1], later or 0)
 
 
-def blocks(page: str) -> Iterator[tuple[str, int, float, bool, bool]]:
-    """Text, words, link density and place of each block that has text, in page order."""
+def blocks(page: str) -> Iterator[tuple[str, int, float, bool, bool, bool]]:
+    """Text, words, link density and place (inside, outside, hinted) of each block that has text, in page order."""
     stack: list[tuple[str, str | None, bool]] = []  # open block-level tags: name, place from there on, whether it lasts
+    opened: dict[str, int] = {}
     parts: list[tuple[str, bool]] = []
+    endless: set[str] = set()  # tags that nothing closes any more
     links, at, out = 0, 0, []
 
     def flush() -> None:
@@ -113,45 +200,51 @@ def blocks(page: str) -> Iterator[tuple[str, int, float, bool, bool]]:
                 linked = sum(len(html.unescape(t).split()) for t, inside in parts if inside)
                 words = text.count(" ") + 1
                 place = stack[-1][1] if stack else None
-                out.append((text, words, min(1.0, linked / words), place == "inside", place == "outside"))
+                out.append((text, words, min(1.0, linked / words), *(place == p for p in ("inside", "outside", "hinted"))))
             parts = []
 
-    while at < len(page):
-        found = TAG.search(page, at)
-        parts.append((page[at : found.start() if found else len(page)], links > 0))
-        if not found:
-            break
-        at = found.end()
-        closing, tag = found[1], (found[2] or "").lower()
-        if not tag:
-            continue
+    reader = tags(page)
+    found = next(reader, None)
+    while found:
+        start, end, closing, tag, attributes = found
+        parts.append((page[at:start], links > 0))
+        at = end
         if tag in UNSEEN and not closing:
-            if not found[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-                if end:
-                    at = end.end()
-                elif tag in SWALLOWING:
-                    at = len(page)
-            continue
-        if tag == "a":
-            links = 0 if closing else 1
-        if tag in INLINE:
+            if not attributes.rstrip().endswith("/") and tag not in endless:
+                close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+                if close:
+                    at = close.end()
+                else:
+                    endless.add(tag)
+                    at = len(page) if tag in SWALLOWING else at
+        elif tag in INLINE:
+            if tag == "a":
+                links = 0 if closing else 1
             if tag == "br":
                 parts.append((" ", False))
-            continue
-        flush()
-        if closing:
-            if any(tag == s[0] for s in stack):
-                while stack.pop()[0] != tag:
-                    pass
-        elif tag not in VOID and tag not in ("p", "html", "body"):
-            inherited, lasts = (stack[-1][1], stack[-1][2]) if stack else (None, False)
-            place, lasting = place_of(tag, found[3])
-            if place == "inside" and inherited == "outside" and lasts:
-                place, lasting = inherited, lasts
-            if tag in ("header", "footer") and inherited == "inside" and not names_of(found[3]) & OUTSIDE_NAMES:
-                place = inherited if tag == "header" else place
-            stack.append((tag, *((place, lasting) if place else (inherited, lasts))))
+        elif tag:
+            flush()
+            if closing:
+                if opened.get(tag):
+                    while True:
+                        gone = stack.pop()[0]
+                        opened[gone] -= 1
+                        if gone == tag:
+                            break
+            elif tag not in VOID and tag not in ("p", "html", "body"):
+                inherited, lasts = (stack[-1][1], stack[-1][2]) if stack else (None, False)
+                place, lasting = place_of(tag, attributes)
+                if (place == "inside" and inherited == "outside" and lasts) or (place == "hinted" and inherited):
+                    place = None
+                if tag == "header" and inherited == "inside" and names_say(tag, attributes)[0] != "outside":
+                    place = None
+                stack.append((tag, *((place, lasting) if place else (inherited, lasts))))
+                opened[tag] = opened.get(tag, 0) + 1
+        try:
+            found = reader.send(at)
+        except StopIteration:
+            found = None
+    parts.append((page[at:], links > 0))
     flush()
     return iter(out)
 
@@ -177,9 +270,9 @@ def as_column(model: DecisionTreeClassificationModel, block: Column) -> Column:
 
 def block_rows(page: str | None) -> list[dict]:
     found = list(blocks(page)) if isinstance(page, str) else []
-    around = [("", 0, 0.0, False, False), *found, ("", 0, 0.0, False, False)]
+    around = [("", 0, 0.0, False, False, False), *found, ("", 0, 0.0, False, False, False)]
     return [
-        {"text": b[0], "words_before": float(a[1]), "words": float(b[1]), "words_after": float(c[1]), "links_before": a[2], "links": b[2], "links_after": c[2], "inside": float(b[3]), "outside": float(b[4])}
+        {"text": b[0], "words_before": float(a[1]), "words": float(b[1]), "words_after": float(c[1]), "links_before": a[2], "links": b[2], "links_after": c[2], "inside": float(b[3]), "outside": float(b[4]), "hinted": float(b[5])}
         for a, b, c in zip(around, around[1:], around[2:], strict=False)
     ]
 
@@ -187,8 +280,9 @@ def block_rows(page: str | None) -> list[dict]:
 def main_text(pages: DataFrame, column: str = "html") -> DataFrame:
     """``page_id``, ``url``, ``text`` and ``n_chars`` (its code points) of every page.
 
-    A page that is null, empty, or has no block that the tree keeps, has an empty text. Repeated rows give repeated
-    rows; other columns aren't read.
+    A page that is null, empty, or has no block that the tree keeps, has an empty text. Pages are read whole, of any
+    length, in time proportional to it. Repeated rows and ids give repeated rows, a null id stays null, and an empty table
+    gives no rows; other columns aren't read.
     """
     spark = pages.sparkSession
     block_type = "struct<text: string, " + ", ".join(f"{f}: double" for f in FEATURES) + ">"
