@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -108,6 +111,25 @@ def code_points(text: str) -> np.ndarray:
 
 Batches = Iterator[pd.DataFrame]
 
+
+def give_back() -> None:
+    """Return freed memory of a Python worker to the system; workers live on and serve other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library offers it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def giving_back(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``work`` of a task, which gives memory back at its end."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from work(batches)
+        give_back()
+
+    return run
+
+
 #: Fixed value: Spark's default.
 SPARK_BATCH_BYTES = "67108864b"
 BATCH_BYTES = "8m"
@@ -136,6 +158,5 @@ def with_scores(documents: DataFrame, names: list[str], begin: Callable[[], Call
             for name, values in zip(names, found, strict=True):
                 batch = batch.append_column(name, pa.array(values, type=pa.float64()))
             yield batch
-        pa.default_memory_pool().release_unused()  # workers live on and serve other stages
 
-    return documents.mapInArrow(run, schema)
+    return documents.mapInArrow(giving_back(run), schema)

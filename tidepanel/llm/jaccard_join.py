@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import Batches, bounded_batches, components, free_name, staged, texts_of
+from tidepanel.llm.common import Batches, bounded_batches, components, free_name, giving_back, staged, texts_of
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -104,7 +104,7 @@ def described(documents: DataFrame) -> DataFrame:
             yield batch[["doc_id", "text_key"]].assign(node=[node_of(s) for s in sets], sig=[signature(s).tobytes() for s in sets])
 
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.withColumn("text_key", F.xxhash64("text")).mapInPandas(describe, "doc_id bigint, text_key bigint, node bigint, sig binary")
+    return rows.withColumn("text_key", F.xxhash64("text")).mapInPandas(giving_back(describe), "doc_id bigint, text_key bigint, node bigint, sig binary")
 
 
 def next_paths(paths: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,7 +131,7 @@ def first_split(nodes: DataFrame) -> DataFrame:
                 rows, paths = next_paths(np.full(len(ids), run + 1, dtype=np.uint64), tokens)
                 yield pd.DataFrame({"path": paths.view(np.int64), "node": ids[rows]})
 
-    return nodes.select("node", "sig").mapInPandas(split, "path bigint, node bigint")
+    return nodes.select("node", "sig").mapInPandas(giving_back(split), "path bigint, node bigint")
 
 
 def split_again(rows: DataFrame) -> DataFrame:
@@ -143,7 +143,7 @@ def split_again(rows: DataFrame) -> DataFrame:
                 at, paths = next_paths(batch["path"].to_numpy().view(np.uint64), tokens_of(batch["sig"]))
                 yield pd.DataFrame({"path": paths.view(np.int64), "node": batch["node"].to_numpy()[at]})
 
-    return rows.select("path", "node", "sig").mapInPandas(split, "path bigint, node bigint")
+    return rows.select("path", "node", "sig").mapInPandas(giving_back(split), "path bigint, node bigint")
 
 
 def forest(linked: np.ndarray) -> list[tuple[int, int]]:
@@ -185,7 +185,7 @@ def grouped_runs(batches: Batches, keys: list[str]) -> Iterator[pd.DataFrame]:
 
 def in_groups(rows: DataFrame, keys: list[str], work: Callable[[Iterator[pd.DataFrame]], Batches], schema: str) -> DataFrame:
     """Python work on whole groups, which are brought together by their keys and read as a stream."""
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(lambda batches: work(g for g in grouped_runs(batches, keys) if len(g)), schema)
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(giving_back(lambda batches: work(g for g in grouped_runs(batches, keys) if len(g))), schema)
 
 
 def cells(rows: DataFrame, key: str, count: str, block: int, place: str) -> DataFrame:

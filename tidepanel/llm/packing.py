@@ -15,7 +15,8 @@ from __future__ import annotations
 import itertools
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -23,8 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from tidepanel.llm.bpe import Numbers, encode_words, read_vocabulary, stretches
-from tidepanel.llm.common import Batches, bounded_batches, staged
+from tidepanel.llm.bpe import Numbers, Vocabulary, encode_words, read_vocabulary, stretches
+from tidepanel.llm.common import Batches, bounded_batches, giving_back, staged
 
 LENGTH = 2048
 GROUP = 400_000
@@ -34,9 +35,9 @@ PLAIN_LETTERS = "a-zß-öø-ʯⱥⱦ"
 #: Fixed value: the split pattern of the word-end vocabulary, for lower-case Latin text.
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|[{PLAIN_LETTERS}]+|[0-9]|[^\s0-9{PLAIN_LETTERS}]+"
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-STRETCH = 8_000_000
+STRETCH = 4_000_000
 """Code points of texts that are encoded together."""
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 """Words that a task may remember; beyond it, the older half goes. It bounds memory and changes no result."""
 
 
@@ -50,8 +51,8 @@ class WordEncoder:
 
     plain = re.compile(r"[ \t\n\r!-~À-ɏ]*")
 
-    def __init__(self, path: str, library: Tokenizer) -> None:
-        self.v, self.library = read_vocabulary(path) if isinstance(path, str) else path, library
+    def __init__(self, vocabulary: Vocabulary, library: Callable[[], Tokenizer]) -> None:
+        self.v, self.open_library = vocabulary, library
         self.words = re.compile(WORDS).findall
         self.numbers: Numbers = Numbers()
         self.ids: list[bytes] = []
@@ -76,6 +77,11 @@ class WordEncoder:
                 out.append(number(" " + part))
         return out
 
+    @cached_property
+    def library(self) -> Tokenizer:
+        """Opened for the first part that needs it."""
+        return self.open_library()
+
     def learn(self) -> None:
         new = list(itertools.islice(self.numbers, len(self.ids), None))
         ids, sizes = encode_words(self.v, [b"" if w[0] == " " else w.encode() for w in new])
@@ -106,11 +112,11 @@ def pieces(documents: DataFrame, path: str, length: int = LENGTH, separator: int
     library = Tokenizer.from_file(path)
     library.no_padding()
     library.no_truncation()
-    shared = documents.sparkSession.sparkContext.broadcast((read_vocabulary(path), library.to_str()))  # bounded by the vocabulary file
+    context = documents.sparkSession.sparkContext  # both are bounded by the vocabulary file
+    shared, spec = context.broadcast(read_vocabulary(path)), context.broadcast(library.to_str())
 
     def cut(batches: Batches) -> Batches:
-        vocabulary, spec = shared.value
-        encoder = WordEncoder(vocabulary, Tokenizer.from_str(spec))
+        encoder = WordEncoder(shared.value, lambda: Tokenizer.from_str(spec.value))
         end = np.array([separator], dtype="<u4").tobytes()
         for batch in batches:
             for rows, texts in stretches(batch, bound=STRETCH):
@@ -122,7 +128,7 @@ def pieces(documents: DataFrame, path: str, length: int = LENGTH, separator: int
                         out.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
                 yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
 
-    return documents.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInPandas(cut, PIECES)
+    return documents.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInPandas(giving_back(cut), PIECES)
 
 
 def sum_of_squares(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

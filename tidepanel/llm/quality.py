@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tidepanel.llm.common import Batches, bounded_batches, code_points, free_name, staged, texts_of
+from tidepanel.llm.common import Batches, bounded_batches, code_points, free_name, give_back, giving_back, staged, texts_of
 
 ORDER = 4
 SYMBOLS = 1 << 16
@@ -52,14 +52,14 @@ CHUNK = 16 << 20
 @cache
 def kinds() -> np.ndarray:
     """Class of each code point that isn't in an alphabet."""
-    return np.array([CAPITAL if c.isupper() else DIGIT if c.isdigit() else RARE for c in map(chr, range(WIDE))] + [RARE], dtype=np.uint64)
+    return np.array([CAPITAL if c.isupper() else DIGIT if c.isdigit() else RARE for c in map(chr, range(WIDE))] + [RARE], dtype=np.uint16)
 
 
 def folds(common: list[int]) -> np.ndarray:
     """Class of each code point. Beyond the numbers there are, the rarest characters share the upper half of them."""
     table, room = kinds().copy(), SYMBOLS - RARE - 1
-    rank = np.arange(len(common), dtype=np.uint64)
-    table[common] = RARE + 1 + np.where(rank < room, rank, room // 2 + rank % (room // 2))
+    rank = np.arange(len(common))
+    table[common] = (RARE + 1 + np.where(rank < room, rank, room // 2 + rank % (room // 2))).astype(np.uint16)
     return table
 
 
@@ -69,7 +69,7 @@ def points_of(text: str) -> np.ndarray:
 
 def ngrams(text: str, table: np.ndarray) -> np.ndarray:
     """Number of the n-gram that ends at each character; the text's beginning is filled up with start signs."""
-    symbols = np.concatenate((np.full(ORDER - 1, START, dtype=np.uint64), table[points_of(text)]))
+    symbols = np.concatenate((np.full(ORDER - 1, START, dtype=np.uint64), table[points_of(text)].astype(np.uint64)))
     n, out = len(symbols) - ORDER + 1, np.zeros(len(symbols) - ORDER + 1, dtype=np.uint64)
     for k in range(ORDER):
         out = out * np.uint64(SYMBOLS) + symbols[k : k + n]
@@ -125,7 +125,7 @@ def alphabet(trusted: DataFrame) -> list[int]:
         found = np.flatnonzero(totals)
         yield pd.DataFrame({"point": found, "n": totals[found]})
 
-    counts = trusted.select("text").mapInPandas(count, "point int, n bigint").groupBy("point").agg(F.sum("n").alias("n"))
+    counts = trusted.select("text").mapInPandas(giving_back(count), "point int, n bigint").groupBy("point").agg(F.sum("n").alias("n"))
     letters = F.expr("decode(unhex(lpad(hex(point), 8, '0')), 'UTF-32')")
     counts = counts.where((F.col("point") < WIDE) & (F.col("n") > 1)).withColumn("c", letters)
     plain = counts.where((F.col("c") == F.lower("c")) & ~F.col("c").rlike(r"^\d$"))
@@ -143,7 +143,7 @@ def counted(trusted: DataFrame, common: list[int]) -> DataFrame:
                 grams, counts = different(texts_of(batch), table)
                 yield pd.DataFrame({"gram": grams.view(np.int64), "n": counts})
 
-    return trusted.select("text").mapInPandas(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    return trusted.select("text").mapInPandas(giving_back(count), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -247,10 +247,11 @@ def with_perplexity(documents: DataFrame, chunk: str, common: list[int], orders:
         texts = texts.drop_columns(spent)
         for k, name in enumerate(names):
             texts = texts.append_column(name, pa.array([g[k] for g in got], type=pa.float64()))
+        give_back()
         return texts
 
     # a chunk that two tasks read has some n-grams twice, which does no harm
-    grams = staged(documents.select(F.col(chunk).alias("chunk"), "text").mapInPandas(find, "chunk bigint, gram bigint"))
+    grams = staged(documents.select(F.col(chunk).alias("chunk"), "text").mapInPandas(giving_back(find), "chunk bigint, gram bigint"))
     p = looked_up(staged(grams.select("gram").distinct()), orders)
     known = grams.join(p, "gram").select("chunk", "gram", F.log(F.greatest("p", F.lit(1e-12))).alias("log_p"))
     return documents.groupBy(chunk).cogroup(known.groupBy("chunk")).applyInArrow(score, schema)

@@ -20,7 +20,7 @@ from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import Batches, bounded_batches, code_points, free_name, labelled_sample, staged, texts_of, with_scores
+from tidepanel.llm.common import Batches, bounded_batches, code_points, free_name, giving_back, labelled_sample, staged, texts_of, with_scores
 
 ORDERS = (3, 4, 5)
 BITS = 22
@@ -69,14 +69,12 @@ def present(text: str, lookup: np.ndarray) -> np.ndarray:
 
 def slot_counts(batches: Batches) -> Batches:
     """How many toxic and other texts of a task have each slot."""
-    counts = np.zeros((2, 1 << BITS), dtype=np.int32)
     for batch in batches:
-        for text, label in zip(texts_of(batch), batch["label"].to_numpy(), strict=True):
-            counts[int(label), np.unique(hashed_ngrams(text))] += 1
-    slots = np.flatnonzero(counts.any(axis=0))
-    for at in range(0, len(slots), 100_000):
-        part = slots[at : at + 100_000]
-        yield pd.DataFrame({"slot": part, "toxic": counts[1, part], "other": counts[0, part]})
+        found = [np.unique(hashed_ngrams(t)) for t in texts_of(batch)]
+        labels = batch["label"].to_numpy().astype(int)
+        sides = [np.unique(np.concatenate([np.zeros(0, np.int64), *(f for f, x in zip(found, labels, strict=True) if x == label)]), return_counts=True) for label in (0, 1)]
+        for name, (slots, n) in zip(("other", "toxic"), sides, strict=True):
+            yield pd.DataFrame({"slot": slots, "toxic": 0, "other": 0} | {name: n})
 
 
 def fit(training: DataFrame) -> Model:
@@ -88,7 +86,7 @@ def fit(training: DataFrame) -> Model:
     if not toxic or not other:
         share = (toxic + 0.5) / (toxic + other + 1)
         return Model(np.zeros(0, np.int64), np.zeros(0), np.zeros(0), float(np.log(share / (1 - share))))
-    counts = training.mapInPandas(slot_counts, "slot int, toxic int, other int").groupBy("slot").agg(F.sum("toxic").alias("p"), F.sum("other").alias("q"))
+    counts = training.mapInPandas(giving_back(slot_counts), "slot int, toxic int, other int").groupBy("slot").agg(F.sum("toxic").alias("p"), F.sum("other").alias("q"))
     counts = staged(counts.where(F.col("p") + F.col("q") >= LEAST_TEXTS))
     totals = counts.agg(F.sum(F.col("p") + SMOOTHING).alias("p"), F.sum(F.col("q") + SMOOTHING).alias("q")).first()
     all_rows = float(toxic + other)
@@ -112,7 +110,7 @@ def fit(training: DataFrame) -> Model:
     width = len(ratios)
     # vectors of the bounded training sample alone are built row by row
     to_vector = F.udf(lambda at, ratio: Vectors.sparse(width, at, ratio), VectorUDT())
-    vectors = training.mapInPandas(features, "label double, at array<int>, ratio array<double>").select("label", to_vector("at", "ratio").alias("features"))
+    vectors = training.mapInPandas(giving_back(features), "label double, at array<int>, ratio array<double>").select("label", to_vector("at", "ratio").alias("features"))
     fitted = LogisticRegression(regParam=PENALTY, standardization=False, maxIter=100).fit(staged(vectors))
     return Model(model.slots, ratios, fitted.coefficients.toArray(), float(fitted.intercept))
 
