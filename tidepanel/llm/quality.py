@@ -199,29 +199,34 @@ def bounds(values: np.ndarray) -> tuple[float, float]:
     return float(np.exp(mean)), float(np.exp(mean - SIGMAS * error))
 
 
-def chunked(documents: DataFrame, chunk: str) -> DataFrame:
-    """``documents`` with the number of their chunk: about ``CHUNK`` bytes of rows that follow each other in a file.
+def placed(documents: DataFrame, file: str, row: str) -> DataFrame:
+    """``documents`` with the place of each row as ``file`` (a hash) and ``row``, the same whenever they are read.
 
-    The place in a file is the same whenever it is read, so no exchange is needed to find a chunk's n-grams. Rows that
-    come from no file are staged first and take their place there. A long text is a chunk of its own.
+    Rows that come from no file are staged first and take their place there.
     """
-    size = documents.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
-    rows = max(1, int(CHUNK * size["n"] / max(size["bytes"] or 0, 1)))
     try:
         place = documents.metadataColumn("_metadata")
         documents.select(place["row_index"])
-        file, row = F.xxhash64(place["file_path"]), place["row_index"]
+        return documents.withColumns({file: F.xxhash64(place["file_path"]), row: place["row_index"]})
     except AnalysisException:
-        documents = staged(documents)
-        file, row = F.lit(0).cast("bigint"), F.monotonically_increasing_id()
+        return staged(documents).withColumns({file: F.lit(0).cast("bigint"), row: F.monotonically_increasing_id()})
+
+
+def chunked(rows: DataFrame, file: str, row: str, chunk: str) -> DataFrame:
+    """Placed rows with the number of their chunk: about ``CHUNK`` bytes of rows that follow each other in a file.
+
+    As places stay, no exchange is needed to find a chunk's n-grams. A long text is a chunk of its own.
+    """
+    size = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    run = max(1, int(CHUNK * size["n"] / max(size["bytes"] or 0, 1)))
     alone = F.coalesce(F.octet_length("text") > CHUNK // 16, F.lit(False))
-    part = F.when(alone, -1 - row).otherwise(F.floor(row / rows))
-    return documents.withColumn(chunk, F.xxhash64(file, part))
+    part = F.when(alone, -1 - F.col(row)).otherwise(F.floor(F.col(row) / run))
+    return rows.withColumn(chunk, F.xxhash64(file, part))
 
 
-def with_perplexity(documents: DataFrame, chunk: str, common: list[int], orders: list[tuple[DataFrame, DataFrame]], names: list[str], keep_text: bool) -> DataFrame:
-    """``documents`` of :func:`chunked` with the perplexity of each whole text and its lower bound as ``names``; null for empty and null texts."""
-    spent = [chunk] if keep_text else [chunk, "text"]
+def with_perplexity(documents: DataFrame, chunk: str, common: list[int], orders: list[tuple[DataFrame, DataFrame]], names: list[str]) -> DataFrame:
+    """Rows of :func:`chunked`, but for text and chunk, with the perplexity of each whole text and its lower bound as ``names``; null for empty and null texts."""
+    spent = [chunk, "text"]
     schema = StructType([*(f for f in documents.schema.fields if f.name not in spent), *(StructField(x, DoubleType()) for x in names)])
 
     def find(batches: Batches) -> Batches:
@@ -279,20 +284,19 @@ def limits(scores: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     return upto.where(F.col("upto") >= F.col("all") * quantile).groupBy("lang").agg((F.min("top") * MARGIN).alias("limit"))
 
 
-def judged(documents: DataFrame, labels: DataFrame, names: list[str], keep_text: bool) -> tuple[DataFrame, Column]:
-    """``documents`` with perplexity and lower bound as ``names``, staged, and the limit of a row's language as an expression."""
-    bounded_batches(documents.sparkSession)
-    chunk, mark = free_name(documents, "chunk"), free_name(documents, "trusted")
-    rows = marked(chunked(documents, chunk), labels, mark)
-    trusted = rows.where(mark).select("text")
+def judged(rows: DataFrame, labels: DataFrame) -> tuple[DataFrame, Column]:
+    """Placed ``rows(doc_id, text, lang, file, row)`` with ``perplexity`` and ``lower_bound`` instead of the text, staged, and the limit of a row's language as an expression."""
+    bounded_batches(rows.sparkSession)
+    rows = marked(chunked(rows, "file", "row", "chunk"), labels, "trusted")
+    trusted = rows.where("trusted").select("text")
     common = alphabet(trusted)
     orders = probabilities(counted(trusted, common))
-    scores = staged(with_perplexity(rows, chunk, common, orders, names, keep_text))
-    found = limits(scores.where(mark).select("lang", F.col(names[1]).alias("lower_bound"))).collect()  # one row per language of trusted documents
+    scores = staged(with_perplexity(rows, "chunk", common, orders, ["perplexity", "lower_bound"]))
+    found = limits(scores.where("trusted").select("lang", "lower_bound")).collect()  # one row per language of trusted documents
     by_lang = {r["lang"]: r["limit"] for r in found if r["lang"] is not None}
     overall = F.lit(next((r["limit"] for r in found if r["lang"] is None), float("inf")))
     limit = F.coalesce(F.create_map(*(F.lit(x) for kv in by_lang.items() for x in kv))[F.col("lang")], overall) if by_lang else overall
-    return scores.drop(mark), limit
+    return scores.drop("trusted"), limit
 
 
 def document_quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -304,15 +308,19 @@ def document_quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
     scored, and counted where trusted, as often as they come. Texts are read whole; a long one is looked up by itself. An
     empty table gives no rows. Columns beyond doc_id, text and lang play no part, whatever their names.
     """
-    rows = documents.select("doc_id", "text", "lang")
-    names = ["perplexity", "lower_bound"]
-    scores, limit = judged(rows, labels, names, keep_text=False)
+    scores, limit = judged(placed(documents, "file", "row").select("doc_id", "text", "lang", "file", "row"), labels)
     kept = F.coalesce(F.col("lower_bound") <= limit, F.lit(False))
-    return scores.select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", *names, limit.alias("limit"), kept.alias("kept"))
+    return scores.select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", "perplexity", "lower_bound", limit.alias("limit"), kept.alias("kept"))
 
 
 def without_poor(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """``documents`` without those that :func:`document_quality` doesn't keep; the columns and the other rows stay as they are."""
-    names = [free_name(documents, "perplexity"), free_name(documents, "lower_bound")]
-    scores, limit = judged(documents, labels, names, keep_text=True)
-    return scores.where(F.col(names[1]) <= limit).drop(*names)
+    """``documents`` without those that :func:`document_quality` doesn't keep; the columns and the other rows stay as they are.
+
+    Rows that go are known by their place: up to ``BROADCAST_IDS`` places are sent to the texts, more meet them in a shuffle.
+    """
+    file, row = free_name(documents, "file"), free_name(documents, "row")
+    rows = placed(documents, file, row)
+    scores, limit = judged(rows.select("doc_id", "text", "lang", F.col(file).alias("file"), F.col(row).alias("row")), labels)
+    poor = scores.where(~F.coalesce(F.col("lower_bound") <= limit, F.lit(False))).select(F.col("file").alias(file), F.col("row").alias(row))
+    poor = F.broadcast(poor) if poor.count() <= BROADCAST_IDS else poor
+    return rows.join(poor, [file, row], "left_anti").select(documents.columns)
