@@ -237,6 +237,35 @@ def test_granger_finds_the_driver(spark):
     assert p[1] < 1e-6 and q[1] > 0.001
 
 
+def test_granger_equals_plain_least_squares(spark):
+    """Series of several lengths, too short ones, gaps, a constant driver and an exact response; every lag by brute force."""
+    import datetime as dt
+
+    rng = np.random.default_rng(4)
+    series = {name: (rng.normal(size=n).cumsum() + 20, rng.normal(size=n).cumsum() + 5) for name, n in {"a": 200, "b": 41, "c": 12, "d": 4, "e": 1}.items()}
+    series["flat"] = (np.full(60, 3.0), rng.normal(size=60))
+    line = rng.normal(size=80)
+    series["exact"] = (line, np.concatenate([[0.0], line[:-1]]))
+    rows = [("r", s, dt.date(2020, 1, 1) + dt.timedelta(days=2 * i), float(x), None if s == "a" and i % 17 == 3 else float(y)) for s, (xs, ys) in series.items() for i, (x, y) in enumerate(zip(xs, ys))]
+    df = spark.createDataFrame(rows, "region string, station string, date date, x double, y double").repartition(5)
+    got = {(r["station"], r["lag"]): (r["n_rows"], r["f_stat"]) for r in causality.granger(df, "x", "y", 6).collect()}
+    want = {}
+    for s in series:
+        pts = [(x, y) for _, name, _, x, y in rows if name == s and y is not None]
+        x, y = np.array([v[0] for v in pts]), np.array([v[1] for v in pts])
+        for p in range(1, 7):
+            n = len(pts) - p
+            if n - 2 * p - 1 < 1 or s == "exact":
+                continue
+            lagged = lambda v: [v[p - k : len(v) - k] for k in range(1, p + 1)]
+            small = np.column_stack([np.ones(n), *lagged(y)])
+            rss = [float(((y[p:] - m @ np.linalg.lstsq(m, y[p:], rcond=None)[0]) ** 2).sum()) for m in (small, np.column_stack([small, *lagged(x)]))]
+            want[s, p] = (n, (rss[0] - rss[1]) / p / (rss[1] / (n - 2 * p - 1)))
+    assert set(got) == set(want)
+    assert all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1], rel=1e-6, abs=1e-9) for k in want)
+    assert causality.granger(df.limit(0), "x", "y", 3).count() == 0
+
+
 def test_k_scan_prefers_the_true_k(spark):
     rng = np.random.default_rng(3)
     pts = np.vstack([rng.normal(c, 0.1, (40, 2)) for c in ((0, 0), (5, 0), (0, 5))])

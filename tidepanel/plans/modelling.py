@@ -499,6 +499,35 @@ def predictive_lags(spark, d):
     return tidy(out)
 
 
+LAG_VARIABLES = ", ".join(["1.0", "y", *[f"lag({v}, {k}) OVER w" for v in "yx" for k in range(1, causality.MAX_LAG + 1)]])
+
+
+@query(
+    "predictive_lag_stats",
+    f"""WITH RECURSIVE {DW_SQL},
+        c AS (SELECT region, station, date, water_temp - avg(water_temp) OVER (PARTITION BY region, station) AS y, air_temp - avg(air_temp) OVER (PARTITION BY region, station) AS x
+              FROM dw WHERE water_temp IS NOT NULL AND air_temp IS NOT NULL),
+        z AS (SELECT region, station, least(row_number() OVER w, 15) AS b, [{LAG_VARIABLES}] AS v FROM c WINDOW w AS (PARTITION BY region, station ORDER BY date)),
+        m AS (SELECT region, station, b, i, j, sum(v[i] * v[j]) AS v FROM z, range(1, 31) r(i), range(1, 31) s(j) WHERE i <= j GROUP BY ALL),
+        o AS (SELECT i AS id, CASE WHEN i = 1 THEN 0 WHEN i = 2 THEN 99 ELSE i - 2 END AS e, CASE WHEN i <= 2 THEN 0 ELSE (i - 3) % 14 + 1 END AS delay FROM range(1, 31) r(i)),
+        a AS (SELECT region, station, p, least(o.e, q.e) AS i, greatest(o.e, q.e) AS j, sum(m.v) AS v FROM m JOIN o ON o.id = m.i JOIN o q ON q.id = m.j, range(1, 15) r(p)
+              WHERE b > p AND o.delay <= p AND q.delay <= p GROUP BY ALL),
+        g AS (SELECT -1 AS step, region, station, p, i, j, v FROM a UNION ALL SELECT -1, region, station, p, j, i, v FROM a WHERE i <> j),
+        s AS (SELECT * FROM g UNION ALL
+              SELECT step + 1, region, station, p, i, j, CASE WHEN piv <> 0 THEN v - along * down / piv ELSE v END
+              FROM (SELECT *, max(CASE WHEN i = step + 1 THEN v END) OVER (PARTITION BY region, station, p, j) AS along,
+                    max(CASE WHEN j = step + 1 THEN v END) OVER (PARTITION BY region, station, p, i) AS down,
+                    max(CASE WHEN i = step + 1 AND j = step + 1 THEN v END) OVER (PARTITION BY region, station, p) AS piv FROM s WHERE step < 28)
+              WHERE i > step + 1 AND j > step + 1),
+        f AS (SELECT region, station, p, max(v) FILTER (WHERE step = 14) AS own, max(v) FILTER (WHERE step = 28) AS rest FROM s WHERE i = 99 AND j = 99 GROUP BY ALL),
+        n AS (SELECT region, station, count(*) AS n FROM c GROUP BY ALL)
+        SELECT region, station, p AS lag, n - p AS n_rows, round((own - rest) / p / (rest / (n - 3 * p - 1)), 6) AS f_stat FROM f JOIN n USING (region, station) WHERE n - 3 * p >= 2""",
+)
+def predictive_lag_stats(spark, d):
+    """F of every lag; the SQL side eliminates the variables of the sums of products one by one."""
+    return tidy(causality.granger(daily_water(spark, d), "air_temp", "water_temp").drop("p_value"))
+
+
 @query("predictive_lags_events")
 def predictive_lags_events(spark, d):
     return tidy(causality.granger(event_days(spark, d), "driver", "response", keys=["station"]))
