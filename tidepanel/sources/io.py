@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
+from urllib.parse import quote
 
+import pandas as pd
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,51 +71,84 @@ def file_stem(path: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(?i)\.csv$", "")
 
 
-def discover(spark: SparkSession, root: str) -> DataFrame:
-    """Every station file below ``root`` with its header: path, region, station, file_type, header.
+#: Stores that an executor opens by itself; files of others are read through Spark's own reader.
+OPENED = ("", "file", "hdfs")
+#: Bytes of the first read of a file; a longer first line takes further reads.
+HEAD_BYTES = 4096
+
+
+def first_line(stream) -> str | None:
+    """The first line of a byte stream, read no further than needed; None if the stream is empty."""
+    got = bytearray()
+    while part := stream.read(HEAD_BYTES):
+        got += part
+        ends = [i for i in (got.find(b"\n"), got.find(b"\r")) if i >= 0]
+        if ends:
+            return bytes(got[: min(ends)]).removeprefix(b"\xef\xbb\xbf").decode("utf-8", "replace")
+    return bytes(got).removeprefix(b"\xef\xbb\xbf").decode("utf-8", "replace") if got else None
+
+
+def _first_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        lines = []
+        for path in pdf["path"]:
+            if path.startswith("file:") or "://" not in path:
+                fs, name = pyarrow.fs.LocalFileSystem(), path.removeprefix("file:")
+            else:
+                fs, name = pyarrow.fs.FileSystem.from_uri(quote(path, safe=":/@"))
+            with fs.open_input_file(name) as stream:
+                lines.append(first_line(stream))
+        yield pd.DataFrame({"path": pdf["path"], "header": pd.Series(lines, dtype=object)})
+
 
-    The first line is taken on the executors from the split that starts at byte 0.
+def headers(spark: SparkSession, root: str, by_range: bool | None = None) -> DataFrame:
+    """``path, header`` of every CSV file below ``root``; files without a line are left out.
+
+    The executors read the first few kilobytes of a file, whatever its size. ``by_range=False`` takes the first lines from a
+    scan of the files instead; without a choice that is done for stores whose settings only Spark knows (object stores).
     """
+    if by_range is None:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        by_range = (target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getUri().getScheme() or "") in OPENED
+    options = {"recursiveFileLookup": True, "pathGlobFilter": "*.[cC][sS][vV]"}
+    if by_range:
+        paths = spark.read.format("binaryFile").options(**options).load(root).select("path")
+        return paths.mapInPandas(_first_lines, "path string, header string").filter(F.col("header").isNotNull())
     lines = (
-        spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.[cC][sS][vV]")
-        .text(root)
-        .select(
-            F.col("value"),
-            F.col("_metadata.file_path").alias("path"),
-            F.col("_metadata.file_block_start").alias("_start"),
-        )
+        spark.read.options(**options).text(root)
+        .select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_start"))
         .filter(F.col("_start") == 0)
         .withColumn("_at", F.monotonically_increasing_id())
     )
-    heads = lines.groupBy("path").agg(F.min_by("value", "_at").alias("header"))
-    return heads.withColumns(classify_stem(file_stem(F.col("path")))).filter(F.col("file_type").isNotNull())
+    return lines.groupBy("path").agg(F.min_by("value", "_at").alias("header"))
+
+
+def discover(spark: SparkSession, root: str) -> DataFrame:
+    """Every station file below ``root`` with its header: path, region, station, file_type, header."""
+    found = headers(spark, root)
+    return found.withColumns(classify_stem(file_stem(F.col("path")))).filter(F.col("file_type").isNotNull())
 
 
 def read_station_files(spark: SparkSession, root: str, file_type: str) -> DataFrame:
     """All files of a class as one table of text columns.
 
-    One scan per distinct header, united by name; names are stripped and an absent cell is ''.
+    One scan per distinct header, united by name; names are stripped and an absent cell is ''. The driver
+    holds one path per file, as Spark's own listing of them does.
     """
-    groups = (
-        discover(spark, root)
-        .filter(F.col("file_type") == file_type)
-        .groupBy("header")
-        .agg(F.sort_array(F.collect_list("path")).alias("paths"))
-        .orderBy(F.col("paths")[0])
-        .collect()
-    )
+    groups: dict[str, list[str]] = {}
+    for row in discover(spark, root).filter(F.col("file_type") == file_type).select("path", "header").orderBy("path").toLocalIterator():
+        groups.setdefault(row["header"], []).append(row["path"])
     if not groups:
         raise ValueError(f"no {file_type} files below {root}")
     parts, order = [], []
-    for group in groups:
-        names = [n.strip().strip('"').strip() for n in group["header"].split(",")]
+    for header, paths in groups.items():
+        names = [n.strip().strip('"').strip() for n in header.split(",")]
         kept = [n for n in dict.fromkeys(names) if n]
         order += [n for n in kept if n not in order]
         schema = T.StructType(
             [T.StructField(n if n and names.index(n) == i else f"_unused{i}", T.StringType()) for i, n in enumerate(names)]
         )
-        part = spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(group["paths"])
+        part = spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(paths)
         parts.append(part.select("*", F.col("_metadata.file_path").alias("_path")).select("_path", *kept))
     united = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     where = classify_stem(file_stem(F.col("_path")))
