@@ -273,3 +273,27 @@ def test_k_scan_prefers_the_true_k(spark):
     scan = clusters.k_scan(clusters.z_vectors(df, ["a", "b"]), range(2, 6))
     assert clusters.best_k(scan) == 3
     assert [r["inertia_drop"] is None for r in scan.orderBy("k").collect()] == [True, False, False, False]
+
+
+def test_kmeans_keeps_the_best_of_many_starts(spark):
+    """Against plain rounds from each start in numpy; one far point, copies, and fewer different points than centres."""
+    rng = np.random.default_rng(8)
+    pts = np.vstack([rng.normal(c, 0.4, (n, 2)) for c, n in (((0, 0), 90), ((3, 0), 10), ((0, 3), 25), ((3.5, 0.5), 6))] + [[[50.0, 50.0]], np.zeros((20, 2))])
+    df = clusters.array_vectors(spark.createDataFrame([(p.tolist(),) for p in pts], "v array<double>").repartition(4), "v")
+    got = clusters.fit_many(df, [2, 4], starts=8, seed=1)
+    hashed = np.array([r["v"] for r in df.orderBy(F.xxhash64("v"), "v").collect()])
+    for k, model in got.items():
+        costs = []
+        for i in range(8):
+            c = clusters._first_centres(hashed, k, np.random.default_rng((1, k, i)))
+            for _ in range(200):
+                at = ((pts[:, None] - c[None]) ** 2).sum(-1).argmin(1)
+                c = np.array([pts[at == j].mean(0) if (at == j).any() else c[j] for j in range(k)])
+            costs.append(((pts - c[at]) ** 2).sum())
+        assert model.cost == pytest.approx(min(costs), rel=1e-9) and max(costs) >= min(costs)
+        near = model.transform(df).collect()
+        assert all(r["cluster"] == ((np.array(r["v"]) - model.centres) ** 2).sum(-1).argmin() for r in near)
+    same = clusters.array_vectors(spark.createDataFrame([([1.0, 2.0],)] * 5, "v array<double>"), "v")
+    assert clusters.fit_kmeans(same, 3, starts=2).cost == 0
+    with pytest.raises(ValueError, match="no vectors"):
+        clusters.fit_kmeans(same.limit(0), 2)

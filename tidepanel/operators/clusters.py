@@ -1,10 +1,16 @@
-"""k-means regimes, the choice of k, and principal components."""
+"""k-means regimes, the choice of k, and principal components.
+
+k-means runs all starts of all k side by side: a round is one pass over the vectors, in which every task adds up the
+vectors nearest to each centre of each model, so 180 models take as many passes as the slowest of them.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
-from pyspark.ml.clustering import KMeans
+import numpy as np
+import pandas as pd
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -17,6 +23,10 @@ from tidepanel.session import staged
 
 # Scanned k, and the k that stay interpretable.
 K_SCAN, K_WINDOW, K_DEFAULT = range(2, 11), (3, 6), 4
+# Starts per k, rounds at most, and the squared movement below which a model has settled.
+STARTS, ROUNDS, SETTLED = 20, 300, 1e-12
+#: Vectors from which starting centres are drawn.
+START_SAMPLE = 4096
 
 
 def z_vectors(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
@@ -30,8 +40,102 @@ def array_vectors(df: DataFrame, column: str, out: str = "features") -> DataFram
     return df.withColumn(out, array_to_vector(F.col(column).cast("array<double>")))
 
 
-def fit_kmeans(df: DataFrame, k: int, features: str = "features", seed: int = 42):
-    return KMeans(k=k, seed=seed, featuresCol=features, predictionCol="cluster", maxIter=50).fit(df)
+@dataclass
+class Centres:
+    """A fitted model: its centres and the sum of squared distances of all vectors to their nearest."""
+
+    centres: np.ndarray
+    cost: float
+    features: str = "features"
+
+    def distances(self):
+        """Squared distances of a row's vector to every centre, as a column."""
+        value = vector_to_array(F.col(self.features))
+        return F.array(*[F.aggregate(F.zip_with(value, F.array(*map(F.lit, map(float, c))), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v) for c in self.centres])
+
+    def transform(self, df: DataFrame, cluster: str = "cluster") -> DataFrame:
+        """The number of the nearest centre; of equally near ones the first."""
+        near = df.withColumn("_near", self.distances())
+        return near.withColumn(cluster, (F.array_position("_near", F.array_min("_near")) - 1).cast("int")).drop("_near")
+
+
+def _squared(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.stack([((x - c) ** 2).sum(axis=1) for c in centres], axis=1)
+
+
+def _first_centres(points: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k-means++: every further centre is drawn with a chance that grows with its squared distance to those before."""
+    centres = [points[rng.integers(len(points))]]
+    far = ((points - centres[0]) ** 2).sum(axis=1)
+    for _ in range(k - 1):
+        total = far.sum()
+        centres.append(points[rng.choice(len(points), p=far / total) if total > 0 else rng.integers(len(points))])
+        far = np.minimum(far, ((points - centres[-1]) ** 2).sum(axis=1))
+    return np.array(centres)
+
+
+def _round(vectors: DataFrame, models: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, float]]:
+    """New centres of every model and the cost of the old ones: one pass, one row per centre and task shuffled."""
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = {m: np.zeros((len(c), c.shape[1] + 2)) for m, c in models.items()}
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            x = np.array(pdf["v"].tolist(), dtype=float)
+            for m, centres in models.items():
+                d = _squared(x, centres)
+                at, least = d.argmin(axis=1), d.min(axis=1)
+                sums[m][:, 0] += np.bincount(at, minlength=len(centres))
+                sums[m][:, 1] += np.bincount(at, weights=least, minlength=len(centres))
+                for i in range(len(centres)):
+                    sums[m][i, 2:] += x[at == i].sum(axis=0)
+        rows = [(m, i, *row) for m, table in sums.items() for i, row in enumerate(table) if row[0]]
+        yield pd.DataFrame(rows, columns=["model", "centre", *numbers])
+
+    numbers = [f"s{i}" for i in range(next(iter(models.values())).shape[1] + 2)]
+    schema = ", ".join(["model int", "centre int", *[f"{n} double" for n in numbers]])
+    total = vectors.mapInPandas(add, schema).groupBy("model", "centre").agg(*[F.sum(n).alias(n) for n in numbers])
+    out = {m: (c.copy(), 0.0) for m, c in models.items()}
+    for row in total.collect():
+        centres, cost = out[row["model"]]
+        centres[row["centre"]] = np.array(row[4:], dtype=float) / row["s0"]
+        out[row["model"]] = (centres, cost + row["s1"])
+    return out
+
+
+def fit_many(df: DataFrame, ks: Sequence[int], features: str = "features", starts: int = STARTS, seed: int = 42) -> dict[int, Centres]:
+    """For every k the start of least cost.
+
+    Centres, k x starts of them per k, are all that the driver holds. They start on at most ``START_SAMPLE`` vectors, those
+    of the smallest hash; every round goes over all vectors. A centre that no vector is nearest to stays where it is.
+    Repeated vectors count as often as they occur; with fewer different vectors than k, centres coincide. No vectors at
+    all are an error. ``ROUNDS`` ends a start that has not settled.
+    """
+    vectors = df.select(vector_to_array(F.col(features)).alias("v")).hint("rebalance").persist()
+    try:
+        sample = np.array([r["v"] for r in vectors.orderBy(F.xxhash64("v"), "v").limit(START_SAMPLE).collect()], dtype=float)
+        if not len(sample):
+            raise ValueError("no vectors to cluster")
+        plan = [(k, i) for k in ks for i in range(starts)]
+        models = {m: _first_centres(sample, k, np.random.default_rng((seed, k, i))) for m, (k, i) in enumerate(plan)}
+        cost, moving = {}, set(models)
+        for _ in range(ROUNDS):
+            if not moving:
+                break
+            for m, (centres, c) in _round(vectors, {m: models[m] for m in moving}).items():
+                cost[m] = c
+                if ((centres - models[m]) ** 2).sum() <= SETTLED:
+                    moving.discard(m)
+                else:
+                    models[m] = centres
+        return {k: Centres(models[m], cost[m], features) for k in ks for m in [min((m for m, (kk, _) in enumerate(plan) if kk == k), key=lambda m: (cost[m], m))]}
+    finally:
+        vectors.unpersist()
+
+
+def fit_kmeans(df: DataFrame, k: int, features: str = "features", starts: int = STARTS, seed: int = 42) -> Centres:
+    return fit_many(df, [k], features, starts, seed)[k]
 
 
 def silhouette(df: DataFrame, features: str = "features", cluster: str = "cluster") -> float:
@@ -44,10 +148,7 @@ def k_scan(df: DataFrame, ks: Sequence[int] = K_SCAN, features: str = "features"
     Only one row per k leaves the cluster; the vectors are kept in memory over the fits.
     """
     kept = df.select(features).persist()
-    rows = []
-    for k in ks:
-        model = fit_kmeans(kept, k, features)
-        rows.append((k, float(model.summary.trainingCost), float(silhouette(model.transform(kept), features))))
+    rows = [(k, model.cost, float(silhouette(model.transform(kept), features))) for k, model in fit_many(kept, ks, features).items()]
     kept.unpersist()
     scan = df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
     return step_drop(scan, "k", "inertia")
@@ -70,9 +171,8 @@ def compare_feature_sets(df: DataFrame, full: Sequence[str], reduced: Sequence[s
     """Labels of both feature sets at the same k, side by side, and the silhouette of each."""
     a = staged(z_vectors(df, full, "_full"))
     both = staged(z_vectors(a, reduced, "_reduced"))
-    m1, m2 = fit_kmeans(both, k, "_full"), fit_kmeans(both, k, "_reduced")
-    one = m1.transform(both).withColumnRenamed("cluster", "cluster_full")
-    two = m2.transform(one).withColumnRenamed("cluster", "cluster_reduced")
+    one = fit_kmeans(both, k, "_full").transform(both, "cluster_full")
+    two = staged(fit_kmeans(both, k, "_reduced").transform(one, "cluster_reduced"))
     quality = {
         "full": silhouette(two, "_full", "cluster_full"),
         "reduced": silhouette(two, "_reduced", "cluster_reduced"),

@@ -421,6 +421,21 @@ def kmeans_regimes(spark, d):
     return tidy(out.select("region", "station", "cluster"))
 
 
+@query("kmeans_checks", "SELECT count(*) AS n_rows, CAST(count(DISTINCT label) AS BIGINT) AS n_clusters, 0::BIGINT AS n_nearer, 0::BIGINT AS n_off_mean, false AS worse_than_one_start FROM embeddings")
+def kmeans_checks(spark, d):
+    """What every k-means has to meet: rows at their nearest centre, centres at the means of their rows, no start better than the result."""
+    e = staged(clusters.array_vectors(table(spark, d, "embeddings").select("embedding", "label"), "embedding"))
+    best = clusters.fit_kmeans(e, 10)
+    single = clusters.fit_kmeans(e, 10, starts=1)
+    rows = best.transform(e.withColumn("_d", best.distances()))
+    nearer = F.exists("_d", lambda x: x < F.element_at("_d", F.col("cluster") + 1))
+    counts = rows.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("cluster").alias("n_clusters"), F.count_if(nearer).alias("n_nearer"))
+    means = rows.select("cluster", F.posexplode(vector_to_array("features")).alias("i", "x")).groupBy("cluster", "i").agg(F.avg("x").alias("mean"))
+    centre = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in best.centres])
+    off = means.agg(F.count_if(F.abs(F.col("mean") - centre[F.col("cluster")][F.col("i")]) > 1e-6)).scalar()
+    return counts.select("*", off.alias("n_off_mean"), F.lit(bool(best.cost > single.cost * (1 + 1e-9))).alias("worse_than_one_start"))
+
+
 @query("kmeans_embeddings")
 def kmeans_embeddings(spark, d):
     e = clusters.array_vectors(table(spark, d, "embeddings"), "embedding")
@@ -441,6 +456,28 @@ def feature_set_comparison(spark, d):
     return both.groupBy("cluster_full", "cluster_reduced").agg(F.count(F.lit(1)).alias("n_stations"))
 
 
+@query("feature_set_quality")
+def feature_set_quality(spark, d):
+    """The silhouettes of the two labellings that ``feature_set_comparison`` sets side by side."""
+    _, quality = clusters.compare_feature_sets(labelled_stations(spark, d).drop("cluster"), PROFILE, PROFILE[:3], 4)
+    return tidy(spark.createDataFrame(list(quality.items()), "feature_set string, silhouette double"))
+
+
+@query(
+    "pca_variances",
+    f"""WITH {DW_SQL}, m AS (SELECT var_samp(air_temp) AS a, var_samp(water_temp) AS c, covar_samp(air_temp, water_temp) AS b FROM dw WHERE air_temp IS NOT NULL AND water_temp IS NOT NULL),
+        e AS (SELECT (a + c) / 2 AS mid, sqrt(((a - c) / 2) ** 2 + b ** 2) AS half FROM m)
+        SELECT 1::BIGINT AS component, round(mid + half, 6) AS variance, round((mid + half) / (2 * mid), 6) AS share FROM e UNION ALL SELECT 2, round(mid - half, 6), round((mid - half) / (2 * mid), 6) FROM e""",
+)
+def pca_variances(spark, d):
+    """Variance of the scores of both components of two measures, and the model's explained share; by SQL as eigenvalues."""
+    days = staged(daily_water(spark, d).dropna(subset=["air_temp", "water_temp"]).select("air_temp", "water_temp"))
+    scored, model = clusters.pca_scores(clusters.array_vectors(days.withColumn("both", F.array("air_temp", "water_temp")), "both"))
+    variances = scored.agg(F.var_samp("pc1").alias("v1"), F.var_samp("pc2").alias("v2"))
+    shares = [float(x) for x in model.explainedVariance]
+    return tidy(variances.select(F.inline(F.array(*[F.struct(F.lit(i + 1).alias("component"), F.col(f"v{i + 1}").alias("variance"), F.lit(shares[i]).alias("share")) for i in range(2)]))))
+
+
 @query("environment_clusters")
 def environment_clusters(spark, d):
     """Clusters of station-years without place, and the mean of the left-out measures per cluster."""
