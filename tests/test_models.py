@@ -205,6 +205,27 @@ def test_stl_recovers_a_seasonal_line(spark):
     assert abs(rt[50] - (10 + 0.05 * 50)) < 0.3
 
 
+def test_series_decomposed_together_stay_apart(spark):
+    """Series of equal and unequal lengths, a constant one, copies, one too short; each as if it were alone, in any partitioning."""
+    rng = np.random.default_rng(6)
+    series = {f"s{i}": 5 + np.sin(np.arange(n) / 1.9) + rng.normal(size=n) for i, n in enumerate((60, 60, 60, 25, 24, 23, 1))}
+    series |= {"flat": np.full(60, 2.0), "copy": series["s1"]}
+    rows = [("r", s, "v", i, float(y), f"n{i}") for s, ys in series.items() for i, y in enumerate(ys)]
+    df = spark.createDataFrame(rows, "region string, station string, variable string, k int, filled double, note string").orderBy(F.rand(3)).repartition(3)
+    df = df.select("note", "region", "station", "variable", F.add_months(F.lit("2000-01-01").cast("date"), F.col("k")).alias("month_date"), "filled")
+    got = decompose.decompose(df)
+    assert got.columns == [*df.columns, "trend", "seasonal", "fitted"]
+    for s, ys in series.items():
+        part = got.filter(F.col("station") == s).orderBy("month_date").collect()
+        assert [r["filled"] for r in part] == ys.tolist() and [r["note"] for r in part] == [f"n{i}" for i in range(len(ys))]
+        if len(ys) < 24:
+            assert all(r["trend"] is None and r["seasonal"] is None and r["fitted"] is None for r in part)
+        else:
+            trend, seasonal = decompose.stl(ys)
+            assert [r["trend"] for r in part] == pytest.approx(trend, abs=1e-9) and [r["seasonal"] for r in part] == pytest.approx(seasonal, abs=1e-9)
+    assert decompose.decompose(df.limit(0)).count() == 0
+
+
 def test_extension_continues_the_line(spark):
     rows = [("r", "s", "v", 24 * 12 + i, float(i), 0.0) for i in range(36)]
     df = spark.createDataFrame(rows, "region string, station string, variable string, k int, trend double, seasonal double")

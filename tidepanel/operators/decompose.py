@@ -1,13 +1,13 @@
 """Seasonal-trend decomposition of many series and their extension to a later year.
 
-The series are monthly, so a group handed to the kernel has one row per calendar month.
-Grid, interpolation, extension and summary are DataFrame expressions; only the smoothing of
-one series runs in numpy.
+The series are monthly, so a series is one row with an array that the calendar bounds.
+Grid, interpolation, extension and summary are DataFrame expressions; only the smoothing runs
+in numpy, on all series of an Arrow batch that have the same length together, as one matrix.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -25,6 +25,8 @@ from tidepanel.session import spread_groups
 PERIOD, MIN_MONTHS, TREND_YEARS, END_YEAR = 12, 84, 10, 2100
 # Seasonal smoother span, inner passes and robustness passes.
 SEASONAL_SPAN, INNER, OUTER = 7, 2, 15
+#: Numbers in the matrix of windows that one call of the smoother holds (a few copies of it at 8 bytes).
+CELLS = 500_000
 
 
 @lru_cache(maxsize=256)
@@ -64,46 +66,74 @@ def loess(y: np.ndarray, span: int, weights: np.ndarray | None = None, pad: int
 
 
 def _moving(y: np.ndarray, n: int) -> np.ndarray:
-    c = np.cumsum(np.insert(y, 0, 0.0))
-    return (c[n:] - c[:-n]) / n
+    c = np.cumsum(np.pad(y, ((0, 0), (1, 0))), axis=1)
+    return (c[:, n:] - c[:, :-n]) / n
 
 
 def _smooth_cycle(x: np.ndarray, period: int, weights: np.ndarray | None) -> np.ndarray:
     """Smooth the values of each calendar position over the cycles, one cycle further at both ends."""
-    n = len(x)
-    out = np.empty(n + 2 * period)
+    m, n = x.shape
+    out = np.empty((m, n + 2 * period))
     cut = n % period or period
     for rows in (range(cut), range(cut, period)):  # positions with equally many cycles go together
         if len(rows):
-            sub = np.vstack([x[s::period] for s in rows])
-            rw = None if weights is None else np.vstack([weights[s::period] for s in rows])
-            for s, line in zip(rows, loess(sub, SEASONAL_SPAN, rw, pad=1)):
-                out[s::period][: len(line)] = line
+            sub = np.vstack([x[:, s::period] for s in rows])
+            rw = None if weights is None else np.vstack([weights[:, s::period] for s in rows])
+            smooth = loess(sub, SEASONAL_SPAN, rw, pad=1)
+            for i, s in enumerate(rows):
+                out[:, s::period][:, : smooth.shape[1]] = smooth[i * m : (i + 1) * m]
     return out
 
 
-def stl(y: np.ndarray, period: int = PERIOD, robust: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Trend and seasonal component of one complete series."""
-    n = len(y)
-    trend_span = int(np.ceil(1.5 * period / (1 - 1.5 / SEASONAL_SPAN)))
-    trend_span += 1 - trend_span % 2
+def _trend_span(period: int) -> int:
+    span = int(np.ceil(1.5 * period / (1 - 1.5 / SEASONAL_SPAN)))
+    return span + 1 - span % 2
+
+
+def stl_many(y: np.ndarray, period: int = PERIOD, robust: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Trend and seasonal components of complete series of one length, one per row. No series touches another."""
+    n = y.shape[1]
     low_span = period + 1 if period % 2 == 0 else period + 2
-    trend, seasonal, rw = np.zeros(n), np.zeros(n), None
+    trend, seasonal, rw = np.zeros(y.shape), np.zeros(y.shape), None
     for outer in range(OUTER + 1 if robust else 1):
         for _ in range(INNER if robust else 5):
             cycle = _smooth_cycle(y - trend, period, rw)
             low = loess(_moving(_moving(_moving(cycle, period), period), 3), low_span)
-            seasonal = cycle[period : period + n] - low
-            trend = loess(y - seasonal, trend_span, rw)
+            seasonal = cycle[:, period : period + n] - low
+            trend = loess(y - seasonal, _trend_span(period), rw)
         if not robust or outer == OUTER:
             break
         resid = np.abs(y - trend - seasonal)
-        h = 6 * np.median(resid)
-        u = resid / h if h > 0 else np.zeros(n)
+        h = 6 * np.median(resid, axis=1, keepdims=True)
+        u = np.where(h > 0, resid / np.where(h > 0, h, 1.0), 0.0)
         rw = np.where(u <= 0.001, 1.0, np.where(u <= 0.999, (1 - np.minimum(u, 1) ** 2) ** 2, 0.0))
     return trend, seasonal
 
 
+def stl(y: np.ndarray, period: int = PERIOD, robust: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Trend and seasonal component of one complete series."""
+    trend, seasonal = stl_many(y[None], period, robust)
+    return trend[0], seasonal[0]
+
+
+def stl_lists(series: Sequence[np.ndarray], period: int = PERIOD, robust: bool = True) -> tuple[list, list]:
+    """Components of series of any lengths, in their order; nulls for those of fewer than two periods.
+
+    Series of a length go together, as many as keep the matrix of their windows near ``CELLS`` numbers.
+    """
+    trend, seasonal = [[None] * len(y) for y in series], [[None] * len(y) for y in series]
+    lengths: dict[int, list[int]] = {}
+    for i, y in enumerate(series):
+        lengths.setdefault(len(y), []).append(i)
+    for n, members in lengths.items():
+        step = max(CELLS // (n * _trend_span(period)), 1) if n >= 2 * period else 0
+        for at in range(0, len(members) if step else 0, step or 1):
+            some = members[at : at + step]
+            for i, t, s in zip(some, *stl_many(np.array([series[i] for i in some], dtype=float), period, robust)):
+                trend[i], seasonal[i] = t, s
+    return trend, seasonal
+
+
 def monthly_series(monthly: DataFrame, variables: Sequence[str], keys: Sequence[str] = KEYS, month: str = "month_date", min_months: int = MIN_MONTHS) -> DataFrame:
     """Dense interpolated series per station and variable; short ones are left out."""
     long = monthly.select(
@@ -118,22 +148,27 @@ def monthly_series(monthly: DataFrame, variables: Sequence[str], keys: Sequence[
 
 
 def decompose(series: DataFrame, keys: Sequence[str] = KEYS, order: str = "month_date", value: str = "filled", period: int = PERIOD, robust: bool = True) -> DataFrame:
-    """Adds ``trend``, ``seasonal`` and ``fitted`` to every series of a (keys, variable) group."""
-    group = [*keys, "variable"]
+    """Adds ``trend``, ``seasonal`` and ``fitted`` to every series of a (keys, variable) group.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        y = pdf[value].to_numpy(dtype=float)
-        if len(y) >= 2 * period:
-            trend, seasonal = stl(y, period, robust)
-        else:
-            trend, seasonal = np.full(len(y), np.nan), np.full(len(y), np.nan)
-        return pdf.assign(trend=trend, seasonal=seasonal, fitted=trend + seasonal)
-
-    out = T.StructType(list(series.schema.fields))
-    for c in ("trend", "seasonal", "fitted"):
-        out = out.add(c, T.DoubleType())
-    return spread_groups(series, group).groupBy(*group).applyInPandas(run, out)
+    Series of fewer than two periods get nulls. One shuffle; a series travels as one row.
+    """
+    group = [*keys, "variable"]
+    rest = [c for c in series.columns if c not in (*group, order)]
+    packed = spread_groups(series, group).groupBy(*group).agg(F.sort_array(F.collect_list(F.struct(order, *rest))).alias("_rows"))
+    packed = packed.withColumn("_y", F.transform("_rows", lambda r: r[value].cast("double")))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            trend, seasonal = stl_lists(list(pdf["_y"]), period, robust)
+            yield pdf.drop(columns="_y").assign(_trend=trend, _seasonal=seasonal)
+
+    schema = T.StructType([f for f in packed.schema.fields if f.name != "_y"])
+    for c in ("_trend", "_seasonal"):
+        schema = schema.add(c, T.ArrayType(T.DoubleType()))
+    zipped = packed.mapInPandas(run, schema).select(*group, F.inline(F.arrays_zip("_rows", "_trend", "_seasonal")))
+    return zipped.select(*group, "_rows.*", F.col("_trend").alias("trend"), F.col("_seasonal").alias("seasonal")).select(
+        *series.columns, "trend", "seasonal", (F.col("trend") + F.col("seasonal")).alias("fitted")
+    )
 
 
 def trend_line(parts: DataFrame, keys: Sequence[str] = KEYS, month: str = "month_date", trend_years: int = TREND_YEARS, period: int = PERIOD) -> DataFrame:

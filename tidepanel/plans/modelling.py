@@ -503,6 +503,28 @@ def seasonal_decomposition(spark, d):
     return tidy(components(spark, d).select(*KEYS, "variable", "month_date", "filled", "trend", "seasonal"))
 
 
+MEASURES = list(decompose.VARIABLE_NAMES)
+
+
+@query(
+    "decomposition_sums",
+    f"""WITH {DW_SQL}, mo AS (SELECT region, station, CAST(date_trunc('month', date) AS DATE) AS month_date, {', '.join(f'avg({m}) AS {m}' for m in MEASURES)} FROM dw WHERE year(date) >= 1990 GROUP BY 1, 2, 3),
+        lo AS (SELECT region, station, month_date, unnest({MEASURES}) AS variable, unnest([{', '.join(MEASURES)}]) AS observed FROM mo),
+        en AS (SELECT region, station, variable, min(month_date) AS a, max(month_date) AS b FROM lo GROUP BY ALL HAVING count(observed) >= 72),
+        gr AS (SELECT region, station, variable, CAST(u AS DATE) AS month_date FROM en, unnest(generate_series(a, b, INTERVAL 1 MONTH)) AS g(u)),
+        fu AS (SELECT gr.*, observed, CASE WHEN observed IS NOT NULL THEN month_date END AS t FROM gr LEFT JOIN lo USING (region, station, variable, month_date)),
+        ab AS (SELECT *, last_value(t IGNORE NULLS) OVER back AS ta, last_value(observed IGNORE NULLS) OVER back AS va, first_value(t IGNORE NULLS) OVER ahead AS tb, first_value(observed IGNORE NULLS) OVER ahead AS vb FROM fu
+               WINDOW back AS (PARTITION BY region, station, variable ORDER BY month_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), ahead AS (PARTITION BY region, station, variable ORDER BY month_date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+        SELECT region, station, variable, month_date, round(observed, 6) AS observed, round(coalesce(observed, va + (vb - va) * (month_date - ta) / nullif(tb - ta, 0), va, vb), 6) AS filled, true AS adds_up, true AS residual_fits FROM ab""",
+)
+def decomposition_sums(spark, d):
+    """Every month of every series: interpolated where nothing was observed, trend and season add up to the fit, the residual to the series."""
+    parts = decompose.residuals(components(spark, d))
+    adds_up = F.abs(F.col("trend") + F.col("seasonal") - F.col("fitted")) < 1e-9
+    residual_fits = F.abs(F.col("fitted") + F.col("resid") - F.col("filled")) < 1e-9
+    return tidy(parts.select(*KEYS, "variable", "month_date", "observed", "filled", adds_up.alias("adds_up"), residual_fits.alias("residual_fits")))
+
+
 @query("decomposition_extension")
 def decomposition_extension(spark, d):
     out = decompose.extend(components(spark, d))
