@@ -10,7 +10,7 @@ from tidepanel.plans.registry import query, tidy
 from tidepanel.plans.regimes import DAYS_SQL, FEATURES, first_events, labelled_stations
 from tidepanel.plans.rollups import DW_SQL, SPAN_SQL, WATER_MEASURES, daily_water
 from tidepanel.session import staged
-from tidepanel.sources.panels import LI_SQL, LOOKUP_SQL, sparse_panel, station_lookup, table, water_panel
+from tidepanel.sources.panels import EV_SQL, LI_SQL, LOOKUP_SQL, events_panel, sparse_panel, station_lookup, table, water_panel
 
 DRIVERS = scenario.DRIVERS
 RAMP_CTE = """ramp AS (SELECT scenario, y AS year, a * (y - 2026) / 74 AS air_temp_add_c, 1 + (p - 1) * (y - 2026) / 74 AS precip_mult, 1 + (w - 1) * (y - 2026) / 74 AS wind_speed_mult,
@@ -325,6 +325,16 @@ def _pool_sql(where: str) -> str:
         FROM evt JOIN sp ON evt.region = sp.region AND evt.station = sp.station WHERE sp.n_full_years >= 5 {where}"""
 
 
+@query("station_key_list", f"WITH {EV_SQL} SELECT CAST(region AS VARCHAR) AS region, CAST(station AS VARCHAR) AS station, min(event_id) AS case_order FROM ev WHERE event_id % 7 > 0 GROUP BY 1, 2")
+def station_key_list(spark, d):
+    """Keys as a list of cases gives them: padded with blanks, repeated, some absent."""
+    pad = F.when(F.col("event_id") % 2 == 0, F.lit("  ")).otherwise(F.lit(""))
+    given = events_panel(spark, d).select(
+        F.concat(pad, F.col("region").cast("string")).alias("region"), F.when(F.col("event_id") % 7 > 0, F.concat(F.col("station").cast("string"), pad)).alias("station"), F.col("event_id").alias("case_order"),
+    )
+    return tidy(scenario.normalise_station_keys(given))
+
+
 @query("case_pool_holdout", _pool_sql("AND evt.station % 6 = 0"))
 def case_pool_holdout(spark, d):
     return tidy(_pool(spark, d, "holdout_transition"))

@@ -17,9 +17,9 @@ from tidepanel.operators import baseline, clean, coverage, joins, models, regime
 from tidepanel.plans.registry import query, tidy
 from tidepanel.plans.regimes import FEATURES, labelled_stations
 from tidepanel.plans.rollups import DW_SQL, SYQ_LIMITS
-from tidepanel.session import staged
+from tidepanel.session import scratch_path, staged
 from tidepanel.sources import io
-from tidepanel.sources.panels import LOOKUP_SQL, WATER_MEASURES, station_lookup, water_panel
+from tidepanel.sources.panels import LOOKUP_SQL, WATER_MEASURES, station_lookup, table, water_panel
 
 DRIVERS = scenario.DRIVERS
 ROLLS = [f"{c}_r{n}d" for c in DRIVERS for n in (1, 7, 28)]
@@ -184,6 +184,45 @@ def station_scan_query(spark, d):
     return tidy(scan(spark, d)["path"].select("region", "station", "scenario", "year", *FEATURES, "regime_roll5y", "margin", "cluster"))
 
 
+USER_SQL = """us AS (SELECT r_name AS scenario, 2026 + y AS year, CASE WHEN y % 2 = 0 THEN r_regionkey * 0.5 * y END AS air_temp_add_c, 1 - 0.01 * r_regionkey * y AS precip_mult FROM region, range(0, 5) t(y))"""
+
+
+def user_scenarios(spark: SparkSession, d: str) -> str:
+    """A scenario table as a user brings it: one scenario per region over five years, some cells empty, two columns absent."""
+    path = scratch_path(spark, "scenarios")
+    y, key = F.col("y"), F.col("r_regionkey")
+    rows = table(spark, d, "region").withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    rows.select(
+        F.col("r_name").alias("scenario"), (y + 2026).alias("year"), F.when(y % 2 == 0, key * 0.5 * y).cast("double").alias("air_temp_add_c"), (1 - 0.01 * key * y).cast("double").alias("precip_mult"),
+    ).write.parquet(path)
+    return path
+
+
+@query(
+    "scenario_table",
+    f"WITH {USER_SQL} SELECT scenario, CAST(year AS BIGINT) AS year, round(coalesce(air_temp_add_c, 0.0), 6) AS air_temp_add_c, round(precip_mult, 6) AS precip_mult, 1.0::DOUBLE AS wind_speed_mult, 1.0::DOUBLE AS solar_mult FROM us",
+)
+def scenario_table(spark, d):
+    paths = scenario_paths(spark, user_scenarios(spark, d))
+    return tidy(paths.select("scenario", "year", *scenario.PATH_DEFAULTS))
+
+
+@query(
+    "scan_user_scenarios",
+    f"""WITH {DW_SQL}, ks AS (SELECT region, station FROM dw GROUP BY 1, 2 HAVING count(DISTINCT year(date)) >= 5 AND count(water_temp) >= 480),
+        ky AS (SELECT DISTINCT region, station FROM (SELECT region, station, year(date) FROM dw GROUP BY ALL HAVING count(*) FILTER (WHERE water_temp IS NOT NULL OR salinity IS NOT NULL OR oxygen IS NOT NULL) >= 60
+          AND count(water_temp) >= 60 AND count(DISTINCT month(date)) FILTER (WHERE water_temp IS NOT NULL) >= 6))
+        SELECT region, station, r_name AS scenario, 2026::BIGINT AS first_year, 2030::BIGINT AS last_year, 5::BIGINT AS n_years, 5::BIGINT AS n_temps FROM ks JOIN ky USING (region, station), (SELECT r_name FROM region) AS r""",
+)
+def scan_user_scenarios(spark, d):
+    """A scan over a user's scenario table: every screened station has every scenario's years, with a temperature in each."""
+    future = scan(spark, d, user_scenarios(spark, d))["future"]
+    out = future.groupBy(*KEYS, "scenario").agg(
+        F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.count(F.lit(1)).alias("n_years"), F.count("water_temp").alias("n_temps")
+    )
+    return tidy(out)
+
+
 @query("scan_crossings_and_hypoxia")
 def scan_crossings_and_hypoxia(spark, d):
     out = scan(spark, d)
