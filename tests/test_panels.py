@@ -172,3 +172,34 @@ def test_previous_reading_crosses_days(spark):
     df = spark.createDataFrame([("s", t) for t in ts], "station string, ts timestamp_ntz")
     got = [(r["n_copies"], r["gap_hours"]) for r in rolling.reading_gaps(df, ["station"], "ts").orderBy("ts").collect()]
     assert got == [(2, None), (1, 26.0), (1, 1.0)]
+
+
+def test_month_partials_give_what_the_readings_give(spark):
+    """Uneven months, a measure without values, a null value, two stations; coverage, yearly means and climatology alike."""
+    rng = random.Random(5)
+    rows = []
+    for station, step in (("a", 3), ("b", 11)):
+        for i in range(0, 900, step):
+            rows.append(("r", station, dt.date(2001, 3, 1) + dt.timedelta(days=i), None if i % 4 == 1 else rng.uniform(0, 30), None if station == "b" else rng.random()))
+    df = spark.createDataFrame(rows, "region string, station string, date date, water_temp double, oxygen double").repartition(4)
+    measures, keys = ["water_temp", "oxygen"], ["region", "station"]
+    partials = baseline.station_month_partials(df, measures)
+    assert partials.count() == len({(r[1], r[2].year, r[2].month) for r in rows})
+
+    def same(a, b):
+        got, want = ({tuple(r[c] for c in by): r for r in x.collect()} for x in (a, b))
+        assert set(got) == set(want) and want
+        for k in want:
+            for c in set(want[k].asDict()) - set(by):
+                assert got[k][c] is None if want[k][c] is None else got[k][c] == pytest.approx(want[k][c], rel=1e-12)
+
+    by = [*keys, "year"]
+    same(baseline.annual_coverage_of(partials, 0.2), baseline.annual_coverage(df, per_day=0.2))
+    by = [*keys, "month"]
+    same(baseline.merged_means(partials, measures, by, "_mmean"), baseline.climatology(df, measures))
+    by = keys
+    window = spark.createDataFrame([("r", "a", True)], "region string, station string, is_eligible boolean")
+    whole = baseline.station_baseline(df.withColumn("depth", F.lit(1.0)), measures, window)
+    names = [*keys, "mean_annual_water_temp", "mean_annual_oxygen", "n_years_oxygen"]
+    same(whole.select(*names), baseline.year_balanced_means(df, measures).select(*names))
+    same(whole.select(*keys, "n_obs_total", "n_years_present"), baseline.coverage_counts(df))

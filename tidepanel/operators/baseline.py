@@ -10,24 +10,47 @@ from pyspark.sql.window import Window
 
 from tidepanel import KEYS
 from tidepanel.functions import dates, stats
+from tidepanel.session import staged
 
 # A year counts from 70 % coverage; a baseline is the first five such years, three at least.
 MIN_COVERAGE, BASELINE_YEARS, MIN_YEARS = 0.70, 5, 3
 
 
-def annual_coverage(df: DataFrame, date: str = "date", per_day: float = 24.0, keys: Sequence[str] = KEYS, min_coverage: float = MIN_COVERAGE) -> DataFrame:
-    """Rows per station-year against the rows a full year would have."""
-    year = F.year(date)
+def station_month_partials(df: DataFrame, measures: Sequence[str], date: str = "date", keys: Sequence[str] = KEYS) -> DataFrame:
+    """One row per station, year and month: ``n_rows`` and, of every measure, the sum and count of its values.
+
+    Yearly coverage, year-balanced means, climatology and what stands on them merge from these rows, so the readings are
+    read once for all of them. A hot station's readings combine on the map side; the calendar bounds what is left.
+    """
+    return df.groupBy(*keys, F.year(date).alias("year"), F.month(date).alias("month")).agg(
+        F.count(F.lit(1)).alias("n_rows"), *[F.sum(F.col(c).cast("double")).alias(f"{c}_sum") for c in measures], *[F.count(c).alias(f"{c}_n") for c in measures]
+    )
+
+
+def merged_means(partials: DataFrame, measures: Sequence[str], by: Sequence[str], suffix: str = "") -> DataFrame:
+    """Means of all readings behind the partial rows of each group; null where no reading has the measure."""
+    return partials.groupBy(*by).agg(*[(F.sum(f"{c}_sum") / F.nullif(F.sum(f"{c}_n"), F.lit(0))).alias(f"{c}{suffix}") for c in measures])
+
+
+def _coverage(rows_per_year: DataFrame, per_day: float, min_coverage: float) -> DataFrame:
     expected = dates.days_in_year(F.col("year")) * F.lit(float(per_day))
     return (
-        df.groupBy(*keys, year.alias("year"))
-        .agg(F.count(F.lit(1)).alias("n_obs"))
-        .withColumn("expected_obs", expected)
+        rows_per_year.withColumn("expected_obs", expected)
         .withColumn("coverage_frac", F.col("n_obs") / F.col("expected_obs"))
         .withColumn("year_is_valid", F.col("coverage_frac") >= min_coverage)
     )
 
 
+def annual_coverage(df: DataFrame, date: str = "date", per_day: float = 24.0, keys: Sequence[str] = KEYS, min_coverage: float = MIN_COVERAGE) -> DataFrame:
+    """Rows per station-year against the rows a full year would have."""
+    return _coverage(df.groupBy(*keys, F.year(date).alias("year")).agg(F.count(F.lit(1)).alias("n_obs")), per_day, min_coverage)
+
+
+def annual_coverage_of(partials: DataFrame, per_day: float = 24.0, keys: Sequence[str] = KEYS, min_coverage: float = MIN_COVERAGE) -> DataFrame:
+    """``annual_coverage`` from partial rows."""
+    return _coverage(partials.groupBy(*keys, "year").agg(F.sum("n_rows").alias("n_obs")), per_day, min_coverage)
+
+
 def rank_valid_years(coverage: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Ordinal of each valid year inside its station (one row per calendar year)."""
     w = Window.partitionBy(*keys).orderBy("year")
@@ -49,20 +72,28 @@ def baseline_window(years: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     )
 
 
+def in_baseline(rows: DataFrame, years: DataFrame, window: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Rows, or partial rows, with a ``year`` that is a baseline year of an eligible station."""
+    kept = years.select(*keys, "year").join(window.filter("is_eligible").select(*keys), list(keys), "left_semi")
+    return rows.join(kept, [*keys, "year"], "left_semi")
+
+
 def baseline_rows(df: DataFrame, years: DataFrame, window: DataFrame, date: str = "date", keys: Sequence[str] = KEYS) -> DataFrame:
     """Readings of eligible stations in their baseline years."""
-    kept = years.select(*keys, "year").join(window.filter("is_eligible").select(*keys), list(keys), "left_semi")
-    return df.withColumn("year", F.year(date)).join(kept, [*keys, "year"], "left_semi")
+    return in_baseline(df.withColumn("year", F.year(date)), years, window, keys)
 
 
-def year_balanced_means(df: DataFrame, measures: Sequence[str], date: str = "date", keys: Sequence[str] = KEYS) -> DataFrame:
-    """Mean of yearly means, so that every year weighs the same."""
-    years = df.groupBy(*keys, F.year(date).alias("year")).agg(*[F.avg(c).alias(c) for c in measures])
+def _balanced(years: DataFrame, measures: Sequence[str], keys: Sequence[str]) -> DataFrame:
     return years.groupBy(*keys).agg(
         *[F.avg(c).alias(f"mean_annual_{c}") for c in measures], *[F.count(c).alias(f"n_years_{c}") for c in measures]
     )
 
 
+def year_balanced_means(df: DataFrame, measures: Sequence[str], date: str = "date", keys: Sequence[str] = KEYS) -> DataFrame:
+    """Mean of yearly means, so that every year weighs the same."""
+    return _balanced(df.groupBy(*keys, F.year(date).alias("year")).agg(*[F.avg(c).alias(c) for c in measures]), measures, keys)
+
+
 def climatology(df: DataFrame, measures: Sequence[str], date: str = "date", keys: Sequence[str] = KEYS) -> DataFrame:
     return df.groupBy(*keys, F.month(date).alias("month")).agg(*[F.avg(c).alias(f"{c}_mmean") for c in measures])
 
@@ -160,17 +191,24 @@ def deltas(df: DataFrame, baseline: DataFrame, measures: Sequence[str], keys: Se
     return joined.withColumns({f"delta_{c}": F.col(c) - F.col(f"{c}_baseline") for c in measures})
 
 
-def station_baseline(df: DataFrame, measures: Sequence[str], window: DataFrame, date: str = "date", keys: Sequence[str] = KEYS) -> DataFrame:
-    """Everything known of a station's baseline, one row per station, joined on the same keys."""
-    monthly = climatology(df, measures, date, keys)
+def station_baseline(df: DataFrame, measures: Sequence[str], window: DataFrame, date: str = "date", keys: Sequence[str] = KEYS, partials: DataFrame | None = None) -> DataFrame:
+    """Everything known of a station's baseline, one row per station, joined on the same keys.
+
+    All but the exact depth percentiles merges from ``partials``, the station-month rows of ``df``; they are made and
+    staged here if none are given.
+    """
+    keys = list(keys)
+    if partials is None:
+        partials = staged(station_month_partials(df, measures, date, keys))
+    monthly = merged_means(partials, measures, [*keys, "month"], "_mmean")
     parts: Mapping[str, DataFrame] = {
         "amp": seasonal_amplitude(monthly, measures, keys),
         "signature": season_signature(monthly, keys=keys),
         "depth": depth_percentiles(df, keys=keys),
-        "coverage": coverage_counts(df, date, keys),
+        "coverage": partials.groupBy(*keys).agg(F.sum("n_rows").alias("n_obs_total"), F.count_distinct("year").alias("n_years_present")),
         "window": window.drop("is_eligible"),
     }
-    out = year_balanced_means(df, measures, date, keys)
+    out = _balanced(merged_means(partials, measures, [*keys, "year"]), measures, keys)
     for part in parts.values():
-        out = out.join(part, list(keys), "left")
+        out = out.join(part, keys, "left")
     return out

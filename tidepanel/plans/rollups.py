@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidepanel.operators import baseline, clean, coverage, ordered, rollup
 from tidepanel.plans.cleaning import EVENT_TYPES
 from tidepanel.plans.registry import query, tidy
+from tidepanel.session import staged
 from tidepanel.sources.panels import (
     EV_SQL,
     LI_SQL,
@@ -202,9 +203,12 @@ def coverage_counts(spark, d):
         LEFT JOIN cc ON yb.region = cc.region AND yb.station = cc.station LEFT JOIN win ON yb.region = win.region AND yb.station = win.station""",
 )
 def station_baseline(spark, d):
-    panel, years, window = covered(spark, d)
+    panel = water_panel(spark, d)
+    partials = staged(baseline.station_month_partials(panel, WATER_MEASURES))
+    years = staged(baseline.baseline_years(baseline.annual_coverage_of(partials, per_day=0.25)))
+    window = baseline.baseline_window(years)
     rows = baseline.baseline_rows(panel, years, window)
-    out = baseline.station_baseline(rows, WATER_MEASURES, window)
+    out = baseline.station_baseline(rows, WATER_MEASURES, window, partials=baseline.in_baseline(partials, years, window))
     return tidy(
         out.select(
             "region", "station", "mean_annual_water_temp", "mean_annual_oxygen", "warm_peak_month", "warm_len_months",
