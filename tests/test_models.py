@@ -62,6 +62,36 @@ def brute_dbscan(pts, eps, m):
     return core, label
 
 
+def test_vectors_of_many_dimensions_meet_in_blocks(spark, monkeypatch):
+    """The bounds spare nothing here: no query is copied once per cell, and rounding decides nothing."""
+    monkeypatch.setattr(neighbours, "BLOCK", 64)
+    rng = np.random.default_rng(4)
+    pts = rng.integers(-2, 3, (300, 24)) / 4.0 + 100.0
+    pts = np.vstack([pts, pts[:1]])
+    vec = neighbours.as_vectors(spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(pts)], "id long, v array<double>"), "id", "v")
+    d = np.sqrt(((pts[:, None] - pts[None]) ** 2).sum(-1))
+    eps = float(np.sort(d, axis=1)[7, 5])  # many distances equal it
+    cells = neighbours.Cells(neighbours.merge_copies(vec), 1, eps)
+    assert cells.visits(vec).count() == len(pts)
+    got = {r["id"]: r["n_neighbours"] for r in neighbours.range_counts(vec, eps).collect()}
+    assert [got[i] for i in range(len(pts))] == list((d <= eps).sum(1))
+    near = {r["id"]: r["kth_distance"] for r in neighbours.knn_distance(vec, 6).collect()}
+    assert [near[i] for i in range(len(pts))] == pytest.approx(list(np.sort(d, axis=1)[:, 5]))
+    core, label = brute_dbscan(pts, eps, 4)
+    found = {r["id"]: (r["is_core"], r["cluster"]) for r in density.dbscan(vec, eps, 4).collect()}
+    assert [found[i] for i in range(len(pts))] == list(zip(core, label))
+
+
+def test_closest_keeps_ties_and_odd_rows():
+    a = np.array([[0.0] * 9, [np.nan] * 9, [1.0] * 9])
+    b = np.array([[1.0] * 9, [0.0] * 9, [1.0] * 9, [np.inf] + [0.0] * 8])
+    for width in (9, 3):
+        i, j, d = neighbours.closest(a[:, :width], b[:, :width], 2)
+        got = {n: list(j[i == n]) for n in range(3)}
+        assert got == {0: [1, 0], 1: [0, 1], 2: [0, 2]}
+        assert list(d[i == 2]) == [0, 0] and np.isnan(d[i == 1]).all()
+
+
 @pytest.mark.parametrize("eps,m", [(0.35, 6), (0.6, 5), (0.05, 3)])
 def test_dbscan(cloud, small_blocks, eps, m):
     pts, vec = cloud
