@@ -53,3 +53,17 @@ def test_no_day_is_shuffled(spark):
     plan = rolled.groupBy("region", "station", "scenario", "year").max("air_temp_r7d")._jdf.queryExecution().executedPlan().toString()
     above = plan[: plan.index("Generate")]
     assert "Window" in above and "Exchange" not in above
+
+
+def test_manifest_names_each_stations_files(spark):
+    """Paths are made once and every station gets them all; the files needed are the manifest's different ones."""
+    stations = spark.createDataFrame([("R", i) for i in range(5)] + [("R", 4), (None, 7)], "region string, station int").coalesce(1)
+    few = dict(members={"M": "r1", "N": "r2"}, scenario_years={"past": (2000, 2002)}, variables={"tas": ("air_temp", "K", "C", "note")})
+    man = scenario.asset_manifest(stations, "https://x/", **few)
+    rows = man.collect()
+    assert len(rows) == 7 * 6 and man.columns == ["region", "station", *(c for c in scenario.asset_rows(stations, "", **few).columns if c not in stations.columns)]
+    assert {r["file_url"] for r in rows if r["station"] == 7} == {f"https://x/{m}/past/{v}/tas/tas_day_{m}_past_{v}_gn_{y}.nc" for m, v in few["members"].items() for y in (2000, 2001, 2002)}
+    assert man.rdd.getNumPartitions() > 1
+    needed = scenario.needed_assets(stations, "https://x/", **few)
+    assert sorted(map(tuple, needed.collect())) == sorted(map(tuple, scenario.unique_assets(man).collect()))
+    assert scenario.needed_assets(stations.limit(0), "https://x/", **few).count() == 0

@@ -265,26 +265,44 @@ VARIABLE_SPECS = {
 ASSET_COLUMNS = ["model", "member", "scenario", "year", "variable", "target_driver", "native_units", "target_units", "conversion_note", "relative_path", "file_url"]
 
 
-def asset_manifest(
-    stations: DataFrame, base_url: str, members: dict = MODEL_MEMBERS, scenario_years: dict = SCENARIO_YEARS, variables: dict = VARIABLE_SPECS
-) -> DataFrame:
-    """One row per station, model, scenario, variable and year, with the path of its file."""
+def asset_rows(df: DataFrame, base_url: str, members: dict = MODEL_MEMBERS, scenario_years: dict = SCENARIO_YEARS, variables: dict = VARIABLE_SPECS) -> DataFrame:
+    """Each row once per model, scenario, variable and year, with the path of its file."""
 
     def cells(rows: list[tuple], names: list[str]) -> Column:
         return F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(r, names)]) for r in rows]))
 
     out = (
-        stations.withColumn("_m", cells(list(members.items()), ["model", "member"]))
+        df.withColumn("_m", cells(list(members.items()), ["model", "member"]))
         .withColumn("_s", cells([(k, a, b) for k, (a, b) in scenario_years.items()], ["scenario", "first", "last"]))
         .withColumn("_v", cells([(k, *v) for k, v in variables.items()], ["variable", "target_driver", "native_units", "target_units", "conversion_note"]))
         .withColumn("year", F.explode(F.sequence(F.col("_s.first"), F.col("_s.last"))))
     )
-    out = out.select(*stations.columns, "_m.*", "_s.scenario", "year", "_v.*")
+    out = out.select(*df.columns, "_m.*", "_s.scenario", "year", "_v.*")
     name = F.format_string("%s_day_%s_%s_%s_gn_%d.nc", "variable", "model", "scenario", "member", "year")
     path = F.concat_ws("/", "model", "scenario", "member", "variable", name)
     return out.withColumn("relative_path", path).withColumn("file_url", F.concat(F.lit(base_url.rstrip("/") + "/"), "relative_path"))
 
 
+def asset_manifest(
+    stations: DataFrame, base_url: str, members: dict = MODEL_MEMBERS, scenario_years: dict = SCENARIO_YEARS, variables: dict = VARIABLE_SPECS
+) -> DataFrame:
+    """One row per station, model, scenario, variable and year, with the path of its file.
+
+    Files don't depend on the station, so their paths are made once, as one array that every station explodes. Stations are
+    dealt over all tasks before that, since a small table comes as one.
+    """
+    files = asset_rows(stations.sparkSession.range(1).select(), base_url, members, scenario_years, variables)
+    step = F.array_sort(F.collect_list(F.struct(*files.columns)))
+    rows = spread_groups(stations, stations.columns).withColumn("_a", F.explode(one_row(files.agg(step.alias("a")))["a"]))
+    return rows.select(*stations.columns, "_a.*")
+
+
+def needed_assets(stations: DataFrame, base_url: str, members: dict = MODEL_MEMBERS, scenario_years: dict = SCENARIO_YEARS, variables: dict = VARIABLE_SPECS) -> DataFrame:
+    """The files that the manifest of these stations names, each once: those of any one station, since all need the same."""
+    some = stations.agg(F.count(F.lit(1)).alias("_n")).filter("_n > 0").select()
+    return asset_rows(some, base_url, members, scenario_years, variables).select(*ASSET_COLUMNS)
+
+
 def unique_assets(manifest: DataFrame) -> DataFrame:
     return manifest.select(*[c for c in ASSET_COLUMNS if c in manifest.columns]).distinct()
 

@@ -154,9 +154,8 @@ def io_report(spark, d):
 
 @query("manifest_tables", "SELECT 'assets' AS name, 4740 AS n_rows UNION ALL SELECT 'manifest', 4740 * count(*) FROM supplier UNION ALL SELECT 'stations', count(*) FROM supplier UNION ALL SELECT 'summary', 60")
 def manifest_tables(spark, d):
-    stations = station_lookup(spark, d).select("region", "station")
-    manifest = scenario.asset_manifest(stations, "https://data.example.org/climate")
-    assets = scenario.unique_assets(manifest)
+    stations, url = station_lookup(spark, d).select("region", "station"), "https://data.example.org/climate"
+    manifest, assets = scenario.asset_manifest(stations, url), scenario.needed_assets(stations, url)
     tables = {"stations": stations, "manifest": manifest, "assets": assets, "summary": scenario.manifest_summary(assets)}
     counts = io.write_tables(tables, scratch_path(spark, "manifest"))
     return spark.createDataFrame(list(counts.items()), "name string, n_rows bigint")

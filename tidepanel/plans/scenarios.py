@@ -416,5 +416,4 @@ def asset_manifest(spark, d):
 
 @query("manifest_summary", f"WITH {MAN_CTE} SELECT model, scenario, variable, count(DISTINCT relative_path) AS n_files, min(year) AS year_start, max(year) AS year_end FROM man GROUP BY 1, 2, 3")
 def manifest_summary(spark, d):
-    man = scenario.asset_manifest(station_lookup(spark, d).select("region", "station"), BASE_URL)
-    return tidy(scenario.manifest_summary(scenario.unique_assets(man)))
+    return tidy(scenario.manifest_summary(scenario.needed_assets(station_lookup(spark, d).select("region", "station"), BASE_URL)))
