@@ -11,7 +11,8 @@ from collections.abc import Iterator, Mapping, Sequence
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +28,8 @@ PERIOD, MIN_MONTHS, TREND_YEARS, END_YEAR = 12, 84, 10, 2100
 SEASONAL_SPAN, INNER, OUTER = 7, 2, 15
 #: Numbers in the matrix of windows that one call of the smoother holds (a few copies of it at 8 bytes).
 CELLS = 500_000
+#: Series of an Arrow batch that are numbers in Python at once.
+SERIES = 512
 
 
 @lru_cache(maxsize=256)
@@ -150,22 +153,30 @@ def monthly_series(monthly: DataFrame, variables: Sequence[str], keys: Sequence[
 def decompose(series: DataFrame, keys: Sequence[str] = KEYS, order: str = "month_date", value: str = "filled", period: int = PERIOD, robust: bool = True) -> DataFrame:
     """Adds ``trend``, ``seasonal`` and ``fitted`` to every series of a (keys, variable) group.
 
-    Series of fewer than two periods get nulls. One shuffle; a series travels as one row.
+    Series of fewer than two periods get nulls. One shuffle; a series travels as one row, whose other columns stay Arrow
+    data: only the numbers to smooth are read in Python, those of ``SERIES`` series at once.
     """
     group = [*keys, "variable"]
     rest = [c for c in series.columns if c not in (*group, order)]
     packed = spread_groups(series, group).groupBy(*group).agg(F.sort_array(F.collect_list(F.struct(order, *rest))).alias("_rows"))
     packed = packed.withColumn("_y", F.transform("_rows", lambda r: r[value].cast("double")))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            trend, seasonal = stl_lists(list(pdf["_y"]), period, robust)
-            yield pdf.drop(columns="_y").assign(_trend=trend, _seasonal=seasonal)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.float64())
+        for batch in batches:
+            kept = [i for i, n in enumerate(batch.schema.names) if n != "_y"]
+            for at in range(0, batch.num_rows, SERIES):
+                part = batch.slice(at, SERIES)
+                y = part.column(part.schema.get_field_index("_y"))
+                ends = np.cumsum(pc.list_value_length(y).to_numpy(zero_copy_only=False))
+                parts = stl_lists(np.split(y.flatten().to_numpy(zero_copy_only=False), ends[:-1]), period, robust)
+                columns = [part.column(i) for i in kept] + [pa.array(p, kind, from_pandas=True) for p in parts]
+                yield pa.RecordBatch.from_arrays(columns, names=[part.schema.names[i] for i in kept] + ["_trend", "_seasonal"])
 
     schema = T.StructType([f for f in packed.schema.fields if f.name != "_y"])
     for c in ("_trend", "_seasonal"):
         schema = schema.add(c, T.ArrayType(T.DoubleType()))
-    zipped = packed.mapInPandas(run, schema).select(*group, F.inline(F.arrays_zip("_rows", "_trend", "_seasonal")))
+    zipped = packed.mapInArrow(run, schema).select(*group, F.inline(F.arrays_zip("_rows", "_trend", "_seasonal")))
     return zipped.select(*group, "_rows.*", F.col("_trend").alias("trend"), F.col("_seasonal").alias("seasonal")).select(
         *series.columns, "trend", "seasonal", (F.col("trend") + F.col("seasonal")).alias("fitted")
     )
@@ -190,28 +201,31 @@ def trend_line(parts: DataFrame, keys: Sequence[str] = KEYS, month: str = "month
 
 
 def extend(parts: DataFrame, keys: Sequence[str] = KEYS, month: str = "month_date", end_year: int = END_YEAR, trend_years: int = TREND_YEARS) -> DataFrame:
-    """History and future of every series: the trend line plus the mean seasonal value of the month."""
+    """History and future of every series: the trend line plus the mean seasonal value of the month.
+
+    Lines and seasons meet while there is one row a series; its future months are exploded last and not shuffled here.
+    """
     group = [*keys, "variable"]
-    lines = trend_line(parts, keys, month, trend_years)
-    template = parts.groupBy(*group, F.month(month).alias("month_num")).agg(F.avg("seasonal").alias("seasonal"))
+    lines = trend_line(parts, keys, month, trend_years).dropna(subset=group)
+    template = parts.groupBy(*group, F.month(month).alias("month_num")).agg(F.avg("seasonal").alias("seasonal")).filter("month_num is not null")
+    # 12 entries at most for each series
+    template = template.groupBy(*group).agg(F.map_from_entries(F.collect_list(F.struct("month_num", "seasonal"))).alias("_s"))
+    slope = [F.col("slope").alias("trend_slope_per_month"), (F.col("slope") * 12.0).alias("trend_slope_per_year")]
     end = F.lit(f"{end_year}-12-01").cast("date")
     first = F.add_months("last_month", 1)
     months = F.posexplode(F.sequence(first, end, F.expr("INTERVAL 1 MONTH"))).alias("_j", month)
-    future = lines.filter(first <= end).select(*group, "slope", "intercept", "n_tail", months)
+    future = lines.filter(first <= end).join(template, group, "left").select(*group, "slope", "intercept", "n_tail", "_s", months)
     future = (
-        future.withColumn("month_num", F.month(month))
-        .join(template, [*group, "month_num"], "left")
-        .select(
+        future.select(
             *group, month, F.lit(None).cast("double").alias("observed"), F.lit(None).cast("double").alias("filled"),
             (F.col("intercept") + F.col("slope") * (F.col("n_tail") + F.col("_j"))).alias("trend"),
-            F.coalesce("seasonal", F.lit(0.0)).alias("seasonal"), F.lit(True).alias("is_future"),
+            F.coalesce(F.try_element_at("_s", F.month(month)), F.lit(0.0)).alias("seasonal"), F.lit(True).alias("is_future"), *slope,
         )
         .withColumn("fitted", F.col("trend") + F.col("seasonal"))
     )
-    history = parts.join(lines.select(*group), group, "left_semi").withColumn("is_future", F.lit(False))
-    both = history.select(*future.columns).unionByName(future)
-    slopes = lines.select(*group, F.col("slope").alias("trend_slope_per_month"), (F.col("slope") * 12.0).alias("trend_slope_per_year"))
-    return both.join(slopes, group).withColumns({"year": F.year(month), "month_num": F.month(month)})
+    order = [*group, month, "observed", "filled", "trend", "seasonal", "is_future", "fitted", "trend_slope_per_month", "trend_slope_per_year"]
+    history = parts.join(lines.select(*group, *slope), group).withColumn("is_future", F.lit(False))
+    return history.select(*order).unionByName(future.select(*order)).withColumns({"year": F.year(month), "month_num": F.month(month)})
 
 
 def extension_summary(extended: DataFrame, keys: Sequence[str] = KEYS, late_year: int = 2090, recent_years: int = 5) -> DataFrame:
@@ -220,8 +234,10 @@ def extension_summary(extended: DataFrame, keys: Sequence[str] = KEYS, late_year
     seen = ~F.col("is_future") & F.col("observed").isNotNull()
     last = extended.filter(seen).groupBy(*group).agg(F.max("year").alias("_last"))
     recent = seen & (F.col("year") > F.col("_last") - recent_years)
+    # months between the history and the late years enter no column
+    used = extended.filter(~F.col("is_future") | (F.col("year") >= late_year))
     return (
-        extended.join(last, group)
+        used.join(last, group)
         .groupBy(*group)
         .agg(
             F.avg(F.when(recent, F.col("observed"))).alias("recent_mean_5y"),
