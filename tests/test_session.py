@@ -56,3 +56,12 @@ def test_rolling_years_never_reach_over_a_gap(spark):
 def test_fits_side_by_side_keep_their_order(spark):
     frames = models.side_by_side(lambda k: spark.range(k).select(F.lit(k).alias("k")), [3, 1, 2])
     assert [f.count() for f in frames] == [3, 1, 2]
+
+
+def test_groups_of_large_tables_are_dealt_by_their_rows(spark):
+    """A table of many rows gets partitions by its rows, a small one keeps its plan."""
+    df = spark.range(100).selectExpr("id", "id % 10 as k")
+    assert session.sized(df, 4 * session.ROWS_A_TASK, ["k"]) is df
+    assert session.sized(df, 30 * session.ROWS_A_TASK, ["k"]).rdd.getNumPartitions() == 30
+    by_key = session.sized(df, 30 * session.ROWS_A_TASK, ["k"]).groupBy("k", "id").count()
+    assert by_key._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
