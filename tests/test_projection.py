@@ -67,3 +67,23 @@ def test_manifest_names_each_stations_files(spark):
     needed = scenario.needed_assets(stations, "https://x/", **few)
     assert sorted(map(tuple, needed.collect())) == sorted(map(tuple, scenario.unique_assets(man).collect()))
     assert scenario.needed_assets(stations.limit(0), "https://x/", **few).count() == 0
+
+
+def test_rolls_without_a_sort_are_those_of_windows(spark):
+    """Trailing means come from sums made once per station; a year before is met by its last days, leap or not."""
+    rng = random.Random(6)
+    rows = [("R" if s != 3 else None, s, dt.date(2019, 1, 1) + dt.timedelta(days=7 * k), *(None if s == 2 and c == 0 else rng.uniform(0, 30) for c in range(4))) for s in (1, 2, 3) for k in range(120)]
+    history = spark.createDataFrame(rows, "region string, station int, date date, air_temp double, precip double, wind_speed double, solar double")
+    stations = history.select("region", "station").distinct()
+    steps = [("a", 2027, 1.0, 0.5), ("a", 2028, 2.0, None), ("a", 2029, None, 2.0), ("b", 2026, 0.5, 1.5), ("b", 2029, 9.0, 0.1), ("c", 2024, 1.0, 1.0), (None, 2027, 1.0, 3.0)]
+    paths = spark.createDataFrame(steps, "scenario string, year int, air_temp_add_c double, precip_mult double")
+    want = scenario.driver_rolls(scenario.driver_days(history, stations, paths, 2026, 2029))
+    got = scenario.rolled_driver_days(history, stations, paths, 2026, 2029)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString().split("Generate explode(sequence")[0]
+    key = lambda r: (r["station"], r["scenario"] or "", r["date"])
+    got, want = sorted(got.collect(), key=key), sorted(want.collect(), key=key)
+    assert len(got) == len(want) == 3 * (365 * 6 + 1)
+    for a, b in zip(got, want, strict=True):
+        for c in b.asDict():
+            assert a[c] == b[c] or abs(a[c] - b[c]) < 1e-9, (c, a, b)

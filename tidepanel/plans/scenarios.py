@@ -35,10 +35,11 @@ def scenario_ramp(spark, d):
     )
 
 
-def projected_days(spark: SparkSession, d: str) -> DataFrame:
+def projected_days(spark: SparkSession, d: str, rolled: bool = False) -> DataFrame:
     days = daily_water(spark, d)
     stations = days.select("region", "station").distinct()
-    return scenario.driver_days(days, stations, scenario.scenario_ramp(spark), *scenario.RAMP_YEARS)
+    project = scenario.rolled_driver_days if rolled else scenario.driver_days
+    return project(days, stations, scenario.scenario_ramp(spark), *scenario.RAMP_YEARS, n_stations=table(spark, d, "supplier").count())
 
 
 FUT_CTE = (
@@ -102,7 +103,7 @@ ROLL_CTE = f"""r AS (SELECT region, station, scenario, year, date, avg(air_temp)
 )
 def future_driver_rolls(spark, d):
     """Trailing means over the whole horizon, each station's years summed up as in ``perturb_drivers``."""
-    rolled = scenario.driver_rolls(projected_days(spark, d)).groupBy("region", "station", "scenario", "year")
+    rolled = projected_days(spark, d, rolled=True).groupBy("region", "station", "scenario", "year")
     rolls = ["air_temp_r7d", "solar_r28d"]
     weighted = [F.avg(F.col(c) * F.dayofyear("date")).alias(f"{c}_by_day") for c in rolls]
     return tidy(rolled.agg(*[F.avg(c).alias(c) for c in rolls], *weighted, F.max("doy_sin").alias("doy_sin")))
@@ -116,7 +117,7 @@ def future_driver_rolls(spark, d):
 )
 def projected_rolls_daily(spark, d):
     """Every day of the horizon: the trailing means over all stations."""
-    rolled = scenario.driver_rolls(projected_days(spark, d)).groupBy("scenario", "date")
+    rolled = projected_days(spark, d, rolled=True).groupBy("scenario", "date")
     cells = [F.avg("air_temp_r7d").alias("air_temp_r7d"), F.max("air_temp_r7d").alias("air_temp_r7d_max"), F.avg("solar_r28d").alias("solar_r28d")]
     return tidy(rolled.agg(*cells, F.min("solar_r28d").alias("solar_r28d_min"), F.max("doy_sin").alias("doy_sin")))
 
