@@ -381,3 +381,16 @@ def test_kmeans_keeps_the_best_of_many_starts(spark):
     assert clusters.fit_kmeans(same, 3, starts=2).cost == 0
     with pytest.raises(ValueError, match="no vectors"):
         clusters.fit_kmeans(same.limit(0), 2)
+
+
+def test_rows_of_boosting_travel_narrow(spark):
+    """Trees get their vector, label and two hashes, whatever else a row holds; many rows share some partitions per core."""
+    df = spark.range(600).selectExpr("id", "id % 7 as x", "cast(id % 5 as double) as y", "'long text' as other", "id * 2 as more")
+    ready = models.row_hashes(models.assemble(df, {"x": 0.0}))
+    assert models.row_hashes(ready) is ready
+    narrow, wide = ready.select("features", "y", *models.ROW_HASHES), models.assemble(df, {"x": 0.0})
+    a, b = (models.fit_gbt(t, "y", None, 5, 3, stop_early=True) for t in (narrow, wide))
+    assert a.toDebugString.split("\n")[1:] == b.toDebugString.split("\n")[1:]
+    cores = spark.sparkContext.defaultParallelism
+    assert models.dealt(narrow, 10_000_000).rdd.getNumPartitions() <= max(models.TASKS_A_CORE * cores, 40)
+    assert models.dealt(narrow, 20_000).rdd.getNumPartitions() == 2
