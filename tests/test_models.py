@@ -394,3 +394,16 @@ def test_rows_of_boosting_travel_narrow(spark):
     cores = spark.sparkContext.defaultParallelism
     assert models.dealt(narrow, 10_000_000).rdd.getNumPartitions() <= max(models.TASKS_A_CORE * cores, 40)
     assert models.dealt(narrow, 20_000).rdd.getNumPartitions() == 2
+
+
+def test_linear_predictions_build_no_vectors(spark):
+    df = spark.createDataFrame([(1.0, 2, 3.0), (None, 5, 4.0), (4.0, None, 9.0), (2.5, 1, 2.0)], "a double, b int, y double")
+    response = models.fit_response(df, ["a", "b"], "y", name="line")
+    got = response.predict(df, "p")
+    assert "UDF" not in got._jdf.queryExecution().optimizedPlan().toString() and got.columns == ["a", "b", "y", "p"]
+    want = response.model.transform(models.assemble(df, response.fills))
+    for g, w in zip(got.collect(), want.collect(), strict=True):
+        assert abs(g["p"] - w["prediction"]) < 1e-12
+    odd = spark.createDataFrame([(float("nan"), 1, 0.0)], df.schema)
+    with pytest.raises(Exception, match="NaN"):
+        response.predict(odd, "p").collect()
