@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidepanel.llm import jaccard_join, packing, quality, toxicity
-from tidepanel.llm.common import table
+from tidepanel.llm.common import free_shuffles, table
 from tidepanel.llm.queries import WORD_VOCABULARY
 from tidepanel.session import scratch_path
 
@@ -52,4 +52,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = scratch_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        free_shuffles(spark)  # of this stage: the next one needs its output alone
     return docs

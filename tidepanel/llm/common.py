@@ -130,6 +130,15 @@ def giving_back(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], It
     return run
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of results that nothing refers to any more.
+
+    Its cleaner learns of them when the driver's memory is collected, which a driver with little to do leaves for half an hour.
+    """
+    gc.collect()  # Python's handles first
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Fixed value: Spark's default.
 SPARK_BATCH_BYTES = "67108864b"
 BATCH_BYTES = "8m"

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import Batches, bounded_batches, components, free_name, giving_back, staged, texts_of
+from tidepanel.llm.common import Batches, bounded_batches, components, free_name, free_shuffles, giving_back, staged, texts_of
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -223,6 +223,7 @@ def candidate_links(nodes: DataFrame) -> DataFrame:
     signatures = nodes.select("node", "sig")
     for depth in range(1, DEPTH + 1):
         paths = staged(paths)
+        free_shuffles(nodes.sparkSession)
         sizes = staged(paths.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"))
         last = depth == DEPTH
         # most buckets have one node and end here; the tokens follow those that go on
@@ -288,7 +289,10 @@ def linked_documents(documents: DataFrame) -> DataFrame:
     bounded_batches(documents.sparkSession)
     rows = staged(described(documents))
     nodes = staged(rows.groupBy("node").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "text_key")).alias("head"), F.min("sig").alias("sig")))
-    groups = components(candidate_links(nodes))
+    links = candidate_links(nodes)
+    free_shuffles(documents.sparkSession)
+    groups = components(links)
+    free_shuffles(documents.sparkSession)
     sizes = groups.groupBy("root").agg(F.count("*").alias("n"))
     members = staged(groups.join(sizes, "root").join(nodes.select("node", "copies", "head"), "node"))
     # whole texts of the members alone, one per node
@@ -298,6 +302,7 @@ def linked_documents(documents: DataFrame) -> DataFrame:
     found = found.select("root", "n", "node", "copies", "text").dropDuplicates(["root", "node"])
     exact = in_groups(cells(found, "root", "n", BLOCK, "node"), ["root", "i", "j"], exact_in, "node bigint, other bigint, texts bigint, rows bigint")
     exact = staged(exact)
+    free_shuffles(documents.sparkSession)
     classes = components(exact.where(F.col("other").isNotNull()).select(F.col("node").alias("a"), F.col("other").alias("b")))
     counts = exact.groupBy("node").agg(F.sum("texts").alias("texts"), F.sum("rows").alias("linked"))
     of_node = nodes.join(classes, "node", "left").join(counts, "node", "left")
