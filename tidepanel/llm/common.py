@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 import hashlib
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -131,12 +132,14 @@ def giving_back(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], It
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of results that nothing refers to any more.
+    """Let Spark delete the shuffle files of results that nothing refers to any more, those of the latest steps perhaps a call later.
 
     Its cleaner learns of them when the driver's memory is collected, which a driver with little to do leaves for half an hour.
     """
     gc.collect()  # Python's handles first
     spark.sparkContext._jvm.System.gc()
+    time.sleep(0.5)  # handles are let go beside this thread, and what is left over goes with the next call
+    spark.sparkContext._jvm.System.gc()
 
 
 #: Fixed value: Spark's default.
