@@ -48,8 +48,9 @@ class Vocabulary:
 
     first: np.ndarray  # id of each byte
     last: np.ndarray  # id of each byte at the end of a word
-    keys: np.ndarray  # left * size + right of each mergeable pair, ascending
-    ranks: np.ndarray  # its rank
+    by_left: tuple[np.ndarray, np.ndarray, np.ndarray]  # mergeable pairs: where each left symbol's begin, right symbols, ranks
+    by_right: tuple[np.ndarray, np.ndarray, np.ndarray]  # where each right symbol's begin, left symbols, ranks
+    first_ranks: np.ndarray  # rank of each pair of bytes, at 512 * left + right, + 256 where the right one ends a word
     left: np.ndarray  # by rank
     right: np.ndarray
     merged: np.ndarray  # id of the merged pair, by rank
@@ -77,38 +78,57 @@ def read_vocabulary(path: str) -> Vocabulary:
     by_byte = [c for c, _ in sorted(letters.items(), key=lambda x: x[1])]
     first, last = (np.array([vocab[c + x] for c in by_byte], dtype=np.int32) for x in ("", end))
     merged = np.array([vocab[a + b] for a, b in merges], dtype=np.int32)
-    return Vocabulary(first, last, keys[order], order.astype(np.int32), left, right, merged, len(pieces), pieces, special)
+    symbols = np.arange(len(pieces) + 1)
+    by_left, by_right = (
+        (np.searchsorted(own[o], symbols), partner[o].astype(np.int32), o.astype(np.int32))
+        for own, partner, o in ((left, right, order), (right, left, np.lexsort((left, right))))
+    )
+    pairs = np.repeat(first.astype(np.int64), 512) * len(pieces) + np.tile(np.concatenate((first, last)), 256)
+    first_ranks = ranks_among(keys[order], order.astype(np.int32), pairs)
+    return Vocabulary(first, last, by_left, by_right, first_ranks, left, right, merged, len(pieces), pieces, special)
+
 
+def ranks_among(known: np.ndarray, ranks: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The rank beside each wanted value in ``known``, which ascends; -1 for values that aren't there."""
+    if not len(known):
+        return np.full(len(wanted), -1, dtype=np.int32)
+    at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+    return np.where(known[at] == wanted, ranks[at], -1)
 
-def pair_ranks(v: Vocabulary, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Rank of each pair; -1 for pairs that don't merge."""
-    keys = left.astype(np.int64) * v.size + right
-    at = np.minimum(np.searchsorted(v.keys, keys), len(v.keys) - 1)
-    return np.where(v.keys[at] == keys, v.ranks[at], -1)
+
+def partner_ranks(pairs: tuple[np.ndarray, np.ndarray, np.ndarray], symbol: int, partners: np.ndarray) -> np.ndarray:
+    """Rank of the pair of ``symbol`` and each of its partners; -1 for pairs that don't merge."""
+    starts, known, ranks = pairs
+    own = slice(starts[symbol], starts[symbol + 1])
+    return ranks_among(known[own], ranks[own], partners)
 
 
 def encode_words(v: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all words in one array, and each word's count of ids."""
     sizes = np.array([len(w) for w in words], dtype=np.int64)
-    symbols = v.first[np.frombuffer(b"".join(words), dtype=np.uint8)]
+    data = np.frombuffer(b"".join(words), dtype=np.uint8)
+    symbols = v.first[data]
     n = len(symbols)
     if not n:
         return symbols, sizes
     ends = np.cumsum(sizes)
-    symbols[ends[sizes > 0] - 1] = v.last[np.frombuffer(b"".join(words), dtype=np.uint8)[ends[sizes > 0] - 1]]
+    final = ends[sizes > 0] - 1
+    symbols[final] = v.last[data[final]]
     after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
-    after[ends[sizes > 0] - 1] = -1
+    after[final] = -1
     before[(ends - sizes)[sizes > 0]] = -1
 
     index: dict[int, list[np.ndarray]] = {}
     active: list[int] = []
 
+    small = np.uint16 if len(v.merged) <= 1 << 16 else np.int32  # sorted by counting, where ranks are short enough
+
     def note(ranks: np.ndarray, at: np.ndarray) -> None:
         keep = ranks >= 0
         ranks, at = ranks[keep], at[keep]
         if not len(at):
             return
-        order = np.argsort(ranks, kind="stable")
+        order = np.argsort(ranks.astype(small), kind="stable")
         ranks, at = ranks[order], at[order]
         cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
         for rank, part in zip(ranks[np.concatenate(([0], cuts))].tolist(), np.split(at, cuts), strict=True):
@@ -117,8 +137,12 @@ def encode_words(v: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndar
                 heapq.heappush(active, rank)
             index[rank].append(part)
 
-    at = np.flatnonzero(after >= 0).astype(np.int32)
-    note(pair_ranks(v, symbols[at], symbols[after[at]]), at)
+    pairs = data[:-1].astype(np.int32) * 512 + data[1:]
+    pairs[final[final > 0] - 1] += 256
+    ranks = v.first_ranks[pairs]
+    ranks[final[:-1]] = -1  # no pair reaches into the next word
+    at = np.flatnonzero(ranks >= 0).astype(np.int32)
+    note(ranks[at], at)
     while active:
         rank = heapq.heappop(active)
         lists = index.pop(rank)
@@ -141,8 +165,8 @@ def encode_words(v: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndar
         before[follow[linked]] = at[linked]
         lead = before[at]
         lead = lead[lead >= 0]
-        firsts = np.concatenate((lead, at[linked]))
-        note(pair_ranks(v, symbols[firsts], symbols[after[firsts]]), firsts)
+        ranks = partner_ranks(v.by_right, v.merged[rank], symbols[lead]), partner_ranks(v.by_left, v.merged[rank], symbols[follow[linked]])
+        note(np.concatenate(ranks), np.concatenate((lead, at[linked])))
     alive = symbols >= 0
     counts = np.zeros(len(words), dtype=np.int64)
     filled = np.flatnonzero(sizes > 0)
