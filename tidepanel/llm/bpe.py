@@ -90,19 +90,10 @@ def read_vocabulary(path: str) -> Vocabulary:
 
 def ranks_among(known: np.ndarray, ranks: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """The rank beside each wanted value in ``known``, which ascends; -1 for values that aren't there."""
-    if not len(known):
-        return np.full(len(wanted), -1, dtype=np.int32)
     at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
     return np.where(known[at] == wanted, ranks[at], -1)
 
 
-def partner_ranks(pairs: tuple[np.ndarray, np.ndarray, np.ndarray], symbol: int, partners: np.ndarray) -> np.ndarray:
-    """Rank of the pair of ``symbol`` and each of its partners; -1 for pairs that don't merge."""
-    starts, known, ranks = pairs
-    own = slice(starts[symbol], starts[symbol + 1])
-    return ranks_among(known[own], ranks[own], partners)
-
-
 def encode_words(v: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all words in one array, and each word's count of ids."""
     sizes = np.array([len(w) for w in words], dtype=np.int64)
@@ -130,12 +121,19 @@ def encode_words(v: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndar
             return
         order = np.argsort(ranks.astype(small), kind="stable")
         ranks, at = ranks[order], at[order]
-        cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
-        for rank, part in zip(ranks[np.concatenate(([0], cuts))].tolist(), np.split(at, cuts), strict=True):
+        cuts = [0, *(np.flatnonzero(ranks[1:] != ranks[:-1]) + 1).tolist(), len(at)]
+        for rank, start, end in zip(ranks[cuts[:-1]].tolist(), cuts, cuts[1:], strict=False):
             if rank not in index:
                 index[rank] = []
                 heapq.heappush(active, rank)
-            index[rank].append(part)
+            index[rank].append(at[start:end])
+
+    def meet(pairs: tuple[np.ndarray, np.ndarray, np.ndarray], symbol: int, partners: np.ndarray, at: np.ndarray) -> None:
+        """Note the pairs of ``symbol`` and the symbols at ``partners``, which begin at ``at``."""
+        starts, known, ranks = pairs
+        start, end = starts[symbol], starts[symbol + 1]
+        if start < end and len(at):
+            note(ranks_among(known[start:end], ranks[start:end], symbols[partners]), at)
 
     pairs = data[:-1].astype(np.int32) * 512 + data[1:]
     pairs[final[final > 0] - 1] += 256
@@ -165,8 +163,8 @@ def encode_words(v: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndar
         before[follow[linked]] = at[linked]
         lead = before[at]
         lead = lead[lead >= 0]
-        ranks = partner_ranks(v.by_right, v.merged[rank], symbols[lead]), partner_ranks(v.by_left, v.merged[rank], symbols[follow[linked]])
-        note(np.concatenate(ranks), np.concatenate((lead, at[linked])))
+        meet(v.by_right, v.merged[rank], lead, lead)
+        meet(v.by_left, v.merged[rank], follow[linked], at[linked])
     alive = symbols >= 0
     counts = np.zeros(len(words), dtype=np.int64)
     filled = np.flatnonzero(sizes > 0)
