@@ -1,6 +1,7 @@
 """What a response model reads and keeps."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tidepanel.operators import models
 from tidepanel.plans import stages
@@ -31,3 +32,21 @@ def test_only_the_wanted_targets_are_fitted(spark):
     years = spark.createDataFrame(data, ", ".join([*[f"{c} double" for c in sorted(names)], "has_model_year boolean, has_warm_oxygen_year boolean, cohort string"]))
     wanted = [t for t in stages.RESPONSES if t.name == "delta_oxygen"]
     assert set(stages.fit_chemistry(years, wanted)) == {"delta_oxygen"}
+
+
+def test_screened_days_are_stored_once_at_most(spark, sf, monkeypatch):
+    """The query over screened days stores none; a linear temperature model adds to stored days without storing them again."""
+    stored = []
+    monkeypatch.setattr(stages, "staged", lambda df: stored.append(df.columns) or df)
+    assert "water_temp" in stages.screened_days_query(spark, sf).columns and not stored
+    kinds = {"region": "r", "station": 1, "cohort": "train", "has_model_year": True, "has_warm_oxygen_year": True}
+    days = spark.range(60).select(
+        *[
+            F.lit(kinds[c]).alias(c) if c in kinds else F.expr("date_add(date'2001-01-01', cast(id as int))").alias(c) if c == "date" else ((F.col("id") * (7 + i) % 31) / 3.0).alias(c)
+            for i, c in enumerate(stages.DAY_COLUMNS)
+        ]
+    )
+    _, scored, years = stages.fit_temperature(days)
+    assert len(stored) == 1 and "delta_water_temp_pred_mean" in stored[0]
+    assert scored.count() == 60 and years.count() == 1
+    assert scored.filter("delta_water_temp_pred is null").count() == 0
